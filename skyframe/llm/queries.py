@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skyframe.llm.op7_packing import op7_packing
 from skyframe.llm.op8_top_k import OP8_SQL, op8_top_k
 from skyframe.llm.op9_language_id import op9_language_id
 from skyframe.llm.op10_url_filter import OP10_SQL, op10_url_filter
@@ -15,6 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op7_packing": op7_packing,
         "op8_top_k": op8_top_k,
         "op9_language_id": op9_language_id,
         "op10_url_filter": op10_url_filter,
