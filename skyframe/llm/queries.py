@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skyframe.llm.op1_jaccard_join import OP1_SQL, op1_jaccard_join
+from skyframe.llm.op6_toxicity import op6_toxicity
 from skyframe.llm.op7_packing import op7_packing
 from skyframe.llm.op8_top_k import OP8_SQL, op8_top_k
 from skyframe.llm.op9_language_id import op9_language_id
@@ -16,6 +18,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_jaccard_join": op1_jaccard_join,
+        "op6_toxicity": op6_toxicity,
         "op7_packing": op7_packing,
         "op8_top_k": op8_top_k,
         "op9_language_id": op9_language_id,
@@ -24,4 +28,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_top_k": OP8_SQL, "op10_url_filter": OP10_SQL}
+    return {"op1_jaccard_join": OP1_SQL, "op8_top_k": OP8_SQL, "op10_url_filter": OP10_SQL}
