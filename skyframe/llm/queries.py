@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skyframe.llm.op1_jaccard_join import OP1_SQL, op1_jaccard_join
+from skyframe.llm.op4_substring_dedup import op4_substring_dedup
 from skyframe.llm.op5_suffix_dedup import op5_suffix_dedup
 from skyframe.llm.op6_toxicity import op6_toxicity
 from skyframe.llm.op7_packing import op7_packing
@@ -20,6 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_toxicity": op6_toxicity,
         "op7_packing": op7_packing,
