@@ -124,6 +124,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: All but ASCII letters and digits and bytes beyond ASCII: what surrounds a word does not change it.
+ALNUM_SEPARATOR = np.ones(256, bool)
+ALNUM_SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
 def mix(x: np.ndarray) -> np.ndarray:
