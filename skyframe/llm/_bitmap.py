@@ -48,3 +48,16 @@ def contains(shared: Broadcast, key: np.ndarray) -> np.ndarray:
     b = np.frombuffer(packed, np.uint8)
     slot = key.view(np.uint64) & np.uint64(bits - 1)
     return (b[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 != 0
+
+
+def split(rows: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` that surely have none of the ``keys`` (one column) in ``column``, and the others with some more."""
+    shared = build(keys.select(F.xxhash64(keys.columns[0]).alias("key")), F.col("key"))
+
+    @F.arrow_udf("boolean")
+    def may_have(key: pa.Array) -> pa.Array:
+        return pa.array(contains(shared, key.to_numpy()))
+
+    mark = "__sf"
+    asked = rows.select(F.struct(*[rows[c] for c in rows.columns]).alias(mark), F.xxhash64(rows[column]).alias("__key")).withColumn("__asked", may_have("__key"))
+    return asked.where(~F.col("__asked")).select(f"{mark}.*"), asked.where("__asked").select(f"{mark}.*")

@@ -186,17 +186,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     bad = stage(contaminated(docs, benchmark, key=key, text=text, **options).select("doc", "tag").distinct(), "contaminated")
     flags = bad.select(F.xxhash64("doc", "tag").alias("__bad")).distinct()
     own = F.xxhash64(F.coalesce(docs[key].cast("long"), F.lit(-(1 << 63))), F.pmod(F.xxhash64(docs[text]), F.lit(1 << 31)).cast("int"))
-    hit = _bitmap.build(flags, F.col("__bad"))
-
-    @F.arrow_udf("boolean")
-    def may_be_bad(name: pa.Array) -> pa.Array:
-        return pa.array(_bitmap.contains(hit, name.to_numpy()))
-
-    mark = "__sf"
-    named = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(mark), own.alias("__bad")).withColumn("__asked", may_be_bad("__bad"))
-    clean = named.where(~F.col("__asked")).select(f"{mark}.*")
-    left = named.where("__asked").join(flags, "__bad", "left_anti").select(f"{mark}.*")
-    return clean.unionByName(left)
+    mark = "__docs"
+    named = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(mark), own.alias("__bad"))
+    clean, asked = _bitmap.split(named, "__bad", flags)
+    return clean.unionByName(asked.join(flags, "__bad", "left_anti").select(mark, "__bad")).select(f"{mark}.*")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skyframe.llm.op1_jaccard_join import OP1_SQL, op1_jaccard_join
+from skyframe.llm.op2_license_scan import op2_license_scan
 from skyframe.llm.op3_decontamination import op3_decontamination
 from skyframe.llm.op4_substring_dedup import op4_substring_dedup
 from skyframe.llm.op5_suffix_dedup import op5_suffix_dedup
@@ -22,6 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
+        "op2_license_scan": op2_license_scan,
         "op3_decontamination": op3_decontamination,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_suffix_dedup": op5_suffix_dedup,
