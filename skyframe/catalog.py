@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skyframe.plans import instrument_queries
+from skyframe.plans import queries as plain
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return plain.QUERIES | instrument_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return plain.SQL | instrument_queries.SQL
