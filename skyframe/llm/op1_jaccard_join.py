@@ -127,7 +127,7 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n:
     by_set = described.where("n > 0").groupBy("set_id").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     sets = stage(by_set, "distinct")
 
-    groups = stage(_meetings(sets), "groups")
+    groups = stage(_meetings(sets, num, den), "groups")
     links = _links(source, sets, groups, n, num, den)
     roots = components(links) if links is not None else None
     drop_stage(groups)
@@ -146,12 +146,15 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n:
     return joined.unionByName(none).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _meetings(sets: DataFrame) -> DataFrame:
-    """``(gid, set_id)``: groups of two sets or more that share a prefix shingle; equal groups are given once."""
-    rows = sets.select("set_id", F.explode("prefix").alias("token")).repartition("token").sortWithinPartitions("token", "set_id")
+def _meetings(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``(gid, set_id)``: groups of two sets or more that share a prefix shingle; equal groups are given once.
+
+    A group ends where the next size is too large for the size before it: no link crosses such a step.
+    """
+    rows = sets.select("set_id", "n", F.explode("prefix").alias("token")).repartition("token").sortWithinPartitions("token", "n", "set_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, seen = None, set()
+        token, size, seen = None, 0, set()
         held: list[np.ndarray] = []
 
         def ended() -> pa.RecordBatch | None:
@@ -167,18 +170,21 @@ def _meetings(sets: DataFrame) -> DataFrame:
             return record_batch(gid=np.full(len(members), gid, np.int64), set_id=members)
 
         for batch in batches:
-            tokens, ids = batch.column("token").to_numpy(), batch.column("set_id").to_numpy()
-            edges = np.concatenate([[0], np.flatnonzero(tokens[1:] != tokens[:-1]) + 1, [len(tokens)]]) if len(tokens) else np.zeros(1, np.int64)
+            tokens, ids, sizes = (batch.column(c).to_numpy() for c in ("token", "set_id", "n"))
+            if not len(tokens):
+                continue
+            step = (tokens[1:] != tokens[:-1]) | (sizes[:-1] * den < sizes[1:] * num)
+            edges = np.concatenate([[0], np.flatnonzero(step) + 1, [len(tokens)]])
             out = []
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if tokens[a] != token:
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if a or tokens[a] != token or size * den < sizes[a] * num:
                     out.append(ended())
-                    token = tokens[a]
                 held.append(ids[a:b].copy())
+            token, size = tokens[-1], int(sizes[-1])
             yield from _joined(out)
         yield from _joined([ended()])
 
-    return rows.select("token", "set_id").mapInArrow(run, "gid long, set_id long").dropDuplicates(["gid", "set_id"])
+    return rows.select("token", "set_id", "n").mapInArrow(run, "gid long, set_id long").dropDuplicates(["gid", "set_id"])
 
 
 def _joined(batches: list[pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +230,8 @@ def _dealt(groups: DataFrame, sets: DataFrame) -> DataFrame:
 def _candidates(members: DataFrame, num: int, den: int, *, pivots: bool) -> DataFrame:
     """Pairs ``(a, b)`` within groups that the signature tree cannot rule out and whose roots differ.
 
-    ``pivots``: of each group only the pairs with its first member by two orders.
+    ``pivots``: of each group only the pairs with its middle, the member nearest to what most bitmaps hold, and with its
+    first member by an order of its own.
     """
     dealt = members.repartition("gid").sortWithinPartitions("gid", "n", "set_id").select("gid", "set_id", "n", "bits", "root")
 
@@ -240,7 +247,7 @@ def _candidates(members: DataFrame, num: int, den: int, *, pivots: bool) -> Data
                 return None
             ids, size, root = (part.column(c).to_numpy() for c in ("set_id", "n", "root"))
             bits = part.column("bits").to_pylist()
-            pairs = list(tree_pairs(size, bits, root, num, den, _pivots(ids) if pivots else None))
+            pairs = list(tree_pairs(size, bits, root, num, den, _pivots(ids, bits) if pivots else None))
             if not pairs:
                 return None
             i, j = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
@@ -261,8 +268,12 @@ def _candidates(members: DataFrame, num: int, den: int, *, pivots: bool) -> Data
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _pivots(ids: np.ndarray) -> np.ndarray:
-    return np.unique([int(ids.argmin()), int(mix(ids.view(np.uint64)).argmin())])
+def _pivots(ids: np.ndarray, bits: list[bytes]) -> np.ndarray:
+    widths = np.array([len(b) for b in bits])
+    at = np.flatnonzero(widths == np.bincount(widths).argmax())
+    held = np.unpackbits(np.frombuffer(b"".join(bits[i] for i in at), np.uint8).reshape(len(at), -1), axis=1)
+    most = np.where(2 * held.sum(axis=0) > len(at), 1, -1).astype(np.int32)
+    return np.unique([int(at[(held @ most).argmax()]), int(ids.argmin())])
 
 
 def tree_pairs(size: np.ndarray, bits: list[bytes], root: np.ndarray, num: int, den: int, pivots: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -127,29 +127,43 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     # 2: runs of windows around them
     def runs_of(doc, tag, runs):
-        keep = _bitmap.contains(known, runs["name"])
+        keep = np.flatnonzero(_bitmap.contains(known, runs["name"]))
         left, right, has = _sides(runs, length, gram)
-        end = runs["p"] + runs["count"] - 1 + length
-        whole = span_hash(runs["sums"], runs["p"], end)
+        first = runs["place"]
+        end = first + runs["count"] - 1 + length
+        whole = span_hash(runs["sums"], runs["p"], runs["p"] + runs["count"] - 1 + length)
+        # a run that the chunk itself has at an earlier place is a repeat; repeats that touch are one range
+        order = keep[np.lexsort((first[keep], tag[keep], doc[keep], whole[keep]))]
+        new = np.ones(len(order), bool)
+        new[1:] = whole[order[1:]] != whole[order[:-1]]
+        lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        same = (doc[order] == doc[lead]) & (tag[order] == tag[lead]) & (first[order] == first[lead])
+        asked, again = np.sort(order[same]), np.sort(order[~same])
+        apart = np.ones(len(again), bool)
+        apart[1:] = (runs["row"][again[1:]] != runs["row"][again[:-1]]) | (first[again[1:]] > end[again[:-1]])
+        begin = np.flatnonzero(apart)
+        last = again[np.append(begin[1:] - 1, len(again) - 1)] if len(again) else again
+        begin = again[begin]
+        both = np.concatenate([asked, begin])
+        is_range = np.arange(len(both)) >= len(asked)
         return record_batch(
-            run=whole[keep].view(np.int64),
-            doc=doc[keep],
-            tag=tag[keep],
-            start=runs["place"][keep],
-            n=runs["count"][keep].astype(np.int32),
-            left=pa.array(left[keep].view(np.int64), mask=~has[0][keep]),
-            right=pa.array(right[keep].view(np.int64), mask=~has[1][keep]),
+            run=pa.array(whole[both].view(np.int64), mask=is_range),
+            doc=doc[both],
+            tag=tag[both],
+            start=first[both],
+            n=(np.concatenate([end[asked], end[last]]) - first[both]).astype(np.int32),
+            left=pa.array(left[both].view(np.int64), mask=is_range | ~has[0][both]),
+            right=pa.array(right[both].view(np.int64), mask=is_range | ~has[1][both]),
         )
 
     runs = stage(_over(long_enough, length, gram, runs_of, "run long, doc long, tag int, start long, n int, left long, right long"), "runs")
     place = F.struct("doc", "tag", "start")
-    firsts = stage(runs.groupBy("run").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("left").alias("left"), F.first("right").alias("right")), "firsts")
-    later = (
-        runs.select("run", "doc", "tag", "start", "n")
-        .join(firsts.where("times > 1").select("run", "first"), "run")
-        .where(place != F.col("first"))
-        .select("doc", "tag", "start", (F.col("start") + F.col("n") - 1 + length).alias("end"))
+    firsts = stage(
+        runs.where("run is not null").groupBy("run").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.max("left").alias("left"), F.max("right").alias("right")), "firsts"
     )
+    span = ["doc", "tag", "start", (F.col("start") + F.col("n")).alias("end")]
+    repeated = runs.where("run is not null").select("run", "doc", "tag", "start", "n").join(firsts.where("times > 1").select("run", "first"), "run")
+    later = repeated.where(place != F.col("first")).select(*span).unionByName(runs.where("run is null").select(*span))
 
     # 3: pairs of ranks, of first runs alone
     sides = firsts.select(F.col("first.*"), F.posexplode(F.array("left", "right")).alias("side", "rank")).where("rank is not null")
@@ -158,6 +172,9 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     asked = _bitmap.build(going_on, F.col("key"))
     drop_stage(going_on)
 
+    earlier = stage(later, "later")
+    drop_stage(runs, firsts)
+
     # 4: whole windows
     def windows(doc, tag, runs):
         half = (length - gram) // 2
@@ -176,11 +193,15 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         )
 
     ranked = stage(_over(long_enough, length, gram, windows, "window long, doc long, tag int, start long"), "windows")
-    first = ranked.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("window", "first")
-    repeats = ranked.join(first, "window").where(place != F.col("first")).select("doc", "tag", "start", (F.col("start") + length).alias("end"))
-
-    spans = stage(later.unionByName(repeats).groupBy("doc", "tag").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("found")).mapInArrow(_merge, "doc long, tag int, spans array<struct<start:long,end:long>>"), "spans")
-    drop_stage(runs, firsts, ranked)
+    # dealt by range, so that one rank may fill many tasks; whether a task begins within a rank, the tasks' ends tell
+    by = ["window", "doc", "tag", "start"]
+    told = ranked.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_told, "kind int, window long, doc long, tag int, start long, lead_doc long, lead_tag int, lead_start long")
+    begins, ends = told.where("kind = 1"), told.where("kind = 2").select("window", F.struct("lead_doc", "lead_tag", "lead_start").alias("lead"))
+    cut_off = begins.join(ends.groupBy("window").agg(F.min("lead").alias("lead")), "window").where(F.struct("doc", "tag", "start") != F.col("lead"))
+    repeats = told.where("kind = 0").select("doc", "tag", "start").unionByName(cut_off.select("doc", "tag", "start")).select("doc", "tag", "start", (F.col("start") + length).alias("end"))
+
+    spans = stage(earlier.unionByName(repeats).groupBy("doc", "tag").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("found")).mapInArrow(_merge, "doc long, tag int, spans array<struct<start:long,end:long>>"), "spans")
+    drop_stage(earlier, ranked)
     touched = _bitmap.build(spans.select("doc", "tag").mapInArrow(_doc_keys, "key long"), F.col("key"))
 
     @F.arrow_udf("boolean")
@@ -205,6 +226,37 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record_batch(key=key.view(np.int64))
 
 
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by rank and place: (0) those not at their rank's first place in this task, (1) those of the first
+    rank that are, as the rank may have begun before, and (2) the last rank with its first place here."""
+    lead, first = None, None
+    for batch in batches:
+        window, doc, tag, start = (batch.column(c).to_numpy() for c in range(4))
+        n = len(window)
+        if not n:
+            continue
+        first = window[0] if first is None else first
+        new = np.ones(n, bool)
+        new[1:] = window[1:] != window[:-1]
+        new[0] = lead is None or lead[0] != window[0]
+        at = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+        heads = [np.where(at < 0, lead[k] if lead else 0, c[np.maximum(at, 0)]) for k, c in ((1, doc), (2, tag), (3, start))]
+        same = (doc == heads[0]) & (tag == heads[1]) & (start == heads[2])
+        lead = (window[-1], *(h[-1] for h in heads))
+        for kind, on in ((0, np.flatnonzero(~same)), (1, np.flatnonzero(same & (window == first)))):
+            if len(on):
+                yield _kind(kind, window[on], doc[on], tag[on], start[on], *(h[on] for h in heads))
+    if lead is not None:
+        yield _kind(2, *([x] for x in (*lead, *lead[1:])))
+
+
+def _kind(kind: int, window, doc, tag, start, lead_doc, lead_tag, lead_start) -> pa.RecordBatch:
+    big, small = pa.int64(), pa.int32()
+    columns = ((np.full(len(window), kind), small), (window, big), (doc, big), (tag, small), (start, big), (lead_doc, big), (lead_tag, small), (lead_start, big))
+    names = ["kind", "window", "doc", "tag", "start", "lead_doc", "lead_tag", "lead_start"]
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c), t) for c, t in columns], names)
+
+
 def _doc_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         doc, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
