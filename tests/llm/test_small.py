@@ -225,7 +225,7 @@ def test_fill_swaps_the_smallest_for_a_tighter_pair():
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(int(i), (rng.normal(size=6) * 10.0 ** rng.integers(-1, 2)).tolist()) for i in range(400)]
-    rows += [(500, None), (501, [1.0, float("nan"), 0, 0, 0, 0]), (502, [None] * 6), (None, [1.0] * 6), (600, [0.0] * 6), (700, rows[3][1]), (701, rows[3][1]), (800, [])]
+    rows += [(500, None), (501, [1.0, float("nan"), 0.0, 0.0, 0.0, 0.0]), (502, [None] * 6), (None, [1.0] * 6), (600, [0.0] * 6), (700, rows[3][1]), (701, rows[3][1]), (800, [])]
     v = op8.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = {}
     for r in op8.top_k(v, v.where("vec_id % 100 = 0"), 10, block_rows=64).collect():
