@@ -19,7 +19,10 @@ MOST_BITS = 1 << 30
 
 
 def build(keys: DataFrame, key: Column, *, most_bits: int = MOST_BITS) -> Broadcast:
-    """A broadcast ``(bits, bytes)`` with bit ``key mod bits`` set for every ``key`` (long); about 16 bits for each."""
+    """A broadcast ``(bits, bytes)`` with bit ``key mod bits`` set for every ``key`` (long); about 16 bits for each.
+
+    Keys are best distinct already: each one is sent to the task that fills its part of the bitmap.
+    """
     n = keys.count()
     bits = min(most_bits, max(_CHUNK, 1 << (16 * n).bit_length()))
     slots = keys.select(F.pmod(key, F.lit(bits)).alias("slot")).select(F.floor(F.col("slot") / _CHUNK).alias("chunk"), F.pmod("slot", F.lit(_CHUNK)).cast("int").alias("at"))
@@ -33,7 +36,7 @@ def build(keys: DataFrame, key: Column, *, most_bits: int = MOST_BITS) -> Broadc
         for c, b in held.items():
             yield record_batch(chunk=[c], bits=pa.array([zlib.compress(np.packbits(b, bitorder="little").tobytes(), 1)], pa.binary()))
 
-    parts = slots.distinct().repartition(max(1, min(bits // _CHUNK, 64)), "chunk").mapInArrow(fill, "chunk long, bits binary").collect()
+    parts = slots.repartition("chunk").mapInArrow(fill, "chunk long, bits binary").collect()
     packed = np.zeros(bits // 8, np.uint8)
     for p in parts:
         a = p["chunk"] * _CHUNK // 8
@@ -41,7 +44,6 @@ def build(keys: DataFrame, key: Column, *, most_bits: int = MOST_BITS) -> Broadc
     return keys.sparkSession.sparkContext.broadcast((bits, packed.tobytes()))
 
 
-
 def contains(shared: Broadcast, key: np.ndarray) -> np.ndarray:
     """``key``: int64 or uint64 words. Powers of two as moduli make both the same slot."""
     bits, packed = shared.value

@@ -25,46 +25,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyframe.llm import _bitmap
-from skyframe.llm._common import drop_stage, mix, prefix_sums, record_batch, span_hash, stage, table, text_chunks
+from skyframe.llm._common import drop_stage, mix, powers, prefix_sums, record_batch, span_hash, stage, table, text_chunks
 
 #: Windows that one vectorised step handles at a time.
 SLICE = 1 << 20
 _LOWEST = -(1 << 63)
 
 
-def _slices(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Bytes, windows' starts in them, their rows and what to add for the place in the row; long rows come in parts."""
-    n = len(data)
-    for a in range(0, max(n - length + 1, 0), SLICE):
-        b = min(a + SLICE, n - length + 1)
-        starts = np.arange(a, b)
-        row = np.searchsorted(offsets, starts, "right") - 1
-        inside = offsets[row + 1] >= starts + length
-        if inside.any():
-            yield data[a : b + length - 1], starts[inside] - a, row[inside], a - offsets[row[inside]]
+def _slices(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Bytes, rows with windows in them, and each one's first window, the end of its windows and its own begin there.
 
-
-def _runs(data: np.ndarray, starts: np.ndarray, row: np.ndarray, shift: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
+    Long rows come in parts; a part's places are counted from its first byte.
+    """
+    rows = np.flatnonzero(np.diff(offsets) >= length)
+    if not len(rows):
+        return
+    lo, hi = offsets[rows], offsets[rows + 1] - length + 1
+    for a in range(0, len(data) - length + 1, SLICE):
+        b = min(a + SLICE, len(data) - length + 1)
+        i, j = np.searchsorted(hi, a, "right"), np.searchsorted(lo, b)
+        if i < j:
+            yield data[a : b + length - 1], rows[i:j], np.maximum(lo[i:j], a) - a, np.minimum(hi[i:j], b) - a, lo[i:j] - a
+
+
+def _runs(data: np.ndarray, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, begin: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
     """Windows in a row with one anchor: their row, first place, number, and hashes."""
     sums = prefix_sums(data)
     n = len(data) - gram + 1
-    at = np.arange(n)
-    name = span_hash(sums, at, at + gram)
+    name = mix((sums[gram:] - sums[:-gram]) * powers(len(data))[1][:n])
     # the leftmost least hash: 40 bits of it, then the place
-    low = (mix(name ^ np.uint64(0x5851F42D4C957F2D)) & ~np.uint64((1 << 24) - 1)) | at.astype(np.uint64)
+    low = name * np.uint64(0x5851F42D4C957F2D)
+    low &= ~np.uint64((1 << 24) - 1)
+    low |= np.arange(n, dtype=np.uint64)
     span, have = length - gram + 1, 1
     while have * 2 <= span:
         low = np.minimum(low[:-have], low[have:])
         have *= 2
     if have < span:
         low = np.minimum(low[: len(low) - (span - have)], low[span - have :])
-    anchor = (low[starts] & np.uint64((1 << 24) - 1)).astype(np.int64)
-    new = np.ones(len(starts), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1) | (row[1:] != row[:-1])
-    first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(starts)))
-    p, a = starts[first], anchor[first]
-    return {"sums": sums, "p": p, "anchor": a, "count": count, "row": row[first], "place": p + shift[first], "name": name[a]}
+    inside = np.zeros(len(low) + 1, np.int8)
+    inside[lo] += 1
+    inside[hi] -= 1
+    new = np.ones(len(low), bool)
+    new[1:] = low[1:] != low[:-1]
+    new[lo] = True
+    p = np.flatnonzero(new & (np.cumsum(inside[:-1], dtype=np.int8) > 0))
+    at = np.searchsorted(lo, p, "right") - 1
+    count = np.minimum(np.append(p[1:], len(low)), hi[at]) - p
+    a = (low[p] & np.uint64((1 << 24) - 1)).astype(np.int64)
+    return {"sums": sums, "p": p, "anchor": a, "count": count, "row": rows[at], "place": p - begin[at], "name": name[a]}
 
 
 def _sides(run: dict[str, np.ndarray], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
