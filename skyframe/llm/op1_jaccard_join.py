@@ -4,8 +4,10 @@ Every document becomes a set of hashed word shingles; equal sets are one from th
 must share one of the few first shingles of each (all sets sorted alike), so sets meet by these. Among the sets that
 meet, a signature tree decides: its leaves hold bitmaps of whole sets, its nodes the OR of their bitmaps and their range
 of sizes, and a dual traversal leaves out pairs of nodes whose largest possible overlap is too small. What is left is
-verified on whole sets. Links are looked for first from every set to a pivot of its group, then between sets that are
-not yet connected, so large groups of near copies cost about one verification for each member.
+verified on whole sets. Links are looked for first between sets with the same first shingle, from each to a pivot of its
+group; then from every set to the pivots of all its groups that are not connected yet; then between all sets that are not
+connected. So large groups of near copies cost about one verification for each member, and most of their other groups
+are never built.
 """
 
 from __future__ import annotations
@@ -15,9 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyframe.llm import _bitmap as bitmaps
 from skyframe.llm._common import drop_stage, grams, lists, mix, record_batch, stage, table, text_chunks, words
 from skyframe.llm._graph import components
 
@@ -26,7 +30,6 @@ HOT_SETS = 1_000
 #: Groups with more members are dealt out as pairs of blocks.
 BLOCK_SETS = 8_192
 LEAF, FAN = 16, 4
-_BLOOM = 1 << 22
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -127,10 +130,8 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n:
     by_set = described.where("n > 0").groupBy("set_id").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     sets = stage(by_set, "distinct")
 
-    groups = stage(_meetings(sets, num, den), "groups")
-    links = _links(source, sets, groups, n, num, den)
+    links = _links(source, sets, n, num, den)
     roots = components(links) if links is not None else None
-    drop_stage(groups)
 
     least = sets.select("set_id", F.col("key").alias("least"))
     if roots is not None:
@@ -146,22 +147,32 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n:
     return joined.unionByName(none).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _meetings(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``(gid, set_id)``: groups of two sets or more that share a prefix shingle; equal groups are given once.
+def _rooted(sets: DataFrame, links: DataFrame | None, *columns: str) -> DataFrame:
+    """``columns`` and ``root``: what a set is connected to by now, null where it is alone."""
+    if links is None:
+        return sets.select("set_id", *columns, F.lit(None).cast("long").alias("root"))
+    roots = components(links)
+    return sets.join(roots, sets["set_id"] == roots["node"], "left").select("set_id", *columns, "root")
+
+
+def _meetings(rooted: DataFrame, num: int, den: int) -> DataFrame:
+    """``(gid, set_id)``: groups of sets that share a prefix shingle and are not all connected; equal groups are given once.
 
     A group ends where the next size is too large for the size before it: no link crosses such a step.
     """
-    rows = sets.select("set_id", "n", F.explode("prefix").alias("token")).repartition("token").sortWithinPartitions("token", "n", "set_id")
+    rows = rooted.select("set_id", "n", "root", F.explode("prefix").alias("token")).repartition("token").sortWithinPartitions("token", "n", "set_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, size, seen = None, 0, set()
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def ended() -> pa.RecordBatch | None:
             nonlocal held
-            members, held = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64), []
-            if len(members) < 2:
+            members, roots = (np.concatenate([h[k] for h in held]) if held else np.zeros(0, np.int64) for k in (0, 1))
+            held = []
+            if len(members) < 2 or (roots == roots[0]).all():
                 return None
+            members = np.unique(members)
             gid = _set_id(members.view(np.uint64))
             if gid in seen:
                 return None
@@ -171,6 +182,7 @@ def _meetings(sets: DataFrame, num: int, den: int) -> DataFrame:
 
         for batch in batches:
             tokens, ids, sizes = (batch.column(c).to_numpy() for c in ("token", "set_id", "n"))
+            roots = pc.coalesce(batch.column("root"), batch.column("set_id")).to_numpy()
             if not len(tokens):
                 continue
             step = (tokens[1:] != tokens[:-1]) | (sizes[:-1] * den < sizes[1:] * num)
@@ -179,12 +191,12 @@ def _meetings(sets: DataFrame, num: int, den: int) -> DataFrame:
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if a or tokens[a] != token or size * den < sizes[a] * num:
                     out.append(ended())
-                held.append(ids[a:b].copy())
+                held.append((ids[a:b].copy(), roots[a:b]))
             token, size = tokens[-1], int(sizes[-1])
             yield from _joined(out)
         yield from _joined([ended()])
 
-    return rows.select("token", "set_id", "n").mapInArrow(run, "gid long, set_id long").dropDuplicates(["gid", "set_id"])
+    return rows.select("token", "set_id", "n", "root").mapInArrow(run, "gid long, set_id long").dropDuplicates(["gid", "set_id"])
 
 
 def _joined(batches: list[pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
@@ -193,22 +205,38 @@ def _joined(batches: list[pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(some).combine_chunks().to_batches()
 
 
-def _links(source: DataFrame, sets: DataFrame, groups: DataFrame, n: int, num: int, den: int) -> DataFrame | None:
+def _links(source: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame | None:
     """Verified links that connect all sets which links connect; None without any."""
-    dealt = stage(_dealt(groups, sets), "dealt")
-    pivots = stage(_candidates(dealt.withColumn("root", F.col("set_id")), num, den, pivots=True), "pivots")
-    links = _verified(source, pivots, n, num, den)
-    known = dealt.withColumn("root", F.col("set_id"))
-    if links is not None:
-        roots = components(links)
-        known = dealt.join(roots, dealt["set_id"] == roots["node"], "left").select(*dealt.columns, F.coalesce("root", "set_id").alias("root"))
-    several = known.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gid")
-    rest = stage(_candidates(known.join(several, "gid"), num, den, pivots=False), "rest")
-    more = _verified(source, rest, n, num, den)
-    drop_stage(dealt)
-    if links is None or more is None:
-        return more if links is None else links
-    return links.unionByName(more)
+    links = None
+
+    def verify(members: DataFrame, pivots: bool) -> None:
+        nonlocal links
+        pairs = stage(_candidates(members, num, den, pivots=pivots), "pairs")
+        more = _verified(source, sets, pairs, n, num, den)
+        drop_stage(pairs)
+        links = more if links is None else links if more is None else links.unionByName(more)
+
+    verify(_first_groups(sets), True)
+    groups = stage(_meetings(_rooted(sets, links, "n", "prefix"), num, den), "groups")
+    if not groups.isEmpty():
+        dealt = stage(_dealt(groups, sets), "dealt")
+        for pivots in (True, False):
+            known = _rooted(dealt, links, "gid", "n", "bits").withColumn("root", F.coalesce("root", "set_id"))
+            several = known.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gid")
+            verify(known.join(several, "gid"), pivots)
+        drop_stage(dealt)
+    drop_stage(groups)
+    return links
+
+
+def _first_groups(sets: DataFrame) -> DataFrame:
+    """Every set in the group of its first shingle. Large groups come in blocks: what these miss is found later."""
+    first = sets.select(F.get("prefix", F.lit(0)).alias("gid"), "set_id", "n", "bits", F.col("set_id").alias("root"))
+    large = stage(first.groupBy("gid").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_SETS), "large")
+    if large.isEmpty():
+        return first
+    block = F.pmod(F.xxhash64("set_id"), F.ceil(F.col("m") / (BLOCK_SETS // 2))).cast("int")
+    return first.join(large, "gid", "left").withColumn("gid", F.when(F.col("m").isNull(), F.col("gid")).otherwise(F.xxhash64("gid", block))).drop("m")
 
 
 def _dealt(groups: DataFrame, sets: DataFrame) -> DataFrame:
@@ -379,27 +407,24 @@ def _children(nodes: np.ndarray, step: int, n: int, stays: bool) -> np.ndarray:
     return np.where(c < n, c, -1)
 
 
-def _verified(source: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame | None:
-    """The pairs that reach the threshold by their whole sets, which are taken from the texts anew."""
-    spark = source.sparkSession
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("set_id"))
-    at = asked.select(F.pmod("set_id", F.lit(_BLOOM)).cast("int").alias("at")).distinct().toArrow().column("at").to_numpy()
-    if not len(at):
+def _verified(source: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame | None:
+    """The pairs that reach the threshold by their whole sets, which are taken anew from the text of one document each."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    keys = stage(sets.select("set_id", F.xxhash64("key").alias("key")).join(ids, "set_id", "left_semi").select("key").distinct(), "asked")
+    if keys.isEmpty():
         return None
-    bitmap = np.zeros(_BLOOM, bool)
-    bitmap[at] = True
-    packed = spark.sparkContext.broadcast(np.packbits(bitmap).tobytes())  # 512 KB, whatever the corpus
-
-    def wanted(keys, data, offsets):
-        bits = np.unpackbits(np.frombuffer(packed.value, np.uint8))
-        ids, out = [], []
-        for s in shingle_sets(data, offsets, n):
-            if len(s) and bits[(sid := _set_id(s)) % _BLOOM]:
-                ids.append(sid)
-                out.append(s.tobytes())
-        return record_batch(set_id=pa.array(ids, pa.int64()), names=pa.array(out, pa.binary()))
-
-    whole = stage(_over(source, wanted, "set_id long, names binary").groupBy("set_id").agg(F.first("names").alias("names")), "names")
+    asked = bitmaps.build(keys, F.col("key"))
+    drop_stage(keys)
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(pa.array(bitmaps.contains(asked, batch.column(0).to_numpy())))
+            for _, _, data, offsets in text_chunks(some.column(1)):
+                found = [s for s in shingle_sets(data, offsets, n) if len(s)]
+                yield record_batch(set_id=np.array([_set_id(s) for s in found], np.int64), names=pa.array([s.tobytes() for s in found], pa.binary()))
+
+    texts = source.select(F.xxhash64("key").alias("key"), "text")
+    whole = stage(texts.mapInArrow(wanted, "set_id long, names binary").groupBy("set_id").agg(F.first("names").alias("names")), "names")
     left = whole.select(F.col("set_id").alias("a"), F.col("names").alias("x"))
     right = whole.select(F.col("set_id").alias("b"), F.col("names").alias("y"))
 
