@@ -5,9 +5,9 @@ must share one of the few first shingles of each (all sets sorted alike), so set
 meet, a signature tree decides: its leaves hold bitmaps of whole sets, its nodes the OR of their bitmaps and their range
 of sizes, and a dual traversal leaves out pairs of nodes whose largest possible overlap is too small. What is left is
 verified on whole sets. Links are looked for first between sets with the same first shingle, from each to a pivot of its
-group; then from every set to the pivots of all its groups that are not connected yet; then between all sets that are not
-connected. So large groups of near copies cost about one verification for each member, and most of their other groups
-are never built.
+group; then between all sets of a group that are not connected yet. Groups with very many such pairs are linked by their
+pivots once more, before all of what is left is looked at. So large groups of near copies cost about one verification
+for each member, and most of their other groups are never built.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ HOT_SETS = 1_000
 #: Groups with more members are dealt out as pairs of blocks.
 BLOCK_SETS = 8_192
 LEAF, FAN = 16, 4
+#: A group with more pairs than this for each member is linked by its pivots before all its pairs are looked at.
+MANY_PAIRS = 16
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -109,7 +111,7 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n:
         return record_batch(token=token.view(np.int64), n=times)
 
     counted = _over(source, firsts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    sizes = counted.where(F.col("n") > HOT_SETS)
+    sizes = stage(counted.where(F.col("n") > HOT_SETS), "hot")
     totals = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
     # at most 100,000 shingles, whatever the corpus
     hot = np.sort(sizes.where(F.col("n") > totals / 100_000).select("token").toArrow().column("token").to_numpy().view(np.uint64)) if totals else np.zeros(0, np.uint64)
@@ -209,23 +211,22 @@ def _links(source: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> Da
     """Verified links that connect all sets which links connect; None without any."""
     links = None
 
-    def verify(members: DataFrame, pivots: bool) -> None:
+    def verify(members: DataFrame, mode: str) -> DataFrame:
+        """The groups that have been left for later."""
         nonlocal links
-        pairs = stage(_candidates(members, num, den, pivots=pivots), "pairs")
-        more = _verified(source, sets, pairs, n, num, den)
-        drop_stage(pairs)
+        pairs = stage(_candidates(members, num, den, mode), "pairs")
+        more = _verified(source, sets, pairs.where("b is not null"), n, num, den)
         links = more if links is None else links if more is None else links.unionByName(more)
+        return pairs.where("b is null").select(F.col("a").alias("gid"))
 
-    verify(_first_groups(sets), True)
+    verify(_first_groups(sets), "pivots")
     groups = stage(_meetings(_rooted(sets, links, "n", "prefix"), num, den), "groups")
-    if not groups.isEmpty():
-        dealt = stage(_dealt(groups, sets), "dealt")
-        for pivots in (True, False):
-            known = _rooted(dealt, links, "gid", "n", "bits").withColumn("root", F.coalesce("root", "set_id"))
-            several = known.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gid")
-            verify(known.join(several, "gid"), pivots)
-        drop_stage(dealt)
-    drop_stage(groups)
+    for mode in ("few", "all"):
+        if groups.isEmpty():
+            break
+        known = _rooted(stage(_dealt(groups, sets), "dealt"), links, "gid", "n", "bits")
+        left = verify(known.withColumn("root", F.coalesce("root", "set_id")), mode)
+        groups = stage(known.join(left, "gid", "left_semi").select("gid", "set_id"), "groups")
     return links
 
 
@@ -255,11 +256,12 @@ def _dealt(groups: DataFrame, sets: DataFrame) -> DataFrame:
     return small.unionByName(split).join(sets.select("set_id", "n", "bits"), "set_id").select("gid", "set_id", "n", "bits")
 
 
-def _candidates(members: DataFrame, num: int, den: int, *, pivots: bool) -> DataFrame:
+def _candidates(members: DataFrame, num: int, den: int, mode: str) -> DataFrame:
     """Pairs ``(a, b)`` within groups that the signature tree cannot rule out and whose roots differ.
 
     ``pivots``: of each group only the pairs with its middle, the member nearest to what most bitmaps hold, and with its
-    first member by an order of its own.
+    first member by an order of its own. ``few``: all pairs, but of a group with very many the pivots' ones and a row
+    ``(gid, null)``. ``all``: all pairs.
     """
     dealt = members.repartition("gid").sortWithinPartitions("gid", "n", "set_id").select("gid", "set_id", "n", "bits", "root")
 
@@ -275,11 +277,18 @@ def _candidates(members: DataFrame, num: int, den: int, *, pivots: bool) -> Data
                 return None
             ids, size, root = (part.column(c).to_numpy() for c in ("set_id", "n", "root"))
             bits = part.column("bits").to_pylist()
-            pairs = list(tree_pairs(size, bits, root, num, den, _pivots(ids, bits) if pivots else None))
-            if not pairs:
-                return None
-            i, j = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-            return record_batch(a=np.minimum(ids[i], ids[j]), b=np.maximum(ids[i], ids[j]))
+            pairs, found, later = [], 0, mode == "pivots"
+            for p in () if later or (root == root[0]).all() else tree_pairs(size, bits, root, num, den):
+                pairs.append(p)
+                found += len(p[0])
+                if later := mode == "few" and found > MANY_PAIRS * part.num_rows:
+                    break
+            if later:
+                pairs = list(tree_pairs(size, bits, root, num, den, _pivots(ids, bits)))
+            left = [gid] if later and mode == "few" else []
+            i, j = (np.concatenate([np.zeros(0, np.int64), *[p[k] for p in pairs]]) for k in (0, 1))
+            a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+            return record_batch(a=np.concatenate([a, np.array(left, np.int64)]), b=pa.array([*b.tolist(), *[None] * len(left)], pa.int64()))
 
         for batch in batches:
             gids = batch.column("gid").to_numpy()

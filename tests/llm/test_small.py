@@ -273,3 +273,11 @@ def test_urls(spark):
     assert op10.filter_urls(pages.limit(0), rules).count() == 0
     with pytest.raises(ValueError):
         op10.filter_urls(pages, rules, max_trie_bytes=10)
+
+
+def test_jaccard_groups_with_many_pairs(spark, monkeypatch):
+    monkeypatch.setattr(op1, "MANY_PAIRS", 0)
+    base = prose(80, 1).split()
+    rows = [(i, " ".join([*base[: 80 - i % 3], "end%d" % i])) for i in range(40)] + [(90, prose(80, 2))]
+    got = {r["doc_id"]: r["component_id"] for r in op1.jaccard_join(docs(spark, rows), n=3, threshold=(9, 10)).collect()}
+    assert got == {i: 90 if i == 90 else 0 for i, _ in rows}
