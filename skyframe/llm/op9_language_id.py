@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skyframe.llm._common import crc_mod, table
+from skyframe.llm._common import crc_mod, release, table
 
 UNDETERMINED = "und"
 #: A text is encoded in pieces, so that the dictionary and not the text's own beginning explains each of them.
@@ -125,6 +125,7 @@ def identify_languages(
                 lang[told[ok]] = np.array(names, object)[best[ok]]
                 score[told[ok]] = sure[ok]
             yield pd.DataFrame({"lang": lang, "score": score})
+            release()
 
     kept = [c for c in docs.columns if c.lower() not in {x.lower() for x in columns}]
     lettered: Column = F.when(docs[text].rlike(r"\p{L}"), docs[text])
