@@ -4,11 +4,13 @@ Documents share a passage where they share k-mers in the same order. Of every fe
 equal passages give equal seeds. Seeds that only one place has go first. Every other occurrence is matched with the
 first one and with the one before it in another document, not with all; so a passage that thousands of documents share
 costs two matches per occurrence. The matches of two documents are merged along diagonals, chained with gap costs through
-a Fenwick tree, and the chains are aligned word by word.
+queues of the best block near each place, and the chains are aligned word by word.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -230,32 +232,12 @@ def _before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = tuple(c[keep].copy() for c in (seed, doc, tag, pos))
 
 
-class _Fenwick:
-    """Greatest (score, block) over a prefix of places."""
-
-    def __init__(self, n: int):
-        self.best: list[tuple[float, int]] = [(-np.inf, -1)] * (n + 1)
-
-    def raise_to(self, i: int, value: tuple[float, int]) -> None:
-        i += 1
-        while i < len(self.best):
-            if self.best[i] < value:
-                self.best[i] = value
-            i += i & -i
-
-    def over(self, n: int) -> tuple[float, int]:
-        found = (-np.inf, -1)
-        while n > 0:
-            found = max(found, self.best[n])
-            n -= n & -n
-        return found
-
-
 def chain(pos: np.ndarray, spos: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Passages ``(start, end, source_start, source_end)`` of chained k-mer matches, best chains first, without overlap.
 
     Matches on one diagonal that follow closely make one block. A chain earns its blocks' words and pays for the words in
-    its gaps; the best chain that ends at a block is found through a Fenwick tree over the places in the source.
+    its gaps. Of the blocks that end at most MAX_GAP words back in both texts the best one goes before a block: for each
+    end in the source a queue holds, best first, those that may still be the best of that end.
     """
     order = np.lexsort((pos, pos - spos))
     p, s = pos[order], spos[order]
@@ -269,24 +251,23 @@ def chain(pos: np.ndarray, spos: np.ndarray) -> list[tuple[int, int, int, int]]:
     n = len(p0)
     if n == 1:
         return [(p0[0], p1[0], s0[0], s1[0])]
-    ends = sorted(set(s1))
-    rank = {e: i for i, e in enumerate(ends)}
-    ends = np.array(ends)
-    tree = _Fenwick(len(ends))
     score, back = [0.0] * n, [-1] * n
     waiting: list[tuple[int, int]] = []  # blocks enter when they end before the block in hand begins
-    import heapq
-
+    near: dict[int, deque[tuple[float, int]]] = {}
     for i in range(n):
         while waiting and waiting[0][0] <= p0[i]:
             _, j = heapq.heappop(waiting)
-            tree.raise_to(rank[s1[j]], (score[j] + GAP_COST * (p1[j] + s1[j]), j))
-        own = float(p1[i] - p0[i])
-        score[i] = own
-        value, j = tree.over(int(np.searchsorted(ends, s0[i], "right")))
-        # the best by cost may lie too far back; then the block begins a chain
-        if j >= 0 and p0[i] - p1[j] <= MAX_GAP and s0[i] - s1[j] <= MAX_GAP and value - GAP_COST * (p0[i] + s0[i]) > 0:
-            score[i], back[i] = own + value - GAP_COST * (p0[i] + s0[i]), j
+            queue, value = near.setdefault(s1[j], deque()), score[j] + GAP_COST * (p1[j] + s1[j])
+            while queue and queue[-1][0] <= value:
+                queue.pop()
+            queue.append((value, j))
+        score[i] = own = float(p1[i] - p0[i])
+        for end in range(s0[i] - MAX_GAP, s0[i] + 1):
+            queue = near.get(end, ())
+            while queue and p0[i] - p1[queue[0][1]] > MAX_GAP:
+                queue.popleft()
+            if queue and own + queue[0][0] - GAP_COST * (p0[i] + s0[i]) > score[i]:
+                score[i], back[i] = own + queue[0][0] - GAP_COST * (p0[i] + s0[i]), queue[0][1]
         heapq.heappush(waiting, (p1[i], i))
     used, out = [False] * n, []
     for i in sorted(range(n), key=lambda i: -score[i]):

@@ -144,6 +144,13 @@ def test_chain_follows_order_and_gaps():
     assert op4._in_order(a, b) == 6
 
 
+def test_chain_asks_near_blocks_behind_a_long_run():
+    far = np.arange(0, 495, 5)
+    near = np.concatenate([np.arange(k, k + 9) for k in range(800, 860, 15)])
+    pos, spos = np.concatenate([far, near]), np.concatenate([far, near + (near - 800) // 15])
+    assert op4.chain(pos, spos) == [(0, 496, 0, 496), (800, 859, 800, 862)]
+
+
 def brute_repeats(rows, length):
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
