@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,10 @@ K, WINDOW = 6, 10
 MAX_GAP = 30
 #: Per word of a gap in either document: the longest gap costs what one seed earns.
 GAP_COST = K / (2 * MAX_GAP)
-#: Words looked at beyond a chain's ends.
+#: Words looked at beyond a chain's ends; four times as many where an alignment gets as far.
 MARGIN = 64
+#: Matched words that the growth of an end may fall behind its best: six words in a row that differ on both sides.
+DROP = 24
 
 
 def _seeds(name: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,35 +166,52 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
         return record_batch(doc=doc[on], tag=tag[on], names=lists((name[took] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.cumsum(n)))
 
     named = stage(_over(source, texts, "doc long, tag int, names array<int>").groupBy("doc", "tag").agg(F.first("names").alias("names")), "names")
-    mine = F.greatest(F.col("start") - MARGIN, F.lit(0))
-    theirs = F.greatest(F.col("source_start") - MARGIN, F.lit(0))
-    left = passages.join(named, ["doc", "tag"]).select(*passages.columns, F.slice("names", mine + 1, F.col("end") - mine + MARGIN).alias("x"))
     right = named.select(F.col("doc").alias("source"), F.col("tag").alias("source_tag"), F.col("names").alias("theirs"))
-    both = left.join(right, ["source", "source_tag"]).select(*passages.columns, "x", F.slice("theirs", theirs + 1, F.col("source_end") - theirs + MARGIN).alias("y"))
 
-    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = {k: batch.column(k).to_numpy() for k in ("doc", "tag", "source", "start", "end", "source_start", "source_end")}
-            out = []
-            for i in range(batch.num_rows):
-                x, y = (batch.column(k)[i].values.to_numpy() for k in ("x", "y"))
-                a, b = max(c["start"][i] - MARGIN, 0), max(c["source_start"][i] - MARGIN, 0)
-                p0, p1, s0, s1, n = align(x, y, c["start"][i] - a, c["end"][i] - a, c["source_start"][i] - b, c["source_end"][i] - b)
-                like = n / max(p1 - p0, s1 - s0, 1)
-                if n >= min_words and like >= similarity:
-                    out.append((c["doc"][i], c["tag"][i], p0 + a, p1 + a, c["source"][i], s0 + b, s1 + b, n, like))
-            names = ["doc", "tag", "start", "end", "source", "source_start", "source_end", "matched", "similarity"]
-            kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 6, pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
-
-    schema = "doc long, tag int, start long, end long, source long, source_start long, source_end long, matched long, similarity double"
-    found = stage(both.mapInArrow(aligned, schema), "passages")
-    drop_stage(passages, named)
+    def looked_at(asked: DataFrame, margin: int) -> DataFrame:
+        mine = F.greatest(F.col("start") - margin, F.lit(0))
+        theirs = F.greatest(F.col("source_start") - margin, F.lit(0))
+        left = asked.join(named, ["doc", "tag"]).select(*asked.columns, F.slice("names", mine + 1, F.col("end") - mine + margin).alias("x"))
+        both = left.join(right, ["source", "source_tag"]).select(*asked.columns, "x", F.slice("theirs", theirs + 1, F.col("source_end") - theirs + margin).alias("y"))
+
+        keys = asked.columns
+
+        def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                c = {k: batch.column(k).to_numpy() for k in keys}
+                out = []
+                for i in range(batch.num_rows):
+                    x, y = (batch.column(k)[i].values.to_numpy() for k in ("x", "y"))
+                    a, b = max(c["start"][i] - margin, 0), max(c["source_start"][i] - margin, 0)
+                    p0, p1, s0, s1, n, back, on = align(x, y, c["start"][i] - a, c["end"][i] - a, c["source_start"][i] - b, c["source_end"][i] - b, similarity)
+                    # growth that comes near the border of what was looked at may go on behind it
+                    more = bool(
+                        (a > 0 and back[0] > margin - DROP) or (len(x) == c["end"][i] - a + margin and on[0] > margin - DROP)
+                        or (b > 0 and back[1] > margin - DROP) or (len(y) == c["source_end"][i] - b + margin and on[1] > margin - DROP)
+                    )
+                    like = n / max(p1 - p0, s1 - s0, 1)
+                    if more or (n >= min_words and like >= similarity):
+                        out.append((*(c[k][i] for k in keys), p0 + a, p1 + a, s0 + b, s1 + b, n, like, more))
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * 9, pa.float64(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], [x.split()[0] for x in _ALIGNED.split(", ")])
+
+        return stage(both.mapInArrow(aligned, _ALIGNED), "aligned")
+
+    rounds, margin = [looked_at(passages, MARGIN)], MARGIN
+    while rounds[-1].where("more").limit(1).count():
+        margin *= 4
+        rounds.append(looked_at(rounds[-1].where("more").select(*passages.columns), margin))
+    ended = [r.where(~F.col("more")) for r in rounds]
+    result = ["doc", "tag", F.col("p0").alias("start"), F.col("p1").alias("end"), "source", F.col("s0").alias("source_start"), F.col("s1").alias("source_end"), "matched", "similarity"]
+    # several chains of two documents may grow to one passage
+    found = stage(reduce(DataFrame.unionByName, ended).select(*result).distinct(), "passages")
+    drop_stage(passages, named, *rounds)
     return found
 
 
 _LOWEST = -(1 << 63)
 _PASSAGE = "doc long, tag int, source long, source_tag int, start long, end long, source_start long, source_end long"
+_ALIGNED = f"{_PASSAGE}, p0 long, p1 long, s0 long, s1 long, matched long, similarity double, more boolean"
 
 
 def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -280,18 +300,62 @@ def chain(pos: np.ndarray, spos: np.ndarray) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def align(x: np.ndarray, y: np.ndarray, p0: int, p1: int, s0: int, s1: int) -> tuple[int, int, int, int, int]:
-    """Grows the chained ranges over equal words at both ends and counts the words matched in order between them."""
+def align(x: np.ndarray, y: np.ndarray, p0: int, p1: int, s0: int, s1: int, similarity: float = 0.8) -> tuple[int, int, int, int, int, np.ndarray, np.ndarray]:
+    """Grows the chained ranges at both ends, over edits too, and counts the words matched in order.
+
+    Of the ends that either side may have, the pair with most matched words is taken that holds ``similarity``; the chained
+    range stays where none does. Last come the words of x and y that the longest growth took at either side.
+    """
     p1, s1 = min(p1, len(x)), min(s1, len(y))
-    n = min(p0, s0)
-    back = x[p0 - n : p0][::-1] != y[s0 - n : s0][::-1]
-    n = int(back.argmax()) if back.any() else n
-    p0, s0 = p0 - n, s0 - n
-    n = min(len(x) - p1, len(y) - s1)
-    on = x[p1 : p1 + n] != y[s1 : s1 + n]
-    n = int(on.argmax()) if on.any() else n
-    p1, s1 = p1 + n, s1 + n
-    return p0, p1, s0, s1, _in_order(x[p0:p1], y[s0:s1])
+    inner = _in_order(x[p0:p1], y[s0:s1])
+    left, right = _grown(x[:p0][::-1], y[:s0][::-1]), _grown(x[p1:], y[s1:])
+    i, j, n = (left[:, None, k] + right[None, :, k] for k in range(3))
+    n = n + inner
+    longer = np.maximum(i + (p1 - p0), j + (s1 - s0))
+    ok = n >= similarity * longer
+    best = int(np.where(ok, n * (longer.max() + 1) - longer, -1).argmax()) if ok.any() else 0
+    a, b = divmod(best, len(right))
+    return p0 - int(left[a, 0]), p1 + int(right[b, 0]), s0 - int(left[a, 1]), s1 + int(right[b, 1]), int(n[a, b]), left[-1], right[-1]
+
+
+def _grown(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``(words of x, words of y, matched)``: how far an alignment from the beginning of both gets with 0, 1, 2, ... edits.
+
+    An edit is a word that only one side has, and costs two matched words; the search ends at DROP below the best.
+    """
+    m = min(len(x), len(y))
+    differ = x[:m] != y[:m]
+    n = int(differ.argmax()) if differ.any() else m
+    out, best = [(0, 0, 0)], n
+    if n:
+        out.append((n, n, n))
+    if n == len(x) or n == len(y):
+        return np.array(out)
+    a, b = x[n:].tolist(), y[n:].tolist()
+    reach, last_i, last_j = {0: 0}, len(a), len(b)
+    matched = 0
+    for d in range(1, last_i + last_j + 1):
+        if n + matched - 2 * d < best - DROP:
+            break
+        now, top = {}, (matched, 0, 0)
+        for k in range(-d, d + 1, 2):
+            i = max(reach.get(k - 1, -2) + 1, reach.get(k + 1, -1))
+            j = i - k
+            if i < 0 or j < 0 or i > last_i or j > last_j:
+                continue
+            while i < last_i and j < last_j and a[i] == b[j]:
+                i += 1
+                j += 1
+            now[k] = i
+            top = max(top, ((i + j - d) // 2, i, j))
+        reach = now
+        if not now:
+            break
+        if top[0] > matched:
+            matched = top[0]
+            out.append((n + top[1], n + top[2], n + matched))
+            best = max(best, n + matched - 2 * d)
+    return np.array(out)
 
 
 def _in_order(a: np.ndarray, b: np.ndarray) -> int:

@@ -151,6 +151,37 @@ def test_chain_asks_near_blocks_behind_a_long_run():
     assert op4.chain(pos, spos) == [(0, 496, 0, 496), (800, 859, 800, 862)]
 
 
+def test_align_grows_over_edits():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n = int(rng.integers(50, 100))
+        p = np.arange(n)
+        q = p.copy()
+        q[rng.choice(n, n // 12, replace=False)] = 7000 + np.arange(n // 12)
+        x, y = np.concatenate([np.arange(1000, 1064), p, np.arange(2000, 2064)]), np.concatenate([np.arange(3000, 3064), q, np.arange(4000, 4064)])
+        same = np.flatnonzero((p[:-5] == q[:-5]) & np.array([(p[i : i + 6] == q[i : i + 6]).all() for i in range(n - 5)]))
+        if not len(same):
+            continue
+        at = int(rng.choice(same)) + 64
+        p0, p1, s0, s1, matched, *_ = op4.align(x, y, at, at + 6, at, at + 6)
+        # brute force: the most words equal within any range around the chained one that is alike enough
+        equal = np.concatenate([[0], np.cumsum(x == y)])
+        best = max(int(equal[b] - equal[a]) for a in range(at + 1) for b in range(at + 6, len(x) + 1) if equal[b] - equal[a] >= 0.8 * (b - a))
+        assert matched >= best and matched >= 0.8 * max(p1 - p0, s1 - s0)
+
+
+def test_passages_with_edits_near_their_ends(spark):
+    p = prose(60, 1).split()
+    q = p.copy()
+    q[10], q[50] = "one", "other"
+    rows = [(1, " ".join([prose(80, 2), *p, prose(80, 3)])), (2, " ".join([prose(90, 4), *q, prose(90, 5)]))]
+    long = prose(900, 8).split()
+    edited = [w if i % 9 or 350 < i < 550 else "w%d" % i for i, w in enumerate(long)]
+    rows += [(3, " ".join(long)), (4, " ".join(edited))]
+    got = {(r["doc"], r["source"]): (r["start"], r["end"], r["matched"]) for r in op4.repeated_passages(docs(spark, rows)).collect()}
+    assert got == {(2, 1): (90, 150, 58), (4, 3): (1, 900, 900 - sum(a != b for a, b in zip(long, edited, strict=True)))}
+
+
 def brute_repeats(rows, length):
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
