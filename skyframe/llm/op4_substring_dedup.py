@@ -3,7 +3,8 @@
 Documents share a passage where they share k-mers in the same order. Of every few k-mers one is taken, by its hash, so
 equal passages give equal seeds. Seeds that only one place has go first. Every other occurrence is matched with the
 first one and with the one before it in another document, not with all; so a passage that thousands of documents share
-costs two matches per occurrence. The matches of two documents are merged along diagonals, chained with gap costs through
+costs two matches per occurrence. Every run of ``min_words`` words in a row is matched with its first owner as well, which
+has the whole run: a passage without edits is found however its seeds are shared out among other documents. The matches of two documents are merged along diagonals, chained with gap costs through
 queues of the best block near each place, and the chains are aligned word by word.
 """
 
@@ -39,6 +40,10 @@ def _seeds(name: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     A k-mer that comes again at once, as in a word said fifty times, counts its repeats: so two such runs match in order.
     """
     h, at = _chosen(name, row)
+    return _numbered(h, at, row), at
+
+
+def _numbered(h: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
     order = np.lexsort((at, h, row[at]))
     x, p, r = h[order], at[order], row[at[order]]
     again = np.zeros(len(h), bool)
@@ -46,7 +51,22 @@ def _seeds(name: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     number = np.arange(len(h)) - np.maximum.accumulate(np.where(again, 0, np.arange(len(h)))) if len(h) else np.zeros(0, np.int64)
     h = h.copy()
     h[order] = np.where(number > 0, mix(x + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), x)
-    return h, at
+    return h
+
+
+def _runs(name: np.ndarray, row: np.ndarray, at: np.ndarray, known: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of each run of ``n`` words that another text may have: none of its seeds is ``known`` to be single.
+
+    Only seeds are asked that the run has wherever it stands, being the least k-mer of a window inside it.
+    """
+    h, place = grams(name, row, n)
+    single = np.zeros(len(name) + 1, np.int64)
+    single[at[~known] + 1] = 1
+    single = np.cumsum(single)
+    last = place + n - K - WINDOW + 1
+    ok = (last < place + WINDOW - 1) | (single[np.maximum(last + 1, 0)] == single[np.minimum(place + WINDOW - 1, len(name))])
+    # the number of words is part of the name, which keeps runs and seeds apart
+    return mix(h[ok] ^ np.uint64(0xA0761D6478BD642F + n)), place[ok]
 
 
 def _chosen(name: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,8 +112,10 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     ``doc`` and ``source`` are keys, ``start`` and ``end`` numbers of words (runs of characters that are no ASCII white
     space, A-Z lower-cased). The source is a document with a smaller key. At least ``min_words`` words of a passage
     match words of the source in order, and these are at least ``similarity`` of the longer side. Each occurrence is
-    aligned with the first source of its seeds and with the latest before it, so every document that repeats a passage
-    is named, though not each of its sources. ``tag`` tells rows with one key and different texts apart.
+    aligned with the first source of its seeds and with the latest before it, and each run of ``min_words`` words with its
+    first source. So every document that repeats ``min_words`` words without an edit is named, though not each of its
+    sources. Not found is a passage with edits whose only source is neither first nor latest for enough of its seeds.
+    ``tag`` tells rows with one key and different texts apart.
 
     * null, empty and short texts have no passages; repeated rows are one document; a null key comes before all others.
     * passages inside one document only are not looked for. An empty table gives no rows; other columns are not read.
@@ -101,30 +123,46 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     source = _identified(docs, key, text)
 
     def all_seeds(doc, tag, row, place, name):
-        h, _ = _seeds(name, row)
-        h, n = np.unique(h, return_counts=True)
+        plain, at = _chosen(name, row)
+        h = _numbered(plain, at, row)
+        h, n = np.unique(np.concatenate([h, plain[h != plain]]), return_counts=True)
         return record_batch(seed=h.view(np.int64), n=n)
 
     again = stage(_over(source, all_seeds, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed"), "seeds")
     known = _bitmap.build(again, F.col("seed"))
     drop_stage(again)
 
+    long = max(min_words, K)
+
+    def all_runs(doc, tag, row, place, name):
+        plain, at = _chosen(name, row)
+        h, n = np.unique(_runs(name, row, at, _bitmap.contains(known, plain), long)[0], return_counts=True)
+        return record_batch(run=h.view(np.int64), n=n)
+
+    again = stage(_over(source, all_runs, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).where("n > 1").select("run"), "runs")
+    known_runs = _bitmap.build(again, F.col("run"))
+    drop_stage(again)
+
     def places(doc, tag, row, place, name):
-        h, at = _seeds(name, row)
+        plain, at = _chosen(name, row)
+        h = _numbered(plain, at, row)
         keep = _bitmap.contains(known, h)
-        h, at = h[keep], at[keep]
-        return record_batch(seed=h.view(np.int64), doc=doc[row[at]], tag=tag[row[at]], pos=place[at].astype(np.int32))
+        run, begin = _runs(name, row, at, _bitmap.contains(known, plain), long)
+        some = _bitmap.contains(known_runs, run)
+        h, at, n = np.concatenate([h[keep], run[some]]), np.concatenate([at[keep], begin[some]]), np.repeat([K, long], [keep.sum(), some.sum()])
+        return record_batch(seed=h.view(np.int64), doc=doc[row[at]], tag=tag[row[at]], pos=place[at].astype(np.int32), n=n.astype(np.int32))
 
-    seeds = stage(_over(source, places, "seed long, doc long, tag int, pos int"), "places")
+    seeds = stage(_over(source, places, "seed long, doc long, tag int, pos int, n int"), "places")
     occurrence = F.struct("doc", "tag", "pos")
     first = seeds.groupBy("seed").agg(F.min(occurrence).alias("f"), F.max(occurrence).alias("l")).where((F.col("f.doc") != F.col("l.doc")) | (F.col("f.tag") != F.col("l.tag")))
     other = (F.col("doc") != F.col("f.doc")) | (F.col("tag") != F.col("f.tag"))
-    columns = ["doc", "tag", "source", "source_tag", "pos", "source_pos"]
-    with_first = seeds.join(first, "seed").where(other).select("doc", "tag", F.col("f.doc").alias("source"), F.col("f.tag").alias("source_tag"), "pos", F.col("f.pos").alias("source_pos"))
+    columns = ["doc", "tag", "source", "source_tag", "pos", "source_pos", "n"]
+    with_first = seeds.join(first, "seed").where(other).select("doc", "tag", F.col("f.doc").alias("source"), F.col("f.tag").alias("source_tag"), "pos", F.col("f.pos").alias("source_pos"), "n")
     # dealt by range, so that one seed may fill many tasks; at their borders the first occurrence stands in
-    ordered = seeds.repartitionByRange("seed", "doc", "tag", "pos").sortWithinPartitions("seed", "doc", "tag", "pos")
+    # a run's first owner is source enough for all of it: it has min_words words in a row
+    ordered = seeds.where(F.col("n") == K).drop("n").repartitionByRange("seed", "doc", "tag", "pos").sortWithinPartitions("seed", "doc", "tag", "pos")
     with_last = ordered.mapInArrow(_before, "doc long, tag int, source long, source_tag int, pos int, source_pos int")
-    matches = with_first.select(columns).unionByName(with_last)
+    matches = with_first.select(columns).unionByName(with_last.withColumn("n", F.lit(K)))
     dealt = matches.repartition("doc", "tag", "source", "source_tag").sortWithinPartitions("doc", "tag", "source", "source_tag", "pos", "source_pos")
 
     def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +171,11 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
         def ended() -> list[tuple]:
             if not held:
                 return []
-            pos, spos = (np.concatenate([h[k] for h in held]).astype(np.int64) for k in (0, 1))
+            pos, spos, n = (np.concatenate([h[k] for h in held]).astype(np.int64) for k in (0, 1, 2))
+            # a run is k-mers so close that they make one block
+            inside = np.unique([*range(0, long - K, K + WINDOW), long - K])
+            whole = n > K
+            pos, spos = (np.concatenate([p[~whole], (p[whole][:, None] + inside).ravel()]) for p in (pos, spos))
             return [(*at, p0, p1, s0, s1) for p0, p1, s0, s1 in chain(pos, spos) if min(p1 - p0, s1 - s0) + 2 * (K + WINDOW) >= min_words]
 
         for batch in batches:
@@ -149,7 +191,7 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
                 if this != at:
                     out += ended()
                     at, held = this, []
-                held.append((cols[4][a:b].copy(), cols[5][a:b].copy()))
+                held.append(tuple(c[a:b].copy() for c in cols[4:]))
             yield _passages(out)
         yield _passages(ended())
 

@@ -151,6 +151,22 @@ def test_chain_asks_near_blocks_behind_a_long_run():
     assert op4.chain(pos, spos) == [(0, 496, 0, 496), (800, 859, 800, 862)]
 
 
+def test_passages_whose_seeds_have_other_owners(spark):
+    p = prose(60, 11).split()
+    halves = [" ".join(p[:30]), " ".join(p[30:])]
+    around = lambda k, t: f"{prose(50, 100 + k)} {t} {prose(50, 200 + k)}"
+    rows = [(1, around(1, halves[0])), (2, around(2, halves[1])), (3, around(3, " ".join(p))), (4, around(4, halves[0])), (5, around(5, halves[1])), (6, around(6, " ".join(p)))]
+    rows += [(7, around(7, " ".join(p[:45]))), (8, around(8, " ".join(p[8:53]))), (9, around(9, " ".join(p[:44])))]
+    got = {(r["doc"], r["source"], r["start"], r["end"]) for r in op4.repeated_passages(docs(spark, rows)).collect()}
+    # brute force: whoever has 45 words in a row of an earlier document is named, with all of these words
+    texts = {i: t.split() for i, t in rows}
+    for i, t in texts.items():
+        before = {tuple(u[k : k + 45]) for j, u in texts.items() if j < i for k in range(len(u) - 44)}
+        want = {w for k in range(len(t) - 44) if tuple(t[k : k + 45]) in before for w in range(k, k + 45)}
+        assert want == {w for d, _, a, b in got if d == i for w in range(a, b)}, i
+    assert (6, 3, 50, 110) in got
+
+
 def test_align_grows_over_edits():
     rng = np.random.default_rng(6)
     for _ in range(300):
