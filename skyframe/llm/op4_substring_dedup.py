@@ -4,7 +4,7 @@ Documents share a passage where they share k-mers in the same order. Of every fe
 equal passages give equal seeds. Seeds that only one place has go first. Every other occurrence is matched with the
 first one and with the one before it in another document, not with all; so a passage that thousands of documents share
 costs two matches per occurrence. Every run of ``min_words`` words in a row is matched with its first owner as well, which
-has the whole run: a passage without edits is found however its seeds are shared out among other documents. The matches of two documents are merged along diagonals, chained with gap costs through
+has the whole run, unless a passage found by seeds covers it: a passage without edits is found however its seeds are shared out among other documents. The matches of two documents are merged along diagonals, chained with gap costs through
 queues of the best block near each place, and the chains are aligned word by word.
 """
 
@@ -112,8 +112,8 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     ``doc`` and ``source`` are keys, ``start`` and ``end`` numbers of words (runs of characters that are no ASCII white
     space, A-Z lower-cased). The source is a document with a smaller key. At least ``min_words`` words of a passage
     match words of the source in order, and these are at least ``similarity`` of the longer side. Each occurrence is
-    aligned with the first source of its seeds and with the latest before it, and each run of ``min_words`` words with its
-    first source. So every document that repeats ``min_words`` words without an edit is named, though not each of its
+    aligned with the first source of its seeds and with the latest before it, and each run of ``min_words`` words that
+    no such passage covers with its first source. So every document that repeats ``min_words`` words without an edit is named, though not each of its
     sources. Not found is a passage with edits whose only source is neither first nor latest for enough of its seeds.
     ``tag`` tells rows with one key and different texts apart.
 
@@ -132,37 +132,84 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     known = _bitmap.build(again, F.col("seed"))
     drop_stage(again)
 
-    long = max(min_words, K)
-
-    def all_runs(doc, tag, row, place, name):
-        plain, at = _chosen(name, row)
-        h, n = np.unique(_runs(name, row, at, _bitmap.contains(known, plain), long)[0], return_counts=True)
-        return record_batch(run=h.view(np.int64), n=n)
-
-    again = stage(_over(source, all_runs, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).where("n > 1").select("run"), "runs")
-    known_runs = _bitmap.build(again, F.col("run"))
-    drop_stage(again)
-
     def places(doc, tag, row, place, name):
-        plain, at = _chosen(name, row)
-        h = _numbered(plain, at, row)
+        h, at = _seeds(name, row)
         keep = _bitmap.contains(known, h)
-        run, begin = _runs(name, row, at, _bitmap.contains(known, plain), long)
-        some = _bitmap.contains(known_runs, run)
-        h, at, n = np.concatenate([h[keep], run[some]]), np.concatenate([at[keep], begin[some]]), np.repeat([K, long], [keep.sum(), some.sum()])
-        return record_batch(seed=h.view(np.int64), doc=doc[row[at]], tag=tag[row[at]], pos=place[at].astype(np.int32), n=n.astype(np.int32))
+        h, at = h[keep], at[keep]
+        return record_batch(seed=h.view(np.int64), doc=doc[row[at]], tag=tag[row[at]], pos=place[at].astype(np.int32))
 
-    seeds = stage(_over(source, places, "seed long, doc long, tag int, pos int, n int"), "places")
+    seeds = stage(_over(source, places, "seed long, doc long, tag int, pos int"), "places")
     occurrence = F.struct("doc", "tag", "pos")
     first = seeds.groupBy("seed").agg(F.min(occurrence).alias("f"), F.max(occurrence).alias("l")).where((F.col("f.doc") != F.col("l.doc")) | (F.col("f.tag") != F.col("l.tag")))
     other = (F.col("doc") != F.col("f.doc")) | (F.col("tag") != F.col("f.tag"))
-    columns = ["doc", "tag", "source", "source_tag", "pos", "source_pos", "n"]
-    with_first = seeds.join(first, "seed").where(other).select("doc", "tag", F.col("f.doc").alias("source"), F.col("f.tag").alias("source_tag"), "pos", F.col("f.pos").alias("source_pos"), "n")
+    columns = ["doc", "tag", "source", "source_tag", "pos", "source_pos"]
+    with_first = seeds.join(first, "seed").where(other).select("doc", "tag", F.col("f.doc").alias("source"), F.col("f.tag").alias("source_tag"), "pos", F.col("f.pos").alias("source_pos"))
     # dealt by range, so that one seed may fill many tasks; at their borders the first occurrence stands in
-    # a run's first owner is source enough for all of it: it has min_words words in a row
-    ordered = seeds.where(F.col("n") == K).drop("n").repartitionByRange("seed", "doc", "tag", "pos").sortWithinPartitions("seed", "doc", "tag", "pos")
+    ordered = seeds.repartitionByRange("seed", "doc", "tag", "pos").sortWithinPartitions("seed", "doc", "tag", "pos")
     with_last = ordered.mapInArrow(_before, "doc long, tag int, source long, source_tag int, pos int, source_pos int")
-    matches = with_first.select(columns).unionByName(with_last.withColumn("n", F.lit(K)))
+    found = _aligned(source, with_first.select(columns).unionByName(with_last), K, min_words, similarity)
+    drop_stage(seeds)
+    uncovered = _runs_left(source, found, known, max(min_words, K))
+    rest = _aligned(source, uncovered, max(min_words, K), min_words, similarity)
+    out = stage(found.unionByName(rest).distinct(), "passages")
+    drop_stage(found, rest, uncovered)
+    return out
+
+
+def _runs_left(source: DataFrame, found: DataFrame, known, n: int) -> DataFrame:
+    """Runs of ``n`` words in a row that no passage of ``found`` covers whole, each with its first owner if that is another.
+
+    A first pass tells which runs have an owner before some document that asks; only these are joined.
+    """
+    spans = found.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, tag, spans = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            for i, j, data, offsets in text_chunks(batch.column(2)):
+                _, _, row, name = words(data, offsets)
+                edges = np.searchsorted(row, np.arange(j - i))
+                asks = np.ones(len(name), bool)
+                for r in range(j - i):
+                    for s in spans[i + r].as_py() or ():
+                        asks[edges[r] + s["start"] : max(edges[r] + s["end"] - n + 1, edges[r] + s["start"])] = False
+                plain, at = _chosen(name, row)
+                h, at = _runs(name, row, at, _bitmap.contains(known, plain), n)
+                if not len(h):
+                    continue
+                order = np.argsort(h)
+                h, at = h[order], at[order]
+                begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                d, t = doc[i:j][row[at]], tag[i:j][row[at]]
+                last = np.maximum.reduceat(np.where(asks[at], d, _LOWEST), begin)
+                yield record_batch(run=h[begin].view(np.int64), lo=np.minimum.reduceat(d, begin), hi=last, t0=np.minimum.reduceat(t, begin), t1=np.maximum.reduceat(t, begin), asks=np.maximum.reduceat(asks[at].astype(np.int32), begin))
+
+    runs = source.join(spans, ["doc", "tag"], "left").select("doc", "tag", "text", "spans").mapInArrow(asked, "run long, lo long, hi long, t0 int, t1 int, asks int")
+    ends = runs.groupBy("run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.max("asks").alias("asks"))
+    # one key may stand for several texts
+    wanted = stage(ends.where("asks = 1 and (hi > lo or hi = lo and t0 <> t1)").select("run"), "wanted")
+    some = _bitmap.build(wanted, F.col("run"))
+
+    def places(doc, tag, row, place, name):
+        plain, at = _chosen(name, row)
+        h, at = _runs(name, row, at, _bitmap.contains(known, plain), n)
+        keep = _bitmap.contains(some, h)
+        h, at = h[keep], at[keep]
+        return record_batch(run=h.view(np.int64), doc=doc[row[at]], tag=tag[row[at]], pos=place[at].astype(np.int32))
+
+    placed = stage(_over(source, places, "run long, doc long, tag int, pos int"), "places")
+    first = placed.groupBy("run").agg(F.min(F.struct("doc", "tag", "pos")).alias("f"))
+    other = (F.col("doc") != F.col("f.doc")) | (F.col("tag") != F.col("f.tag"))
+    pairs = placed.join(first, "run").where(other).select("doc", "tag", F.col("f.doc").alias("source"), F.col("f.tag").alias("source_tag"), "pos", F.col("f.pos").alias("source_pos"))
+    covered = F.exists("spans", lambda s: (s["start"] <= F.col("pos")) & (s["end"] >= F.col("pos") + n))
+    out = stage(pairs.join(spans, ["doc", "tag"], "left").where(~F.coalesce(covered, F.lit(False))).drop("spans"), "left")
+    drop_stage(wanted, placed)
+    return out
+
+
+def _aligned(source: DataFrame, matches: DataFrame, long: int, min_words: int, similarity: float) -> DataFrame:
+    """Passages from ``matches`` of ``long`` words each: (doc, tag, source, source_tag, pos, source_pos)."""
+    columns = ["doc", "tag", "source", "source_tag", "pos", "source_pos"]
     dealt = matches.repartition("doc", "tag", "source", "source_tag").sortWithinPartitions("doc", "tag", "source", "source_tag", "pos", "source_pos")
 
     def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,11 +218,10 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
         def ended() -> list[tuple]:
             if not held:
                 return []
-            pos, spos, n = (np.concatenate([h[k] for h in held]).astype(np.int64) for k in (0, 1, 2))
-            # a run is k-mers so close that they make one block
+            pos, spos = (np.concatenate([h[k] for h in held]).astype(np.int64) for k in (0, 1))
+            # a long match is k-mers so close that they make one block
             inside = np.unique([*range(0, long - K, K + WINDOW), long - K])
-            whole = n > K
-            pos, spos = (np.concatenate([p[~whole], (p[whole][:, None] + inside).ravel()]) for p in (pos, spos))
+            pos, spos = ((p[:, None] + inside).ravel() for p in (pos, spos))
             return [(*at, p0, p1, s0, s1) for p0, p1, s0, s1 in chain(pos, spos) if min(p1 - p0, s1 - s0) + 2 * (K + WINDOW) >= min_words]
 
         for batch in batches:
@@ -196,7 +242,6 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
         yield _passages(ended())
 
     passages = stage(dealt.mapInArrow(chains, _PASSAGE), "chains")
-    drop_stage(seeds)
     involved = passages.select("doc", "tag").union(passages.select("source", "source_tag")).distinct()
     asked = _bitmap.build(involved.mapInArrow(_keys, "key long"), F.col("key"))
 
