@@ -29,29 +29,39 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group linked by 0.8 of its five-word shingles or more.
+    """Keeps the least document of each group linked by 0.8 of its five-word shingles or more.
 
-    Repeated rows count once; rows without an id stay. Only rows that may have to go are moved.
+    A document is an id with a text: of two texts with one id, each is judged by itself. Ids come in order, no id before
+    all others. Rows repeated with id and text count once, and the least of them stays. Texts without a word are like
+    no other text and stay. Only rows that may have to go are moved.
     """
-    groups = stage(jaccard_join(docs, n=5, threshold=(4, 5)), "groups")
-    going = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    sure, asked = _bitmap.split(docs, "doc_id", going.union(repeated))
-    left = asked.join(going.select(F.col("doc_id").alias("__id")), F.col("doc_id") == F.col("__id"), "left_anti")
-    return sure.unionByName(left.dropDuplicates(["doc_id", "text"]))
+    own = F.struct("doc_id", F.xxhash64("text").alias("tag"))
+    groups = stage(jaccard_join(docs.select(own.alias("own"), "text"), key="own", n=5, threshold=(4, 5)), "groups")
+    going = groups.where(~F.col("own").eqNullSafe(F.col("component_id"))).select(F.xxhash64("own").alias("__own")).distinct()
+    repeated = groups.groupBy(F.xxhash64("own").alias("__own")).count().where("count > 1").select("__own")
+    named = docs.select(F.struct(*docs.columns).alias("__doc"), F.xxhash64(own).alias("__own"))
+    sure, asked = _bitmap.split(named, "__own", going.union(repeated))
+    left = asked.join(going, "__own", "left_anti").groupBy("__own").agg(F.min("__doc").alias("__doc"))
+    return sure.select("__doc").unionByName(left.select("__doc")).select("__doc.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages out of texts that an earlier document has as well; a text of which nothing is left goes."""
-    cut = cut_passages(docs, repeated_passages(docs))
-    return cut.where(F.col("text").rlike(r"\S")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Cuts passages out of texts that an earlier document has as well; a text of which nothing is left goes.
+
+    The first document keeps a passage, by id, no id before all others; texts that were null or blank before stay.
+    """
+    blank = ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
+    cut = cut_passages(docs.withColumn("__blank", blank), repeated_passages(docs))
+    return cut.where(F.col("__blank") | ~blank).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that cover half of the words of an item of ``benchmark``; null and empty texts cover none and stay."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all documents, null texts as empty ones, into sequences of 2048 tokens; one row for each piece."""
     return packed_digests(docs)
 
 

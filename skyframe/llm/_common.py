@@ -11,7 +11,8 @@ import atexit
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step handles at a time; a longer single document is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: Bytes of one Arrow batch between Spark and its Python workers, which stand beside the executor's heap.
+BATCH_BYTES = 4 << 20
 
 _roots: dict[int, str] = {}
+_scopes: list[list[DataFrame]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +72,8 @@ def stage(df: DataFrame, name: str, *, by: list[str] | None = None) -> DataFrame
     out = spark.read.schema(df.schema).parquet(path)
     out._skyframe_path = path
     atexit.register(_forget, spark, path)
+    for made in _scopes:
+        made.append(out)
     return out
 
 
@@ -76,6 +82,33 @@ def drop_stage(*staged: DataFrame) -> None:
         _delete(df.sparkSession, df._skyframe_path)
 
 
+@contextmanager
+def temporary() -> Iterator[Callable[..., None]]:
+    """Drops the tables staged inside when it ends, but for those given to the function that it hands out."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield lambda *staged: kept.extend(staged)
+    finally:
+        _scopes.remove(made)
+    drop_stage(*(t for t in made if all(t is not k for k in kept)))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, where the session leaves them at Spark's own size: texts differ too much for a bound by rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(name)).rstrip("bB")) > BATCH_BYTES and spark.sparkContext.getConf().get(name) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def whole_number_key(docs: DataFrame, key: str) -> Column:
+    """The key as a long; other types would lose their order or their values."""
+    if docs.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"the key {key} must be a whole number, not {docs.schema[key].dataType.simpleString()}")
+    return docs[key].cast("long")
+
+
 def crc_mod(key: Column, modulus: int) -> Column:
     """crc32 of the key's decimal text, modulo; null for a null key."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(modulus))

@@ -14,6 +14,8 @@ import pyarrow as pa
 
 from skyframe.llm._common import prefix_sums, span_hash, text_chunks
 
+#: Large enough that most pieces of a chunk are known from within it.
+_CHUNK_BYTES = 1 << 20
 _WHITE = np.zeros(256, bool)
 _WHITE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
 #: First bytes of every white space character beyond ASCII.
@@ -39,7 +41,7 @@ class PieceEncoder:
 
     def __call__(self, texts: pa.Array):
         """Yields ``(i, j, ids, ends)``: the ids of rows [i, j) one after the other, row k ending at ends[k - i]."""
-        for i, j, data, offsets in text_chunks(texts):
+        for i, j, data, offsets in text_chunks(texts, _CHUNK_BYTES):
             starts, ends, row = self._pieces(data, offsets)
             lengths, ids = self._encode(data, starts, ends)
             per_row = np.bincount(row, weights=lengths, minlength=j - i).astype(np.int64)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyframe.llm import _bitmap as bitmaps
-from skyframe.llm._common import drop_stage, grams, lists, mix, record_batch, stage, table, text_chunks, words
+from skyframe.llm._common import drop_stage, grams, lists, mix, record_batch, small_batches, stage, table, temporary, text_chunks, words
 from skyframe.llm._graph import components
 
 #: A shingle that more sets than this (and a 100,000th of all) would be found by is moved to the end of the order.
@@ -101,6 +101,7 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n:
     * other columns, whatever their names, are not read; very long texts are handled one at a time.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     num, den = threshold
     source = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     kind = docs.schema[key].dataType.simpleString()
@@ -110,40 +111,41 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n:
         token, times = np.unique(np.concatenate([*out, np.zeros(0, np.uint64)]), return_counts=True)
         return record_batch(token=token.view(np.int64), n=times)
 
-    counted = _over(source, firsts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    sizes = stage(counted.where(F.col("n") > HOT_SETS), "hot")
-    totals = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
-    # at most 100,000 shingles, whatever the corpus
-    hot = np.sort(sizes.where(F.col("n") > totals / 100_000).select("token").toArrow().column("token").to_numpy().view(np.uint64)) if totals else np.zeros(0, np.uint64)
-    shared_hot = spark.sparkContext.broadcast(hot)
-
-    def describe(keys, data, offsets):
-        sets = list(shingle_sets(data, offsets, n))
-        prefixes = [_prefix(s, shared_hot.value, num, den) if len(s) else s for s in sets]
-        return record_batch(
-            key=keys,
-            n=np.array([len(s) for s in sets], np.int64),
-            set_id=np.array([_set_id(s) for s in sets], np.int64),
-            bits=pa.array([_bitmap(s) if len(s) else None for s in sets], pa.binary()),
-            prefix=lists(np.concatenate([*prefixes, np.zeros(0, np.uint64)]).view(np.int64), np.cumsum([len(p) for p in prefixes])),
-        )
-
-    described = stage(_over(source, describe, f"key {kind}, n long, set_id long, bits binary, prefix array<long>"), "sets")
-    by_set = described.where("n > 0").groupBy("set_id").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    sets = stage(by_set, "distinct")
-
-    links = _links(source, sets, n, num, den)
-    roots = components(links) if links is not None else None
-
-    least = sets.select("set_id", F.col("key").alias("least"))
-    if roots is not None:
-        rooted = least.join(roots, least["set_id"] == roots["node"], "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
-        smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-        least = rooted.join(smallest, "root").select("set_id", "component_id")
-    else:
-        least = least.withColumnRenamed("least", "component_id")
-    found = stage(least, "components")
-    drop_stage(sets)
+    with temporary() as keep:
+        counted = _over(source, firsts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+        sizes = stage(counted.where(F.col("n") > HOT_SETS), "hot")
+        totals = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
+        # at most 100,000 shingles, whatever the corpus
+        hot = np.sort(sizes.where(F.col("n") > totals / 100_000).select("token").toArrow().column("token").to_numpy().view(np.uint64)) if totals else np.zeros(0, np.uint64)
+        shared_hot = spark.sparkContext.broadcast(hot)
+
+        def describe(keys, data, offsets):
+            sets = list(shingle_sets(data, offsets, n))
+            prefixes = [_prefix(s, shared_hot.value, num, den) if len(s) else s for s in sets]
+            return record_batch(
+                key=keys,
+                n=np.array([len(s) for s in sets], np.int64),
+                set_id=np.array([_set_id(s) for s in sets], np.int64),
+                bits=pa.array([_bitmap(s) if len(s) else None for s in sets], pa.binary()),
+                prefix=lists(np.concatenate([*prefixes, np.zeros(0, np.uint64)]).view(np.int64), np.cumsum([len(p) for p in prefixes])),
+            )
+
+        described = stage(_over(source, describe, f"key {kind}, n long, set_id long, bits binary, prefix array<long>"), "sets")
+        by_set = described.where("n > 0").groupBy("set_id").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+        sets = stage(by_set, "distinct")
+
+        links = _links(source, sets, n, num, den)
+        roots = components(links) if links is not None else None
+
+        least = sets.select("set_id", F.col("key").alias("least"))
+        if roots is not None:
+            rooted = least.join(roots, least["set_id"] == roots["node"], "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
+            smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+            least = rooted.join(smallest, "root").select("set_id", "component_id")
+        else:
+            least = least.withColumnRenamed("least", "component_id")
+        found = stage(least, "components")
+        keep(described, found)
     joined = described.where("n > 0").select("key", "n", "set_id").join(found, "set_id", "left").select("key", "n", "component_id")
     none = described.where("n = 0").select("key", "n", F.col("key").alias("component_id"))
     return joined.unionByName(none).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
@@ -226,7 +228,9 @@ def _links(source: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> Da
             break
         known = _rooted(stage(_dealt(groups, sets), "dealt"), links, "gid", "n", "bits")
         left = verify(known.withColumn("root", F.coalesce("root", "set_id")), mode)
+        done = groups
         groups = stage(known.join(left, "gid", "left_semi").select("gid", "set_id"), "groups")
+        drop_stage(done)
     return links
 
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from skyframe.llm._common import ALNUM_SEPARATOR, table, text_chunks, words
+from skyframe.llm._common import ALNUM_SEPARATOR, small_batches, table, text_chunks, words
 
 # Public license notices, as their owners word them.
 TEMPLATES = {
@@ -139,6 +139,7 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, *,
     * templates are the caller's and small; one without a word is refused. Very long texts are scanned whole.
     * an empty table gives no rows; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     known = {k: _template_words(v) for k, v in templates.items()}
     if empty := [k for k, v in known.items() if not len(v)]:
         raise ValueError(f"templates without a word: {empty}")

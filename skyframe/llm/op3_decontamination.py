@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyframe.llm import _bitmap
-from skyframe.llm._common import ALNUM_SEPARATOR, drop_stage, grams, lists, record_batch, stage, table, text_chunks, words
+from skyframe.llm._common import ALNUM_SEPARATOR, drop_stage, grams, lists, record_batch, small_batches, stage, table, text_chunks, whole_number_key, words
 
 MIN_MATCH = 5
 _U = np.uint64
@@ -99,11 +99,12 @@ def contaminated(
     * the benchmark may have any size: its seeds go into a bounded bitmap, and what passes it is joined.
     * an empty table on either side gives no rows; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     items = stage(benchmark.select(benchmark[item_key].alias("item"), benchmark[item_text].alias("text")).where("text is not null").mapInArrow(_item_words(min_match), f"item {benchmark.schema[item_key].dataType.simpleString()}, names array<long>, seeds array<long>, width int"), "items")
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # 1 to min_match
     seeds = items.select("item", F.explode("seeds").alias("seed")).distinct()
     known = _bitmap.build(seeds, F.col("seed"))
-    source = docs.select(F.coalesce(docs[key].cast("long"), F.lit(-(1 << 63))).alias("doc"), F.pmod(F.xxhash64(docs[text]), F.lit(1 << 31)).cast("int").alias("tag"), docs[text].alias("text"))
+    source = docs.select(F.coalesce(whole_number_key(docs, key), F.lit(-(1 << 63))).alias("doc"), F.pmod(F.xxhash64(docs[text]), F.lit(1 << 31)).cast("int").alias("tag"), docs[text].alias("text"))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +186,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     """``docs`` without the documents that :func:`contaminated` reports; same columns, texts are not moved."""
     bad = stage(contaminated(docs, benchmark, key=key, text=text, **options).select("doc", "tag").distinct(), "contaminated")
     flags = bad.select(F.xxhash64("doc", "tag").alias("__bad")).distinct()
-    own = F.xxhash64(F.coalesce(docs[key].cast("long"), F.lit(-(1 << 63))), F.pmod(F.xxhash64(docs[text]), F.lit(1 << 31)).cast("int"))
+    own = F.xxhash64(F.coalesce(whole_number_key(docs, key), F.lit(-(1 << 63))), F.pmod(F.xxhash64(docs[text]), F.lit(1 << 31)).cast("int"))
     mark = "__docs"
     named = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(mark), own.alias("__bad"))
     clean, asked = _bitmap.split(named, "__bad", flags)

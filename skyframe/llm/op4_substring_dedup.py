@@ -1,34 +1,34 @@
 """Fuzzy repeated passages by collinear chaining of shared word k-mers.
 
 Documents share a passage where they share k-mers in the same order. Of every few k-mers one is taken, by its hash, so
-equal passages give equal seeds. Seeds that only one place has go first. Every other occurrence is matched with the
-first one and with the one before it in another document, not with all; so a passage that thousands of documents share
-costs two matches per occurrence. Every run of ``min_words`` words in a row is matched with its first owner as well, which
-has the whole run, unless a passage found by seeds covers it: a passage without edits is found however its seeds are shared out among other documents. The matches of two documents are merged along diagonals, chained with gap costs through
-queues of the best block near each place, and the chains are aligned word by word.
+equal passages give equal seeds. Seeds that only one place has go first, and so do seeds too lonely for a passage. Every
+other occurrence is matched with the seed's first one, not with all, so a passage that thousands of documents share costs
+one match per occurrence. The matches of two documents are merged along diagonals, chained with gap costs through a
+Fenwick tree, and the chains are aligned word by word.
+
+The first owner of a seed need not be the owner of the passage around it. So occurrences that no passage covers by
+then are matched once more, with the first document that has two seeds a passage's width apart in the same order.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections import deque
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyframe.llm import _bitmap
-from skyframe.llm._common import drop_stage, grams, lists, mix, record_batch, stage, table, text_chunks, words
+from skyframe.llm._common import drop_stage, grams, lists, mix, record_batch, small_batches, stage, table, text_chunks, whole_number_key, words
 
 K, WINDOW = 6, 10
-#: Words that one gap in a chain may have in either document.
-MAX_GAP = 30
+#: Words in both documents together that one gap in a chain may have.
+MAX_GAP = 60
 #: Per word of a gap in either document: the longest gap costs what one seed earns.
-GAP_COST = K / (2 * MAX_GAP)
-#: Words looked at beyond a chain's ends; four times as many where an alignment gets as far.
+GAP_COST = K / MAX_GAP
+#: Words looked at beyond a chain's ends; whole texts where an alignment gets as far.
 MARGIN = 64
 #: Matched words that the growth of an end may fall behind its best: six words in a row that differ on both sides.
 DROP = 24
@@ -54,21 +54,6 @@ def _numbered(h: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
     return h
 
 
-def _runs(name: np.ndarray, row: np.ndarray, at: np.ndarray, known: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and place of each run of ``n`` words that another text may have: none of its seeds is ``known`` to be single.
-
-    Only seeds are asked that the run has wherever it stands, being the least k-mer of a window inside it.
-    """
-    h, place = grams(name, row, n)
-    single = np.zeros(len(name) + 1, np.int64)
-    single[at[~known] + 1] = 1
-    single = np.cumsum(single)
-    last = place + n - K - WINDOW + 1
-    ok = (last < place + WINDOW - 1) | (single[np.maximum(last + 1, 0)] == single[np.minimum(place + WINDOW - 1, len(name))])
-    # the number of words is part of the name, which keeps runs and seeds apart
-    return mix(h[ok] ^ np.uint64(0xA0761D6478BD642F + n)), place[ok]
-
-
 def _chosen(name: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h, at = grams(name, row, K)
     if not len(h):
@@ -92,11 +77,16 @@ def _doc_key(doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
     return mix(mix(doc.astype(np.int64).view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)) ^ tag.astype(np.int64).view(np.uint64))
 
 
-def _over(docs: DataFrame, handle, schema: str) -> DataFrame:
-    """``handle(doc, tag, row, place, name)`` of each chunk's words; ``place`` is a word's number in its row."""
+def _over(docs: DataFrame, handle, schema: str, only=None) -> DataFrame:
+    """``handle(doc, tag, row, place, name)`` of each chunk's words; ``place`` is a word's number in its row.
+
+    ``only``: a bitmap of documents; the words of others are not looked at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if only is not None:
+                batch = batch.filter(pa.array(_bitmap.contains(only, _doc_key(batch.column(0).to_numpy(), batch.column(1).to_numpy()))))
             doc, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, j, data, offsets in text_chunks(batch.column(2)):
                 _, _, row, name = words(data, offsets)
@@ -109,18 +99,19 @@ def _over(docs: DataFrame, handle, schema: str) -> DataFrame:
 def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = 45, similarity: float = 0.8) -> DataFrame:
     """``(doc, tag, start, end, source, source_start, source_end, matched, similarity)``: passages that came before.
 
-    ``doc`` and ``source`` are keys, ``start`` and ``end`` numbers of words (runs of characters that are no ASCII white
-    space, A-Z lower-cased). The source is a document with a smaller key. At least ``min_words`` words of a passage
-    match words of the source in order, and these are at least ``similarity`` of the longer side. Each occurrence is
-    aligned with the first source of its seeds and with the latest before it, and each run of ``min_words`` words that
-    no such passage covers with its first source. So every document that repeats ``min_words`` words without an edit is named, though not each of its
-    sources. Not found is a passage with edits whose only source is neither first nor latest for enough of its seeds.
-    ``tag`` tells rows with one key and different texts apart.
+    ``doc`` and ``source`` are keys (whole numbers), ``start`` and ``end`` numbers of words (runs of characters that are no
+    ASCII white space, A-Z lower-cased). The source is a document with a smaller key. At least ``min_words`` words of a
+    passage match words of the source in order, and these are at least ``similarity`` of the longer side. A document
+    that repeats a passage is named with a source of it, not with each of its sources. Not found are passages in which no
+    two k-mers a few words to some forty apart are left whole, and those whose pairs of k-mers all come first from documents that are not
+    alike enough themselves. ``tag`` tells rows with one key and different texts apart.
 
     * null, empty and short texts have no passages; repeated rows are one document; a null key comes before all others.
     * passages inside one document only are not looked for. An empty table gives no rows; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     source = _identified(docs, key, text)
+    near, far = _pair_range(min_words)
 
     def all_seeds(doc, tag, row, place, name):
         plain, at = _chosen(name, row)
@@ -134,81 +125,111 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
 
     def places(doc, tag, row, place, name):
         h, at = _seeds(name, row)
-        keep = _bitmap.contains(known, h)
+        keep = np.flatnonzero(_bitmap.contains(known, h))
         h, at = h[keep], at[keep]
-        return record_batch(seed=h.view(np.int64), doc=doc[row[at]], tag=tag[row[at]], pos=place[at].astype(np.int32))
-
-    seeds = stage(_over(source, places, "seed long, doc long, tag int, pos int"), "places")
-    occurrence = F.struct("doc", "tag", "pos")
-    first = seeds.groupBy("seed").agg(F.min(occurrence).alias("f"), F.max(occurrence).alias("l")).where((F.col("f.doc") != F.col("l.doc")) | (F.col("f.tag") != F.col("l.tag")))
+        # seeds with no other one near enough to make a passage with
+        on = _in_stretch(row[at], place[at], near)
+        h, at = h[on], at[on]
+        ends = np.searchsorted(row[at], np.arange(len(doc)), "right")
+        some = np.flatnonzero(np.diff(np.concatenate([[0], ends])))
+        return record_batch(doc=doc[some], tag=tag[some], seed=lists(h.view(np.int64), ends[some]), pos=lists(place[at].astype(np.int32), ends[some]))
+
+    marks = stage(_over(source, places, "doc long, tag int, seed array<long>, pos array<int>"), "marks")
+    seeds = marks.select("doc", "tag", F.explode(F.arrays_zip("seed", "pos")).alias("x")).select("doc", "tag", "x.seed", "x.pos")
+    first = seeds.groupBy("seed").agg(F.min(F.struct("doc", "tag", "pos")).alias("f"))
     other = (F.col("doc") != F.col("f.doc")) | (F.col("tag") != F.col("f.tag"))
-    columns = ["doc", "tag", "source", "source_tag", "pos", "source_pos"]
-    with_first = seeds.join(first, "seed").where(other).select("doc", "tag", F.col("f.doc").alias("source"), F.col("f.tag").alias("source_tag"), "pos", F.col("f.pos").alias("source_pos"))
-    # dealt by range, so that one seed may fill many tasks; at their borders the first occurrence stands in
-    ordered = seeds.repartitionByRange("seed", "doc", "tag", "pos").sortWithinPartitions("seed", "doc", "tag", "pos")
-    with_last = ordered.mapInArrow(_before, "doc long, tag int, source long, source_tag int, pos int, source_pos int")
-    found = _aligned(source, with_first.select(columns).unionByName(with_last), K, min_words, similarity)
-    drop_stage(seeds)
-    uncovered = _runs_left(source, found, known, max(min_words, K))
-    rest = _aligned(source, uncovered, max(min_words, K), min_words, similarity)
+    owner = [F.col("f.doc").alias("source"), F.col("f.tag").alias("source_tag")]
+    matches = stage(seeds.join(first, "seed").where(other).select("doc", "tag", *owner, "pos", F.col("f.pos").alias("source_pos")), "matches")
+    found = _aligned(source, matches, min_words, similarity)
+
+    spans = found.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    covered = F.exists("spans", lambda s: (s["start"] <= F.col("pos")) & (s["end"] >= F.col("pos") + K))
+    left = matches.select("doc", "tag", "pos").join(spans, ["doc", "tag"], "left").where(~F.coalesce(covered, F.lit(False))).select("doc", "tag", "pos")
+    open_ = _bitmap.build(left.mapInArrow(_occurrences, "key long"), F.col("key"))
+    drop_stage(matches)
+
+    def asked(doc, tag, row, seed, pos):
+        wants = _bitmap.contains(open_, _occurrence(doc[row], tag[row], pos))
+        return _pairs(row, seed, pos, near, far, lambda i, j: wants[i] | wants[j])
+
+    asking = stage(_marked(marks, asked), "asking")
+    wanted = _bitmap.build(asking.select("pair").distinct(), F.col("pair"))
+
+    def offered(doc, tag, row, seed, pos):
+        return _pairs(row, seed, pos, near, far, None, wanted)
+
+    first = _marked(marks, offered).groupBy("pair").agg(F.min(F.struct("doc", "tag", "a", "b")).alias("f"))
+    both = asking.join(first, "pair").where(other)
+    ends = F.explode(F.array(*[F.struct(F.col(c).alias("pos"), F.col(f"f.{c}").alias("source_pos")) for c in "ab"])).alias("x")
+    rest = _aligned(source, both.select("doc", "tag", *owner, ends).select("doc", "tag", "source", "source_tag", "x.pos", "x.source_pos").distinct(), min_words, similarity)
     out = stage(found.unionByName(rest).distinct(), "passages")
-    drop_stage(found, rest, uncovered)
+    drop_stage(found, rest, asking, marks)
     return out
 
 
-def _runs_left(source: DataFrame, found: DataFrame, known, n: int) -> DataFrame:
-    """Runs of ``n`` words in a row that no passage of ``found`` covers whole, each with its first owner if that is another.
+def _pair_range(min_words: int) -> tuple[int, int]:
+    """Words between two seeds of a passage: enough that what they span may grow to one, and no more than a gap over that."""
+    near = max(1, min_words - 2 * (K + WINDOW) - K)
+    return near, near + MAX_GAP // 2 + K
 
-    A first pass tells which runs have an owner before some document that asks; only these are joined.
-    """
-    spans = found.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _in_stretch(row: np.ndarray, pos: np.ndarray, near: int) -> np.ndarray:
+    """Seeds in stretches, without a gap that no chain crosses, which are as long as the seeds of a passage are."""
+    if not len(row):
+        return np.zeros(0, np.int64)
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (pos[1:] - pos[:-1] > MAX_GAP + K)
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(row)) - 1
+    return np.flatnonzero(np.repeat(pos[end] - pos[begin] >= near, end - begin + 1))
+
+
+def _marked(marks: DataFrame, handle) -> DataFrame:
+    """``handle(doc, tag, row, seed, pos)`` of a batch gives pairs of seeds by row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, tag, spans = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
-            for i, j, data, offsets in text_chunks(batch.column(2)):
-                _, _, row, name = words(data, offsets)
-                edges = np.searchsorted(row, np.arange(j - i))
-                asks = np.ones(len(name), bool)
-                for r in range(j - i):
-                    for s in spans[i + r].as_py() or ():
-                        asks[edges[r] + s["start"] : max(edges[r] + s["end"] - n + 1, edges[r] + s["start"])] = False
-                plain, at = _chosen(name, row)
-                h, at = _runs(name, row, at, _bitmap.contains(known, plain), n)
-                if not len(h):
-                    continue
-                order = np.argsort(h)
-                h, at = h[order], at[order]
-                begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                d, t = doc[i:j][row[at]], tag[i:j][row[at]]
-                last = np.maximum.reduceat(np.where(asks[at], d, _LOWEST), begin)
-                yield record_batch(run=h[begin].view(np.int64), lo=np.minimum.reduceat(d, begin), hi=last, t0=np.minimum.reduceat(t, begin), t1=np.maximum.reduceat(t, begin), asks=np.maximum.reduceat(asks[at].astype(np.int32), begin))
-
-    runs = source.join(spans, ["doc", "tag"], "left").select("doc", "tag", "text", "spans").mapInArrow(asked, "run long, lo long, hi long, t0 int, t1 int, asks int")
-    ends = runs.groupBy("run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.max("asks").alias("asks"))
-    # one key may stand for several texts
-    wanted = stage(ends.where("asks = 1 and (hi > lo or hi = lo and t0 <> t1)").select("run"), "wanted")
-    some = _bitmap.build(wanted, F.col("run"))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                doc, tag = part.column(0).to_numpy(), part.column(1).to_numpy()
+                row = np.repeat(np.arange(len(doc)), pa.compute.list_value_length(part.column(2)).to_numpy())
+                pair, i, j, pos = handle(doc, tag, row, part.column(2).flatten().to_numpy().view(np.uint64), part.column(3).flatten().to_numpy())
+                yield record_batch(pair=pair.view(np.int64), doc=doc[row[i]], tag=tag[row[i]], a=pos[i], b=pos[j])
+
+    return marks.mapInArrow(run, "pair long, doc long, tag int, a int, b int")
+
+
+def _pairs(row: np.ndarray, seed: np.ndarray, pos: np.ndarray, near: int, far: int, asks=None, wanted=None):
+    """Names and places of all pairs of seeds of one row that are ``near`` to ``far`` words apart."""
+    name, left, right = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(1, len(row)):
+        apart = np.where(row[k:] == row[:-k], pos[k:] - pos[:-k], far + 1)
+        if not (apart <= far).any():
+            break
+        i = np.flatnonzero((apart >= near) & (apart <= far))
+        if asks is not None:
+            i = i[asks(i, i + k)]
+        x = mix(mix(seed[i] ^ np.uint64(0xA0761D6478BD642F)) ^ seed[i + k])
+        if wanted is not None:
+            on = _bitmap.contains(wanted, x)
+            i, x = i[on], x[on]
+        name.append(x)
+        left.append(i)
+        right.append(i + k)
+    return np.concatenate(name), np.concatenate(left), np.concatenate(right), pos
 
-    def places(doc, tag, row, place, name):
-        plain, at = _chosen(name, row)
-        h, at = _runs(name, row, at, _bitmap.contains(known, plain), n)
-        keep = _bitmap.contains(some, h)
-        h, at = h[keep], at[keep]
-        return record_batch(run=h.view(np.int64), doc=doc[row[at]], tag=tag[row[at]], pos=place[at].astype(np.int32))
 
-    placed = stage(_over(source, places, "run long, doc long, tag int, pos int"), "places")
-    first = placed.groupBy("run").agg(F.min(F.struct("doc", "tag", "pos")).alias("f"))
-    other = (F.col("doc") != F.col("f.doc")) | (F.col("tag") != F.col("f.tag"))
-    pairs = placed.join(first, "run").where(other).select("doc", "tag", F.col("f.doc").alias("source"), F.col("f.tag").alias("source_tag"), "pos", F.col("f.pos").alias("source_pos"))
-    covered = F.exists("spans", lambda s: (s["start"] <= F.col("pos")) & (s["end"] >= F.col("pos") + n))
-    out = stage(pairs.join(spans, ["doc", "tag"], "left").where(~F.coalesce(covered, F.lit(False))).drop("spans"), "left")
-    drop_stage(wanted, placed)
-    return out
+def _occurrence(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    return mix(_doc_key(doc, tag) ^ pos.astype(np.int64).view(np.uint64))
 
 
-def _aligned(source: DataFrame, matches: DataFrame, long: int, min_words: int, similarity: float) -> DataFrame:
-    """Passages from ``matches`` of ``long`` words each: (doc, tag, source, source_tag, pos, source_pos)."""
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield record_batch(key=_occurrence(*(batch.column(c).to_numpy() for c in range(3))).view(np.int64))
+
+
+def _aligned(source: DataFrame, matches: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """Passages from ``matches`` of one seed each: (doc, tag, source, source_tag, pos, source_pos)."""
     columns = ["doc", "tag", "source", "source_tag", "pos", "source_pos"]
     dealt = matches.repartition("doc", "tag", "source", "source_tag").sortWithinPartitions("doc", "tag", "source", "source_tag", "pos", "source_pos")
 
@@ -219,9 +240,6 @@ def _aligned(source: DataFrame, matches: DataFrame, long: int, min_words: int, s
             if not held:
                 return []
             pos, spos = (np.concatenate([h[k] for h in held]).astype(np.int64) for k in (0, 1))
-            # a long match is k-mers so close that they make one block
-            inside = np.unique([*range(0, long - K, K + WINDOW), long - K])
-            pos, spos = ((p[:, None] + inside).ravel() for p in (pos, spos))
             return [(*at, p0, p1, s0, s1) for p0, p1, s0, s1 in chain(pos, spos) if min(p1 - p0, s1 - s0) + 2 * (K + WINDOW) >= min_words]
 
         for batch in batches:
@@ -246,13 +264,10 @@ def _aligned(source: DataFrame, matches: DataFrame, long: int, min_words: int, s
     asked = _bitmap.build(involved.mapInArrow(_keys, "key long"), F.col("key"))
 
     def texts(doc, tag, row, place, name):
-        edges = np.searchsorted(row, np.arange(len(doc) + 1))
-        on = np.flatnonzero(_bitmap.contains(asked, _doc_key(doc, tag)))
-        n = edges[on + 1] - edges[on]
-        took = np.repeat(edges[on] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return record_batch(doc=doc[on], tag=tag[on], names=lists((name[took] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.cumsum(n)))
+        n = np.bincount(row, minlength=len(doc))
+        return record_batch(doc=doc, tag=tag, names=lists((name >> np.uint64(32)).astype(np.uint32).view(np.int32), np.cumsum(n)))
 
-    named = stage(_over(source, texts, "doc long, tag int, names array<int>").groupBy("doc", "tag").agg(F.first("names").alias("names")), "names")
+    named = stage(_over(source, texts, "doc long, tag int, names array<int>", asked).groupBy("doc", "tag").agg(F.first("names").alias("names")), "names")
     right = named.select(F.col("doc").alias("source"), F.col("tag").alias("source_tag"), F.col("names").alias("theirs"))
 
     def looked_at(asked: DataFrame, margin: int) -> DataFrame:
@@ -284,27 +299,30 @@ def _aligned(source: DataFrame, matches: DataFrame, long: int, min_words: int, s
 
         return stage(both.mapInArrow(aligned, _ALIGNED), "aligned")
 
-    rounds, margin = [looked_at(passages, MARGIN)], MARGIN
-    while rounds[-1].where("more").limit(1).count():
-        margin *= 4
-        rounds.append(looked_at(rounds[-1].where("more").select(*passages.columns), margin))
-    ended = [r.where(~F.col("more")) for r in rounds]
+    near_ends = looked_at(passages, MARGIN)
+    # of these few, whole texts
+    further = looked_at(near_ends.where("more").select(*passages.columns), _WHOLE)
     result = ["doc", "tag", F.col("p0").alias("start"), F.col("p1").alias("end"), "source", F.col("s0").alias("source_start"), F.col("s1").alias("source_end"), "matched", "similarity"]
     # several chains of two documents may grow to one passage
-    found = stage(reduce(DataFrame.unionByName, ended).select(*result).distinct(), "passages")
-    drop_stage(passages, named, *rounds)
+    found = stage(near_ends.where("not more").unionByName(further).select(*result).distinct(), "passages")
+    drop_stage(passages, named, near_ends, further)
     return found
 
 
 _LOWEST = -(1 << 63)
+#: More words than any text has: margins of this size take in all of it.
+_WHOLE = 1 << 30
 _PASSAGE = "doc long, tag int, source long, source_tag int, start long, end long, source_start long, source_end long"
 _ALIGNED = f"{_PASSAGE}, p0 long, p1 long, s0 long, s1 long, matched long, similarity double, more boolean"
 
 
 def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(
-        F.coalesce(docs[key].cast("long"), F.lit(_LOWEST)).alias("doc"), F.pmod(F.xxhash64(docs[text]), F.lit(1 << 31)).cast("int").alias("tag"), docs[text].alias("text")
-    )
+    doc, tag = _names(docs, key, text)
+    return docs.select(doc.alias("doc"), tag.alias("tag"), docs[text].alias("text"))
+
+
+def _names(docs: DataFrame, key: str, text: str) -> tuple[Column, Column]:
+    return F.coalesce(whole_number_key(docs, key), F.lit(_LOWEST)), F.pmod(F.xxhash64(docs[text]), F.lit(1 << 31)).cast("int")
 
 
 def _passages(rows: list[tuple]) -> pa.RecordBatch:
@@ -317,34 +335,12 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record_batch(key=_doc_key(batch.column(0).to_numpy(), batch.column(1).to_numpy()).view(np.int64))
 
 
-def _before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each occurrence of a seed with the last one in the document before, rows being sorted by seed and occurrence."""
-    last = None  # the last row of the batch before, and the last row of the document before that one
-    for batch in batches:
-        seed, doc, tag, pos = (batch.column(c).to_numpy() for c in ("seed", "doc", "tag", "pos"))
-        if not len(seed):
-            continue
-        if last is not None:
-            seed, doc, tag, pos = (np.concatenate([last[k], c]) for k, c in enumerate((seed, doc, tag, pos)))
-        skip = 0 if last is None else len(last[0])
-        new = np.ones(len(seed), bool)
-        new[1:] = (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
-        begin = np.maximum.accumulate(np.where(new, np.arange(len(seed)), 0))
-        prior = begin - 1
-        ok = (prior >= 0) & (seed[np.maximum(prior, 0)] == seed)
-        ok[:skip] = False
-        i, j = np.flatnonzero(ok), prior[ok]
-        yield record_batch(doc=doc[i], tag=tag[i], source=doc[j], source_tag=tag[j], pos=pos[i], source_pos=pos[j])
-        keep = np.unique([max(begin[-1] - 1, 0), len(seed) - 1])
-        last = tuple(c[keep].copy() for c in (seed, doc, tag, pos))
-
-
 def chain(pos: np.ndarray, spos: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Passages ``(start, end, source_start, source_end)`` of chained k-mer matches, best chains first, without overlap.
 
     Matches on one diagonal that follow closely make one block. A chain earns its blocks' words and pays for the words in
-    its gaps. Of the blocks that end at most MAX_GAP words back in both texts the best one goes before a block: for each
-    end in the source a queue holds, best first, those that may still be the best of that end.
+    its gaps. A Fenwick tree over the blocks' ends in the source gives the best one to go before a block. What lies before
+    a gap is worth one seed there, however long it is: so the best one never is too far away, and hides no nearer one.
     """
     order = np.lexsort((pos, pos - spos))
     p, s = pos[order], spos[order]
@@ -358,24 +354,28 @@ def chain(pos: np.ndarray, spos: np.ndarray) -> list[tuple[int, int, int, int]]:
     n = len(p0)
     if n == 1:
         return [(p0[0], p1[0], s0[0], s1[0])]
+    ends = sorted(set(s1))
+    tree: list[tuple[float, int]] = [(-np.inf, -1)] * (len(ends) + 1)
+    waiting, entered = sorted(range(n), key=p1.__getitem__), 0
     score, back = [0.0] * n, [-1] * n
-    waiting: list[tuple[int, int]] = []  # blocks enter when they end before the block in hand begins
-    near: dict[int, deque[tuple[float, int]]] = {}
     for i in range(n):
-        while waiting and waiting[0][0] <= p0[i]:
-            _, j = heapq.heappop(waiting)
-            queue, value = near.setdefault(s1[j], deque()), score[j] + GAP_COST * (p1[j] + s1[j])
-            while queue and queue[-1][0] <= value:
-                queue.pop()
-            queue.append((value, j))
-        score[i] = own = float(p1[i] - p0[i])
-        for end in range(s0[i] - MAX_GAP, s0[i] + 1):
-            queue = near.get(end, ())
-            while queue and p0[i] - p1[queue[0][1]] > MAX_GAP:
-                queue.popleft()
-            if queue and own + queue[0][0] - GAP_COST * (p0[i] + s0[i]) > score[i]:
-                score[i], back[i] = own + queue[0][0] - GAP_COST * (p0[i] + s0[i]), queue[0][1]
-        heapq.heappush(waiting, (p1[i], i))
+        while entered < n and p1[waiting[entered]] <= p0[i]:
+            j = waiting[entered]
+            entered += 1
+            value, k = (K + GAP_COST * (p1[j] + s1[j]), j), bisect_left(ends, s1[j]) + 1
+            while k < len(tree):
+                tree[k] = max(tree[k], value)
+                k += k & -k
+        best, k = (-np.inf, -1), bisect_right(ends, s0[i])
+        while k:
+            best = max(best, tree[k])
+            k -= k & -k
+        score[i] = float(p1[i] - p0[i])
+        j = best[1]
+        if best[0] >= GAP_COST * (p0[i] + s0[i]):
+            gap = GAP_COST * (p0[i] - p1[j] + s0[i] - s1[j])
+            if score[j] > gap:
+                score[i], back[i] = score[i] + score[j] - gap, j
     used, out = [False] * n, []
     for i in sorted(range(n), key=lambda i: -score[i]):
         if used[i]:
@@ -394,8 +394,11 @@ def align(x: np.ndarray, y: np.ndarray, p0: int, p1: int, s0: int, s1: int, simi
     range stays where none does. Last come the words of x and y that the longest growth took at either side.
     """
     p1, s1 = min(p1, len(x)), min(s1, len(y))
-    inner = _in_order(x[p0:p1], y[s0:s1])
     left, right = _grown(x[:p0][::-1], y[:s0][::-1]), _grown(x[p1:], y[s1:])
+    n, m = p1 - p0, s1 - s0
+    grown = int(left[-1, 2] + right[-1, 2])
+    # more edits than this, and no end makes up for them
+    inner = _in_order(x[p0:p1], y[s0:s1], int(n + m - 2 * similarity * max(n, m) + 2 * (1 - similarity) * grown) + 1)
     i, j, n = (left[:, None, k] + right[None, :, k] for k in range(3))
     n = n + inner
     longer = np.maximum(i + (p1 - p0), j + (s1 - s0))
@@ -445,29 +448,27 @@ def _grown(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def _in_order(a: np.ndarray, b: np.ndarray) -> int:
-    """Longest common subsequence by Myers' greedy search over diagonals; edits in a passage are few."""
+def _in_order(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """Longest common subsequence by Myers' greedy search over diagonals; with over ``most`` edits, only what begins both."""
     n = 0
     m = min(len(a), len(b))
     if m:
         differ = a[:m] != b[:m]
         n = int(differ.argmax()) if differ.any() else m
-    a, b = a[n:], b[n:]
-    if not len(a) or not len(b):
+    a, b = a[n:].tolist(), b[n:].tolist()
+    if not a or not b:
         return n
-    reach = {1: 0}
-    for d in range(len(a) + len(b) + 1):
+    reach, na, nb = {1: 0}, len(a), len(b)
+    for d in range(min(na + nb, most) + 1):
         for k in range(-d, d + 1, 2):
             i = reach.get(k + 1, 0) if k == -d or (k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1)) else reach[k - 1] + 1
             j = i - k
-            while i < len(a) and j < len(b) and a[i] == b[j]:
+            while i < na and j < nb and a[i] == b[j]:
                 i += 1
                 j += 1
             reach[k] = i
-            if i >= len(a) and j >= len(b):
-                return n + (len(a) + len(b) - d) // 2
-        if d > 2 * (len(a) + len(b)) // 5 + 8:  # fewer than about 0.8 of the words can match
-            break
+            if i >= na and j >= nb:
+                return n + (na + nb - d) // 2
     return n
 
 
@@ -504,7 +505,7 @@ def cut_passages(docs: DataFrame, passages: DataFrame, *, key: str = "doc_id", t
         return pa.array(out, pa.string())
 
     mark = "__sf"
-    numbered = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(mark), F.coalesce(docs[key].cast("long"), F.lit(_LOWEST)).alias("doc"), F.pmod(F.xxhash64(docs[text]), F.lit(1 << 31)).cast("int").alias("tag"))
+    numbered = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(mark), *[c.alias(n) for c, n in zip(_names(docs, key, text), ("doc", "tag"), strict=True)])
     flagged = numbered.withColumn("touched", may_be_touched("doc", "tag"))
     whole = flagged.where(~F.col("touched")).select(f"{mark}.*")
     cut = flagged.where("touched").join(spans, ["doc", "tag"], "left").select(mark, without(F.col(mark)[text], F.col("spans")).alias("__text"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyframe.llm import _bitmap
-from skyframe.llm._common import drop_stage, mix, powers, prefix_sums, record_batch, span_hash, stage, table, text_chunks
+from skyframe.llm._common import drop_stage, mix, powers, prefix_sums, record_batch, span_hash, small_batches, stage, table, text_chunks, whole_number_key
 
 #: Windows that one vectorised step handles at a time.
 SLICE = 1 << 20
@@ -98,7 +98,7 @@ def _over(docs: DataFrame, length: int, gram: int, handle, schema: str) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i, j, data, offsets in text_chunks(batch.column(2)):
+            for i, j, data, offsets in text_chunks(batch.column(2), SLICE):
                 for part in _slices(data, offsets, length):
                     runs = _runs(*part, length, gram)
                     yield handle(doc[i:j][runs["row"]], tag[i:j][runs["row"]], runs)
@@ -119,9 +119,10 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     if length < 8:
         raise ValueError("length must be 8 at least")
+    small_batches(docs.sparkSession)
     gram = max(4, length // 3 - 1)
     source = docs.select(
-        F.coalesce(docs[key].cast("long"), F.lit(_LOWEST)).alias("doc"), F.pmod(F.xxhash64(docs[text]), F.lit(1 << 31)).cast("int").alias("tag"), docs[text].cast("binary").alias("text")
+        F.coalesce(whole_number_key(docs, key), F.lit(_LOWEST)).alias("doc"), F.pmod(F.xxhash64(docs[text]), F.lit(1 << 31)).cast("int").alias("tag"), docs[text].cast("binary").alias("text")
     )
     long_enough = source.where(F.octet_length("text") >= length)
 
@@ -220,7 +221,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     kind = docs.schema[key].dataType.simpleString()
     marked = docs.select(
-        docs[key].alias("key"), F.coalesce(docs[key].cast("long"), F.lit(_LOWEST)).alias("doc"), F.pmod(F.xxhash64(docs[text]), F.lit(1 << 31)).cast("int").alias("tag"), F.coalesce(docs[text].cast("binary"), F.lit(b"")).alias("text")
+        docs[key].alias("key"), F.coalesce(whole_number_key(docs, key), F.lit(_LOWEST)).alias("doc"), F.pmod(F.xxhash64(docs[text]), F.lit(1 << 31)).cast("int").alias("tag"), F.coalesce(docs[text].cast("binary"), F.lit(b"")).alias("text")
     ).withColumn("touched", may_be_touched("doc", "tag"))
     whole = marked.where(~F.col("touched")).select("key", F.col("text").alias("kept"), F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"), F.octet_length("text").cast("long").alias("n_bytes"))
     cut = marked.where("touched").join(spans, ["doc", "tag"], "left").select("key", "text", "spans").mapInArrow(_cut, f"key {kind}, kept binary, spans array<struct<start:long,end:long>>, n_bytes long")

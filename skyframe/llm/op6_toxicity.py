@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm._common import ALNUM_SEPARATOR, crc_mod, drop_stage, record_batch, stage, table, text_chunks, words
+from skyframe.llm._common import ALNUM_SEPARATOR, crc_mod, drop_stage, record_batch, small_batches, stage, table, text_chunks, words
 
 DISCOUNT = 0.75
 #: A key is the number of a frequent word and 42 bits of the name of the word after it (0: it is the last).
@@ -250,6 +250,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text: str = "text",
     * a model fitted on one class or on nothing: the share of toxic labels (0 without any).
     * repeated rows get equal scores; an existing column of that name is replaced; very long texts are scored whole.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

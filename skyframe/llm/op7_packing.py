@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skyframe.llm._common import stage, table
+from skyframe.llm._common import small_batches, stage, table
 from skyframe.llm._tokens import encoder
 
 CAPACITY = 2_048
@@ -91,6 +91,7 @@ def token_pieces(
 
     ``payload``: ``ids`` keeps the token ids (array<int>), ``crc32`` their checksum as little-endian 32-bit words.
     """
+    small_batches(docs.sparkSession)
     key_type = docs.schema[key].dataType.simpleString()
     kind = {"ids": "ids array<int>", "crc32": "ids_crc32 long"}[payload]
 

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skyframe.llm._common import crc_mod, release, table
+from skyframe.llm._common import crc_mod, release, small_batches, table
 
 UNDETERMINED = "und"
 #: A text is encoded in pieces, so that the dictionary and not the text's own beginning explains each of them.
@@ -33,7 +33,6 @@ def fit_dictionaries(
     *,
     text: str = "text",
     lang: str = "lang",
-    max_languages: int = 256,
     max_excerpts: int = 1_000,
     excerpt_chars: int = 400,
     max_chars: int = 32 << 20,
@@ -42,11 +41,11 @@ def fit_dictionaries(
 
     Counting languages reads the ``lang`` column alone; the excerpts come from a share of the rows that follows from
     these counts, so nothing that grows with the table is shuffled or collected. Rows with a null text or language
-    teach nothing. Beyond ``max_languages`` values the most frequent are learned; all dictionaries together hold at most
-    ``max_chars`` letters.
+    teach nothing. Every language that has a letter in its texts is learned; all dictionaries together hold at most
+    ``max_chars`` letters, or one excerpt each. The same rows give the same dictionaries, whatever their order.
     """
     rows = labelled.select(labelled[lang].alias("lang"), labelled[text].alias("text")).where("lang is not null and text is not null")
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not found:
         return LanguageDictionaries((), ())
     max_excerpts = max(1, min(max_excerpts, max_chars // (excerpt_chars * len(found))))
@@ -59,7 +58,8 @@ def fit_dictionaries(
         rows.where(order < shares[F.col("lang")])
         .select("lang", order.alias("order"), F.lower(F.substring("text", start.cast("int"), F.lit(excerpt_chars))).alias("excerpt"))
         .where(F.col("excerpt").rlike(r"\p{L}"))
-        .dropDuplicates(["lang", "excerpt"])
+        .groupBy("lang", "excerpt")
+        .agg(F.min("order").alias("order"))
     )
     first = Window.partitionBy("lang").orderBy("order", "excerpt")
     kept = sample.withColumn("k", F.row_number().over(first)).where(F.col("k") <= max_excerpts).select("lang", "k", "excerpt").collect()
@@ -71,16 +71,14 @@ def fit_dictionaries(
     return LanguageDictionaries(tuple(names), tuple("\n".join(t for _, t in sorted(texts[k])).encode() for k in names))
 
 
-def encoded_sizes(texts: Sequence[str], compressors: Sequence[zstandard.ZstdCompressor]) -> np.ndarray:
+def encoded_sizes(texts: Iterable[str], compressors: Sequence[zstandard.ZstdCompressor]) -> np.ndarray:
     """Bytes of each text under each dictionary."""
-    out = np.zeros((len(texts), len(compressors)))
-    for i, t in enumerate(texts):
+    out = []
+    for t in texts:
         data = t.lower().encode("utf-8", "surrogatepass")
-        for a in range(0, len(data), PIECE_BYTES):
-            piece = data[a : a + PIECE_BYTES]
-            for j, c in enumerate(compressors):
-                out[i, j] += len(c.compress(piece))
-    return out
+        pieces = [data[a : a + PIECE_BYTES] for a in range(0, len(data), PIECE_BYTES)]
+        out.append([sum(len(c.compress(p)) for p in pieces) for c in compressors])
+    return np.array(out, float).reshape(-1, len(compressors))
 
 
 def identify_languages(
@@ -96,10 +94,11 @@ def identify_languages(
     * very long texts are encoded piece by piece, in constant memory beside the text itself.
     * repeated rows and other columns are kept; columns of the two names are replaced.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
-    def judge(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double")
+    def judge(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = shared.value.languages
         compressors = [
             zstandard.ZstdCompressor(
@@ -108,11 +107,11 @@ def identify_languages(
             )
             for c in shared.value.contents
         ]
-        for texts in series:
+        for texts in columns:
             lang, score = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
-            told = np.flatnonzero(texts.notna())
-            if len(names) and len(told):
-                sizes = encoded_sizes([texts.iloc[i] for i in told], compressors)
+            told = np.flatnonzero(texts.is_valid().to_numpy(zero_copy_only=False)) if names else np.zeros(0, np.int64)
+            if len(told):
+                sizes = encoded_sizes((texts[i].as_py() for i in told.tolist()), compressors)
                 best = sizes.argmin(axis=1)
                 least = sizes[np.arange(len(told)), best]
                 if len(names) > 1:
@@ -124,7 +123,7 @@ def identify_languages(
                 ok = margin >= min_margin
                 lang[told[ok]] = np.array(names, object)[best[ok]]
                 score[told[ok]] = sure[ok]
-            yield pd.DataFrame({"lang": lang, "score": score})
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang", "score"])
             release()
 
     kept = [c for c in docs.columns if c.lower() not in {x.lower() for x in columns}]
