@@ -7,13 +7,14 @@ one match per occurrence. The matches of two documents are merged along diagonal
 Fenwick tree, and the chains are aligned word by word.
 
 The first owner of a seed need not be the owner of the passage around it. So occurrences that no passage covers by
-then are matched once more, with the first document that has two seeds a passage's width apart in the same order.
+then are matched once more, two at a time that are as far apart as in a passage, with the first document that has both.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ K, WINDOW = 6, 10
 MAX_GAP = 60
 #: Per word of a gap in either document: the longest gap costs what one seed earns.
 GAP_COST = K / MAX_GAP
-#: Words looked at beyond a chain's ends; whole texts where an alignment gets as far.
-MARGIN = 64
+#: Words looked at beyond a chain's ends: the next number, and last whole texts, where an alignment gets far.
+MARGINS = (64, 1024, 1 << 30)
 #: Matched words that the growth of an end may fall behind its best: six words in a row that differ on both sides.
 DROP = 24
 
@@ -103,8 +104,9 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     ASCII white space, A-Z lower-cased). The source is a document with a smaller key. At least ``min_words`` words of a
     passage match words of the source in order, and these are at least ``similarity`` of the longer side. A document
     that repeats a passage is named with a source of it, not with each of its sources. Not found are passages in which no
-    two k-mers a few words to some forty apart are left whole, and those whose pairs of k-mers all come first from documents that are not
-    alike enough themselves. ``tag`` tells rows with one key and different texts apart.
+    two seeds, a few words to some forty apart, are left whole beside what other passages cover, and those whose seeds,
+    one by one and two by two, all come first from documents that are not alike enough themselves. ``tag`` tells rows with
+    one key and different texts apart.
 
     * null, empty and short texts have no passages; repeated rows are one document; a null key comes before all others.
     * passages inside one document only are not looked for. An empty table gives no rows; other columns are not read.
@@ -149,14 +151,16 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     drop_stage(matches)
 
     def asked(doc, tag, row, seed, pos):
-        wants = _bitmap.contains(open_, _occurrence(doc[row], tag[row], pos))
-        return _pairs(row, seed, pos, near, far, lambda i, j: wants[i] | wants[j])
+        on = np.flatnonzero(_bitmap.contains(open_, _occurrence(doc[row], tag[row], pos)))
+        on = on[_in_stretch(row[on], pos[on], near)]
+        pair, i, j = _pairs(row[on], seed[on], pos[on], near, far)
+        return pair, on[i], on[j]
 
     asking = stage(_marked(marks, asked), "asking")
     wanted = _bitmap.build(asking.select("pair").distinct(), F.col("pair"))
 
     def offered(doc, tag, row, seed, pos):
-        return _pairs(row, seed, pos, near, far, None, wanted)
+        return _pairs(row, seed, pos, near, far, wanted)
 
     first = _marked(marks, offered).groupBy("pair").agg(F.min(F.struct("doc", "tag", "a", "b")).alias("f"))
     both = asking.join(first, "pair").where(other)
@@ -193,13 +197,14 @@ def _marked(marks: DataFrame, handle) -> DataFrame:
                 part = batch.slice(at, 256)
                 doc, tag = part.column(0).to_numpy(), part.column(1).to_numpy()
                 row = np.repeat(np.arange(len(doc)), pa.compute.list_value_length(part.column(2)).to_numpy())
-                pair, i, j, pos = handle(doc, tag, row, part.column(2).flatten().to_numpy().view(np.uint64), part.column(3).flatten().to_numpy())
+                pos = part.column(3).flatten().to_numpy()
+                pair, i, j = handle(doc, tag, row, part.column(2).flatten().to_numpy().view(np.uint64), pos)
                 yield record_batch(pair=pair.view(np.int64), doc=doc[row[i]], tag=tag[row[i]], a=pos[i], b=pos[j])
 
     return marks.mapInArrow(run, "pair long, doc long, tag int, a int, b int")
 
 
-def _pairs(row: np.ndarray, seed: np.ndarray, pos: np.ndarray, near: int, far: int, asks=None, wanted=None):
+def _pairs(row: np.ndarray, seed: np.ndarray, pos: np.ndarray, near: int, far: int, wanted=None):
     """Names and places of all pairs of seeds of one row that are ``near`` to ``far`` words apart."""
     name, left, right = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k in range(1, len(row)):
@@ -207,8 +212,6 @@ def _pairs(row: np.ndarray, seed: np.ndarray, pos: np.ndarray, near: int, far: i
         if not (apart <= far).any():
             break
         i = np.flatnonzero((apart >= near) & (apart <= far))
-        if asks is not None:
-            i = i[asks(i, i + k)]
         x = mix(mix(seed[i] ^ np.uint64(0xA0761D6478BD642F)) ^ seed[i + k])
         if wanted is not None:
             on = _bitmap.contains(wanted, x)
@@ -216,7 +219,7 @@ def _pairs(row: np.ndarray, seed: np.ndarray, pos: np.ndarray, near: int, far: i
         name.append(x)
         left.append(i)
         right.append(i + k)
-    return np.concatenate(name), np.concatenate(left), np.concatenate(right), pos
+    return np.concatenate(name), np.concatenate(left), np.concatenate(right)
 
 
 def _occurrence(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -286,10 +289,10 @@ def _aligned(source: DataFrame, matches: DataFrame, min_words: int, similarity:
                     x, y = (batch.column(k)[i].values.to_numpy() for k in ("x", "y"))
                     a, b = max(c["start"][i] - margin, 0), max(c["source_start"][i] - margin, 0)
                     p0, p1, s0, s1, n, back, on = align(x, y, c["start"][i] - a, c["end"][i] - a, c["source_start"][i] - b, c["source_end"][i] - b, similarity)
-                    # growth that comes near the border of what was looked at may go on behind it
+                    # growth well beyond a chain's ends may go on behind what was looked at
                     more = bool(
-                        (a > 0 and back[0] > margin - DROP) or (len(x) == c["end"][i] - a + margin and on[0] > margin - DROP)
-                        or (b > 0 and back[1] > margin - DROP) or (len(y) == c["source_end"][i] - b + margin and on[1] > margin - DROP)
+                        (a > 0 and back[0] > margin // 2) or (len(x) == c["end"][i] - a + margin and on[0] > margin // 2)
+                        or (b > 0 and back[1] > margin // 2) or (len(y) == c["source_end"][i] - b + margin and on[1] > margin // 2)
                     )
                     like = n / max(p1 - p0, s1 - s0, 1)
                     if more or (n >= min_words and like >= similarity):
@@ -299,19 +302,21 @@ def _aligned(source: DataFrame, matches: DataFrame, min_words: int, similarity:
 
         return stage(both.mapInArrow(aligned, _ALIGNED), "aligned")
 
-    near_ends = looked_at(passages, MARGIN)
-    # of these few, whole texts
-    further = looked_at(near_ends.where("more").select(*passages.columns), _WHOLE)
+    rounds = [looked_at(passages, MARGINS[0])]
+    for margin in MARGINS[1:]:
+        further = rounds[-1].where("more").select(*passages.columns)
+        if further.isEmpty():
+            break
+        rounds.append(looked_at(further, margin))
+    ended = [r.where("not more") for r in rounds]
     result = ["doc", "tag", F.col("p0").alias("start"), F.col("p1").alias("end"), "source", F.col("s0").alias("source_start"), F.col("s1").alias("source_end"), "matched", "similarity"]
     # several chains of two documents may grow to one passage
-    found = stage(near_ends.where("not more").unionByName(further).select(*result).distinct(), "passages")
-    drop_stage(passages, named, near_ends, further)
+    found = stage(reduce(DataFrame.unionByName, ended).select(*result).distinct(), "passages")
+    drop_stage(passages, named, *rounds)
     return found
 
 
 _LOWEST = -(1 << 63)
-#: More words than any text has: margins of this size take in all of it.
-_WHOLE = 1 << 30
 _PASSAGE = "doc long, tag int, source long, source_tag int, start long, end long, source_start long, source_end long"
 _ALIGNED = f"{_PASSAGE}, p0 long, p1 long, s0 long, s1 long, matched long, similarity double, more boolean"
 
@@ -391,34 +396,35 @@ def align(x: np.ndarray, y: np.ndarray, p0: int, p1: int, s0: int, s1: int, simi
     """Grows the chained ranges at both ends, over edits too, and counts the words matched in order.
 
     Of the ends that either side may have, the pair with most matched words is taken that holds ``similarity``; the chained
-    range stays where none does. Last come the words of x and y that the longest growth took at either side.
+    range stays where none does. Last come the words of x and y that the best growth took at either side.
     """
     p1, s1 = min(p1, len(x)), min(s1, len(y))
     left, right = _grown(x[:p0][::-1], y[:s0][::-1]), _grown(x[p1:], y[s1:])
-    n, m = p1 - p0, s1 - s0
-    grown = int(left[-1, 2] + right[-1, 2])
-    # more edits than this, and no end makes up for them
-    inner = _in_order(x[p0:p1], y[s0:s1], int(n + m - 2 * similarity * max(n, m) + 2 * (1 - similarity) * grown) + 1)
-    i, j, n = (left[:, None, k] + right[None, :, k] for k in range(3))
-    n = n + inner
-    longer = np.maximum(i + (p1 - p0), j + (s1 - s0))
-    ok = n >= similarity * longer
-    best = int(np.where(ok, n * (longer.max() + 1) - longer, -1).argmax()) if ok.any() else 0
-    a, b = divmod(best, len(right))
-    return p0 - int(left[a, 0]), p1 + int(right[b, 0]), s0 - int(left[a, 1]), s1 + int(right[b, 1]), int(n[a, b]), left[-1], right[-1]
+    inner = _in_order(x[p0:p1], y[s0:s1])
+    n, m, best = p1 - p0, s1 - s0, (-1, 0, 0, 0)
+    for a in range(len(left) - 1, -1, -1):  # matched words only fall from here
+        total = inner + int(left[a, 2]) + right[:, 2]
+        if total[-1] < best[0]:
+            break
+        longer = np.maximum(n + left[a, 0] + right[:, 0], m + left[a, 1] + right[:, 1])
+        ok = np.flatnonzero(total >= similarity * longer)
+        if len(ok):
+            best = max(best, (int(total[ok[-1]]), -int(longer[ok[-1]]), a, int(ok[-1])))
+    matched, _, a, b = best if best[0] >= 0 else (inner, 0, 0, 0)
+    return p0 - int(left[a, 0]), p1 + int(right[b, 0]), s0 - int(left[a, 1]), s1 + int(right[b, 1]), matched, left[left[:, 3].argmax()], right[right[:, 3].argmax()]
 
 
 def _grown(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """``(words of x, words of y, matched)``: how far an alignment from the beginning of both gets with 0, 1, 2, ... edits.
+    """``(words of x, words of y, matched, score)``: how far an alignment from the beginning of both gets with 0, 1, 2, ... edits.
 
-    An edit is a word that only one side has, and costs two matched words; the search ends at DROP below the best.
+    An edit is a word that only one side has, and costs two matched words; the search ends at DROP below the best score.
     """
     m = min(len(x), len(y))
     differ = x[:m] != y[:m]
     n = int(differ.argmax()) if differ.any() else m
-    out, best = [(0, 0, 0)], n
+    out, best = [(0, 0, 0, 0)], n
     if n:
-        out.append((n, n, n))
+        out.append((n, n, n, n))
     if n == len(x) or n == len(y):
         return np.array(out)
     a, b = x[n:].tolist(), y[n:].tolist()
@@ -438,38 +444,35 @@ def _grown(x: np.ndarray, y: np.ndarray) -> np.ndarray:
                 j += 1
             now[k] = i
             top = max(top, ((i + j - d) // 2, i, j))
-        reach = now
+        ahead = max((2 * i - k for k, i in now.items()), default=0)
+        # diagonals far behind the one that is furthest do not catch up
+        reach = {k: i for k, i in now.items() if 2 * i - k >= ahead - 4 * DROP}
         if not now:
             break
         if top[0] > matched:
             matched = top[0]
-            out.append((n + top[1], n + top[2], n + matched))
+            out.append((n + top[1], n + top[2], n + matched, n + matched - 2 * d))
             best = max(best, n + matched - 2 * d)
     return np.array(out)
 
 
-def _in_order(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Longest common subsequence by Myers' greedy search over diagonals; with over ``most`` edits, only what begins both."""
-    n = 0
-    m = min(len(a), len(b))
-    if m:
+def _in_order(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence; a row of the table of lengths is one number, a bit for each word of b."""
+    n, m = 0, min(len(a), len(b))
+    for _ in range(2):  # what begins both, then what ends both
         differ = a[:m] != b[:m]
-        n = int(differ.argmax()) if differ.any() else m
-    a, b = a[n:].tolist(), b[n:].tolist()
-    if not a or not b:
+        k = int(differ.argmax()) if differ.any() else m
+        n, m, a, b = n + k, m - k, a[k:][::-1], b[k:][::-1]
+    if not m:
         return n
-    reach, na, nb = {1: 0}, len(a), len(b)
-    for d in range(min(na + nb, most) + 1):
-        for k in range(-d, d + 1, 2):
-            i = reach.get(k + 1, 0) if k == -d or (k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1)) else reach[k - 1] + 1
-            j = i - k
-            while i < na and j < nb and a[i] == b[j]:
-                i += 1
-                j += 1
-            reach[k] = i
-            if i >= na and j >= nb:
-                return n + (na + nb - d) // 2
-    return n
+    at: dict[int, int] = {}
+    for j, w in enumerate(b.tolist()):
+        at[w] = at.get(w, 0) | 1 << j
+    row = whole = (1 << len(b)) - 1
+    for w in a.tolist():
+        if hit := row & at.get(w, 0):
+            row = (row + hit | row - hit) & whole
+    return n + len(b) - row.bit_count()
 
 
 def cut_passages(docs: DataFrame, passages: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:

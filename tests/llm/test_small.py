@@ -141,9 +141,11 @@ def test_chain_follows_order_and_gaps():
     spos = np.array([100, 105, 110, 300, 5, 140])
     assert op4.chain(pos, spos)[0] == (0, 46, 100, 146)
     a = np.array([1, 2, 3, 4, 5, 6, 7, 8]); b = np.array([1, 2, 9, 4, 5, 7, 8])
-    assert op4._in_order(a, b, 9) == 6 and op4._in_order(a, b, 1) == 2
-    a = np.arange(100); b = np.concatenate([a[:70], 500 + np.arange(20), a[90:]])
-    assert op4._in_order(a, b, 40) == 80
+    assert op4._in_order(a, b) == 6
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        a, b = rng.integers(0, 6, rng.integers(0, 40)), rng.integers(0, 6, rng.integers(0, 40))
+        assert op4._in_order(a, b) == in_order(a.tolist(), b.tolist())
 
 
 def test_chain_asks_near_blocks_behind_a_long_run():
