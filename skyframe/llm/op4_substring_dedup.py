@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skyframe.llm import _bitmap
 from skyframe.llm._common import drop_stage, grams, lists, mix, record_batch, small_batches, stage, table, text_chunks, whole_number_key, words
@@ -142,7 +143,8 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     other = (F.col("doc") != F.col("f.doc")) | (F.col("tag") != F.col("f.tag"))
     owner = [F.col("f.doc").alias("source"), F.col("f.tag").alias("source_tag")]
     matches = stage(seeds.join(first, "seed").where(other).select("doc", "tag", *owner, "pos", F.col("f.pos").alias("source_pos")), "matches")
-    found = _aligned(source, matches, min_words, similarity)
+    chains = stage(_chains(matches, min_words), "chains")
+    found = _aligned(source, chains.where("main"), similarity, min_words)
 
     spans = found.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     covered = F.exists("spans", lambda s: (s["start"] <= F.col("pos")) & (s["end"] >= F.col("pos") + K))
@@ -165,12 +167,45 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     first = _marked(marks, offered).groupBy("pair").agg(F.min(F.struct("doc", "tag", "a", "b")).alias("f"))
     both = asking.join(first, "pair").where(other)
     ends = F.explode(F.array(*[F.struct(F.col(c).alias("pos"), F.col(f"f.{c}").alias("source_pos")) for c in "ab"])).alias("x")
-    rest = _aligned(source, both.select("doc", "tag", *owner, ends).select("doc", "tag", "source", "source_tag", "x.pos", "x.source_pos").distinct(), min_words, similarity)
-    out = stage(found.unionByName(rest).distinct(), "passages")
-    drop_stage(found, rest, asking, marks)
+    more = stage(_chains(both.select("doc", "tag", *owner, ends).select("doc", "tag", "source", "source_tag", "x.pos", "x.source_pos").distinct(), min_words), "chains")
+    # what lay within a longer chain, if that has come to nothing
+    within = F.exists("spans", lambda s: (s["start"] <= F.col("start")) & (s["end"] >= F.col("end")))
+    shorter = chains.where("not main").join(spans, ["doc", "tag"], "left").where(~F.coalesce(within, F.lit(False))).drop("spans")
+    # growth need not go far into what is covered
+    ends = F.transform(F.filter("spans", lambda s: s["start"] < F.col("start")), lambda s: s["end"])
+    begins = F.transform(F.filter("spans", lambda s: s["end"] > F.col("end")), lambda s: s["start"])
+    again = more.unionByName(shorter).join(spans, ["doc", "tag"], "left").withColumns({"lo": F.greatest("lo", F.array_max(ends)), "hi": F.least("hi", F.array_min(begins))})
+    rest = _aligned(source, again.drop("spans"), similarity, min_words)
+    parts = stage(found.unionByName(rest), "passages")
+    joined = _aligned(source, _joined(parts), similarity, min_words)
+    out = stage(_outermost(parts.unionByName(joined)).drop("source_tag"), "passages")
+    drop_stage(found, rest, asking, marks, chains, more, parts, joined)
     return out
 
 
+_PAIR = ["doc", "tag", "source", "source_tag"]
+
+
+def _joined(passages: DataFrame) -> DataFrame:
+    """Passages of the same two documents that overlap in both, as one chain each."""
+    w = Window.partitionBy(*_PAIR).orderBy("start", "source_start", "end", "source_end")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    apart = F.coalesce((F.col("start") > F.max("end").over(before)) | (F.col("source_start") > F.max("source_end").over(before)), F.lit(True))
+    numbered = passages.withColumn("apart", apart.cast("int")).withColumn("number", F.sum("apart").over(w))
+    lo, hi = F.min("start"), F.max("end")
+    whole = numbered.groupBy(*_PAIR, "number").agg(
+        lo.alias("start"), hi.alias("end"), F.min("source_start").alias("source_start"), F.max("source_end").alias("source_end"), lo.alias("lo"), hi.alias("hi"), F.count("*").alias("n")
+    )
+    return whole.where("n > 1").drop("n", "number").withColumn("main", F.lit(True))
+
+
+def _outermost(passages: DataFrame) -> DataFrame:
+    """Without passages that lie within another one of the same two documents, in both."""
+    w = Window.partitionBy(*_PAIR).orderBy("start", "source_start", F.desc("end"), F.desc("source_end")).rowsBetween(Window.unboundedPreceding, -1)
+    inside = (F.col("end") <= F.max("end").over(w)) & (F.col("source_end") <= F.max("source_end").over(w))
+    return passages.withColumn("inside", F.coalesce(inside, F.lit(False))).where("not inside").drop("inside")
+
+
 def _pair_range(min_words: int) -> tuple[int, int]:
     """Words between two seeds of a passage: enough that what they span may grow to one, and no more than a gap over that."""
     near = max(1, min_words - 2 * (K + WINDOW) - K)
@@ -231,19 +266,35 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record_batch(key=_occurrence(*(batch.column(c).to_numpy() for c in range(3))).view(np.int64))
 
 
-def _aligned(source: DataFrame, matches: DataFrame, min_words: int, similarity: float) -> DataFrame:
-    """Passages from ``matches`` of one seed each: (doc, tag, source, source_tag, pos, source_pos)."""
-    columns = ["doc", "tag", "source", "source_tag", "pos", "source_pos"]
-    dealt = matches.repartition("doc", "tag", "source", "source_tag").sortWithinPartitions("doc", "tag", "source", "source_tag", "pos", "source_pos")
+def _chains(matches: DataFrame, min_words: int) -> DataFrame:
+    """Chains from ``matches`` of one seed each: (doc, tag, source, source_tag, pos, source_pos).
 
-    def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+    A document's matches are no more than its words. ``lo`` and ``hi`` are where the chains of the same two documents before
+    and behind end and begin. ``main``: within no longer range of the document that is chained too.
+    """
+    columns = ["doc", "tag", "source", "source_tag", "pos", "source_pos"]
+    dealt = matches.repartition("doc", "tag").sortWithinPartitions(*columns).select(columns)
 
-        def ended() -> list[tuple]:
-            if not held:
-                return []
-            pos, spos = (np.concatenate([h[k] for h in held]).astype(np.int64) for k in (0, 1))
-            return [(*at, p0, p1, s0, s1) for p0, p1, s0, s1 in chain(pos, spos) if min(p1 - p0, s1 - s0) + 2 * (K + WINDOW) >= min_words]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, of_doc = None, [], []
+
+        def ended() -> None:
+            nonlocal held
+            if held:
+                pos, spos = (np.concatenate([h[k] for h in held]).astype(np.int64) for k in (0, 1))
+                kept = sorted(c for c in chain(pos, spos) if min(c[1] - c[0], c[3] - c[2]) + 2 * (K + WINDOW) >= min_words)
+                before = np.maximum.accumulate([0, *(c[1] for c in kept)]).tolist()
+                after = [*(c[0] for c in kept[1:]), _FAR]
+                of_doc.extend((*at, *c, lo, hi) for c, lo, hi in zip(kept, before, after))
+                held = []
+
+        def flushed() -> list[tuple]:
+            out, reach = [], -1
+            for c in sorted(of_doc, key=lambda c: (c[4], -c[5])):
+                out.append((*c, c[5] > reach))
+                reach = max(reach, c[5])
+            of_doc.clear()
+            return out
 
         for batch in batches:
             cols = [batch.column(c).to_numpy() for c in columns]
@@ -256,13 +307,21 @@ def _aligned(source: DataFrame, matches: DataFrame, min_words: int, similarity:
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 this = tuple(int(c[a]) for c in cols[:4])
                 if this != at:
-                    out += ended()
-                    at, held = this, []
+                    ended()
+                    if at is None or this[:2] != at[:2]:
+                        out += flushed()
+                    at = this
                 held.append(tuple(c[a:b].copy() for c in cols[4:]))
-            yield _passages(out)
-        yield _passages(ended())
+            yield _batch(out, _CHAIN)
+        ended()
+        yield _batch(flushed(), _CHAIN)
+
+    return dealt.mapInArrow(run, _CHAIN)
+
 
-    passages = stage(dealt.mapInArrow(chains, _PASSAGE), "chains")
+def _aligned(source: DataFrame, passages: DataFrame, similarity: float, min_words: int) -> DataFrame:
+    """Passages from chains."""
+    passages = stage(passages.drop("main").distinct(), "asked")
     involved = passages.select("doc", "tag").union(passages.select("source", "source_tag")).distinct()
     asked = _bitmap.build(involved.mapInArrow(_keys, "key long"), F.col("key"))
 
@@ -289,16 +348,16 @@ def _aligned(source: DataFrame, matches: DataFrame, min_words: int, similarity:
                     x, y = (batch.column(k)[i].values.to_numpy() for k in ("x", "y"))
                     a, b = max(c["start"][i] - margin, 0), max(c["source_start"][i] - margin, 0)
                     p0, p1, s0, s1, n, back, on = align(x, y, c["start"][i] - a, c["end"][i] - a, c["source_start"][i] - b, c["source_end"][i] - b, similarity)
-                    # growth well beyond a chain's ends may go on behind what was looked at
+                    # growth well beyond a chain's ends may go on behind what was looked at, if that holds no other chain
                     more = bool(
-                        (a > 0 and back[0] > margin // 2) or (len(x) == c["end"][i] - a + margin and on[0] > margin // 2)
-                        or (b > 0 and back[1] > margin // 2) or (len(y) == c["source_end"][i] - b + margin and on[1] > margin // 2)
+                        (a > c["lo"][i] and (back[0] > margin // 2 or (b > 0 and back[1] > margin // 2)))
+                        or (c["end"][i] + margin < c["hi"][i] and len(x) == c["end"][i] - a + margin and on[0] > margin // 2)
+                        or (c["end"][i] + margin < c["hi"][i] and len(y) == c["source_end"][i] - b + margin and on[1] > margin // 2)
                     )
                     like = n / max(p1 - p0, s1 - s0, 1)
                     if more or (n >= min_words and like >= similarity):
                         out.append((*(c[k][i] for k in keys), p0 + a, p1 + a, s0 + b, s1 + b, n, like, more))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * 9, pa.float64(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], [x.split()[0] for x in _ALIGNED.split(", ")])
+                yield _batch(out, _ALIGNED)
 
         return stage(both.mapInArrow(aligned, _ALIGNED), "aligned")
 
@@ -309,7 +368,7 @@ def _aligned(source: DataFrame, matches: DataFrame, min_words: int, similarity:
             break
         rounds.append(looked_at(further, margin))
     ended = [r.where("not more") for r in rounds]
-    result = ["doc", "tag", F.col("p0").alias("start"), F.col("p1").alias("end"), "source", F.col("s0").alias("source_start"), F.col("s1").alias("source_end"), "matched", "similarity"]
+    result = ["doc", "tag", F.col("p0").alias("start"), F.col("p1").alias("end"), "source", "source_tag", F.col("s0").alias("source_start"), F.col("s1").alias("source_end"), "matched", "similarity"]
     # several chains of two documents may grow to one passage
     found = stage(reduce(DataFrame.unionByName, ended).select(*result).distinct(), "passages")
     drop_stage(passages, named, *rounds)
@@ -317,7 +376,9 @@ def _aligned(source: DataFrame, matches: DataFrame, min_words: int, similarity:
 
 
 _LOWEST = -(1 << 63)
-_PASSAGE = "doc long, tag int, source long, source_tag int, start long, end long, source_start long, source_end long"
+_FAR = 1 << 40
+_PASSAGE = "doc long, tag int, source long, source_tag int, start long, end long, source_start long, source_end long, lo long, hi long"
+_CHAIN = f"{_PASSAGE}, main boolean"
 _ALIGNED = f"{_PASSAGE}, p0 long, p1 long, s0 long, s1 long, matched long, similarity double, more boolean"
 
 
@@ -330,9 +391,10 @@ def _names(docs: DataFrame, key: str, text: str) -> tuple[Column, Column]:
     return F.coalesce(whole_number_key(docs, key), F.lit(_LOWEST)), F.pmod(F.xxhash64(docs[text]), F.lit(1 << 31)).cast("int")
 
 
-def _passages(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [x.split()[0] for x in _PASSAGE.split(", ")])
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+    named = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(named)], [n for n, _ in named])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
