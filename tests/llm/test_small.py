@@ -1,6 +1,7 @@
 """Small cases of every operator: nulls, empty tables and texts, repeated rows, ties, clashing names, long texts."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -90,6 +91,48 @@ def test_licenses(spark):
         op2.scan_licenses(docs(spark, []), {"none": "!"})
 
 
+def test_licenses_in_either_order():
+    def find(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        _, _, row, name = op2.words(data, np.array([0, len(data)]), op2.ALNUM_SEPARATOR)
+        return [x for k, *x in op2._Templates({"MIT": op2._template_words(op2.TEMPLATES["MIT"])}).find(name, row, 0.8)]
+
+    assert find("Released under MIT License; Released under the MIT License") == [[0, 4, 0.8], [4, 9, 1.0]]
+    assert find("Released under the MIT License. Released under MIT License") == [[0, 5, 1.0], [5, 9, 0.8]]
+
+
+def test_licenses_against_brute_force(spark):
+    """Every place that holds a word of a template is tried, in every text, without a count of words before."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(40):
+        w = prose(int(rng.integers(0, 40)), i).split()
+        for t in rng.choice(list(op2.TEMPLATES), 3):
+            x = op2.TEMPLATES[t].split()
+            for _ in range(int(rng.integers(0, len(x) // 5 + 2))):
+                x[int(rng.integers(0, len(x)))] = ["the", "of", "license", "", "odd word"][int(rng.integers(0, 5))]
+            w += [*x, *prose(int(rng.integers(0, 9)), i + 100).split(), *(["the", "software", "license"] * int(rng.integers(0, 4)))]
+        rows.append((i, " ".join(w)))
+    rows.append((50, "the of and or in software license " * 3000 + op2.TEMPLATES["ISC"]))
+    got = sorted((r["doc_id"], r["license"], r["start"], r["end"], r["coverage"]) for r in op2.scan_licenses(docs(spark, rows)).collect())
+    want = []
+    for i, t in rows:
+        data = np.frombuffer(t.encode(), np.uint8)
+        name = op2.words(data, np.array([0, len(data)]), op2.ALNUM_SEPARATOR)[3].tolist()
+        for k, template in op2.TEMPLATES.items():
+            b = op2._template_words(template).tolist()
+            need, p, known = -(-8 * len(b) // 10), 0, Counter(b)
+            while p < len(name):
+                window = name[p : p + len(b) + len(b) // 2 + 2]
+                # no alignment matches more words than both have
+                if name[p] in known and sum((Counter(window) & known).values()) >= need and (found := op2.occurrence(window, b, need)):
+                    want.append((i, k, p + found[0], p + found[1], found[2] / len(b)))
+                    p += found[1]
+                else:
+                    p += 1
+    assert got == sorted(want) and len(got) > 60 and {r[1] for r in got} == set(op2.TEMPLATES)
+
+
 def test_patience_equals_a_plain_alignment_on_permutations():
     rng = np.random.default_rng(2)
     for _ in range(50):
