@@ -30,6 +30,8 @@ K, WINDOW = 6, 10
 MAX_GAP = 60
 #: Per word of a gap in either document: the longest gap costs what one seed earns.
 GAP_COST = K / MAX_GAP
+#: Seeds that 45 words in a row have at least, as seeds are WINDOW words apart at most.
+SEEDS = 4
 #: Words looked at beyond a chain's ends: the next number, and last whole texts, where an alignment gets far.
 MARGINS = (64, 1024, 1 << 30)
 #: Matched words that the growth of an end may fall behind its best: six words in a row that differ on both sides.
@@ -104,9 +106,9 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     ``doc`` and ``source`` are keys (whole numbers), ``start`` and ``end`` numbers of words (runs of characters that are no
     ASCII white space, A-Z lower-cased). The source is a document with a smaller key. At least ``min_words`` words of a
     passage match words of the source in order, and these are at least ``similarity`` of the longer side. A document
-    that repeats a passage is named with a source of it, not with each of its sources. Not found are passages in which no
-    two seeds, a few words to some forty apart, are left whole beside what other passages cover, and those whose seeds,
-    one by one and two by two, all come first from documents that are not alike enough themselves. ``tag`` tells rows with
+    that repeats a passage is named with a source of it, not with each of its sources. Not found are passages whose
+    seeds, one by one, come first from documents that are not alike enough themselves, if fewer than four within some forty
+    words are left whole outside of what other passages cover, or if these, two by two, come first from such documents too. ``tag`` tells rows with
     one key and different texts apart.
 
     * null, empty and short texts have no passages; repeated rows are one document; a null key comes before all others.
@@ -154,7 +156,7 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
 
     def asked(doc, tag, row, seed, pos):
         on = np.flatnonzero(_bitmap.contains(open_, _occurrence(doc[row], tag[row], pos)))
-        on = on[_in_stretch(row[on], pos[on], near)]
+        on = on[_crowded(row[on], pos[on], far)]
         pair, i, j = _pairs(row[on], seed[on], pos[on], near, far)
         return pair, on[i], on[j]
 
@@ -223,6 +225,17 @@ def _in_stretch(row: np.ndarray, pos: np.ndarray, near: int) -> np.ndarray:
     return np.flatnonzero(np.repeat(pos[end] - pos[begin] >= near, end - begin + 1))
 
 
+def _crowded(row: np.ndarray, pos: np.ndarray, far: int) -> np.ndarray:
+    """Seeds that stand with others as every passage without an edit has them: SEEDS of them within ``far`` words."""
+    k = SEEDS - 1
+    together = (row[k:] == row[: len(row) - k]) & (pos[k:] - pos[: len(pos) - k] <= far) if len(row) > k else np.zeros(0, bool)
+    count = np.zeros(len(row) + 1, np.int64)
+    begin = np.flatnonzero(together)
+    np.add.at(count, begin, 1)
+    np.add.at(count, begin + k + 1, -1)
+    return np.flatnonzero(np.cumsum(count[:-1]) > 0)
+
+
 def _marked(marks: DataFrame, handle) -> DataFrame:
     """``handle(doc, tag, row, seed, pos)`` of a batch gives pairs of seeds by row."""
 
