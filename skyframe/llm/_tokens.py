@@ -15,7 +15,7 @@ import pyarrow as pa
 from skyframe.llm._common import prefix_sums, span_hash, text_chunks
 
 #: Large enough that most pieces of a chunk are known from within it.
-_CHUNK_BYTES = 1 << 20
+_CHUNK_BYTES = 1 << 19
 _WHITE = np.zeros(256, bool)
 _WHITE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
 #: First bytes of every white space character beyond ASCII.
@@ -26,7 +26,7 @@ _MAY_BE_WHITE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 class PieceEncoder:
     """Encodes with a vocabulary file of the ``tokenizers`` library; one per Python worker."""
 
-    def __init__(self, path: str, remember: int = 1_500_000):
+    def __init__(self, path: str, remember: int = 750_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -312,9 +312,12 @@ def _candidates(members: DataFrame, num: int, den: int, mode: str) -> DataFrame:
 def _pivots(ids: np.ndarray, bits: list[bytes]) -> np.ndarray:
     widths = np.array([len(b) for b in bits])
     at = np.flatnonzero(widths == np.bincount(widths).argmax())
-    held = np.unpackbits(np.frombuffer(b"".join(bits[i] for i in at), np.uint8).reshape(len(at), -1), axis=1)
-    most = np.where(2 * held.sum(axis=0) > len(at), 1, -1).astype(np.int32)
-    return np.unique([int(at[(held @ most).argmax()]), int(ids.argmin())])
+    rows = np.frombuffer(b"".join(bits[i] for i in at), np.uint8).reshape(len(at), -1)
+    step = max(1, (1 << 20) // rows.shape[1])  # few rows are unpacked at a time
+    held = sum(np.unpackbits(rows[k : k + step], axis=1).sum(axis=0, dtype=np.int32) for k in range(0, len(at), step))
+    most = np.packbits(2 * held > len(at))
+    near = 2 * np.bitwise_count(rows & most).sum(axis=1, dtype=np.int64) - np.bitwise_count(rows).sum(axis=1, dtype=np.int64)
+    return np.unique([int(at[near.argmax()]), int(ids.argmin())])
 
 
 def tree_pairs(size: np.ndarray, bits: list[bytes], root: np.ndarray, num: int, den: int, pivots: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
