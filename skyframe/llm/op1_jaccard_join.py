@@ -337,7 +337,7 @@ def tree_pairs(size: np.ndarray, bits: list[bytes], root: np.ndarray, num: int,
             while folded.shape[1] > w // 8:
                 half = folded.shape[1] // 2
                 folded = folded[:, :half] | folded[:, half:]
-            left, right = (at, rows[w]), (by_width[other], folded)
+            left, right = (at, rows[w], _bits(rows[w])), (by_width[other], folded, _bits(folded))
             if pivots is None:
                 yield from _dual(left, right, size, root, num, den, other == w)
                 continue
@@ -351,12 +351,23 @@ def tree_pairs(size: np.ndarray, bits: list[bytes], root: np.ndarray, num: int,
                     break
 
 
+def _bits(rows: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(rows).sum(axis=1, dtype=np.int64)
+
+
+def _bits_in_both(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Common bits of the rows ``i`` of x and ``j`` of y, of so many pairs at a time that they take a few megabytes."""
+    out = np.zeros(len(i), np.int64)
+    step = max(1, (1 << 19) // x.shape[1])
+    for k in range(0, len(i), step):
+        out[k : k + step] = _bits(x[i[k : k + step]] & y[j[k : k + step]])
+    return out
+
+
 def _may_link(left, right, i, j, size, root, num, den) -> np.ndarray:
     """Every bit that one set has and the other lacks stands for a shingle, at least, outside the overlap."""
-    x, y = left[1][i], right[1][j]
     nx, ny = size[left[0][i]], size[right[0][j]]
-    both = np.bitwise_count(x & y).sum(axis=1, dtype=np.int64)
-    overlap = np.minimum(nx - np.bitwise_count(x).sum(axis=1, dtype=np.int64), ny - np.bitwise_count(y).sum(axis=1, dtype=np.int64)) + both
+    overlap = np.minimum(nx - left[2][i], ny - right[2][j]) + _bits_in_both(left[1], right[1], i, j)
     overlap = np.minimum(overlap, np.minimum(nx, ny))
     return (overlap * (num + den) >= num * (nx + ny)) & (root[left[0][i]] != root[right[0][j]])
 
@@ -384,14 +395,14 @@ class _Tree:
 
 
 def _dual(left, right, size, root, num, den, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    a = _Tree(*left, size, root)
-    b = a if same else _Tree(*right, size, root)
+    a = _Tree(*left[:2], size, root)
+    b = a if same else _Tree(*right[:2], size, root)
     top = max(len(a.levels), len(b.levels)) - 1
     stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         level, i, j = stack.pop()
         x, y = a.levels[min(level, len(a.levels) - 1)], b.levels[min(level, len(b.levels) - 1)]
-        both = np.bitwise_count(x[0][i] & y[0][j]).sum(axis=1, dtype=np.int64)
+        both = _bits_in_both(x[0], y[0], i, j)
         overlap = np.minimum(np.minimum(x[3][i], y[3][j]) + both, np.minimum(x[2][i], y[2][j]))
         keep = overlap * (num + den) >= num * (x[1][i] + y[1][j])
         keep &= (x[2][i] * den >= y[1][j] * num) & (y[2][j] * den >= x[1][i] * num)
