@@ -78,8 +78,11 @@ def stage(df: DataFrame, name: str, *, by: list[str] | None = None) -> DataFrame
 
 
 def drop_stage(*staged: DataFrame) -> None:
+    """Deletes staged tables; shuffle files of the jobs that wrote them go as soon as the driver has forgotten these."""
     for df in staged:
         _delete(df.sparkSession, df._skyframe_path)
+    if staged:
+        staged[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 @contextmanager
