@@ -7,12 +7,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# How many of each unit make one of the base unit of its kind.
+# How many of each unit make one of the base unit of its kind. Densities too are counted physically: one
+# per cubic centimetre is 1e6 per cubic metre, so a number in m-3 is 1e-6 of itself in cm-3.
 UNITS = {
     "angle": {"deg": 180.0, "rad": math.pi, "h": 12.0, "hours": 12.0},
     "length": {"m": 1.0, "km": 0.001, "cm": 100.0},
     "speed": {"m/s": 1.0, "cm/s": 100.0, "km/s": 0.001},
-    "density": {"m$^{-3}$": 1.0, "m-3": 1.0, "/m3": 1.0, "n/m3": 1.0, "cm$^{-3}$": 1e-6, "cm-3": 1e-6, "/cm3": 1e-6, "n/cm3": 1e-6, "n/cc": 1e-6},
+    "density": {"m$^{-3}$": 1.0, "m-3": 1.0, "/m3": 1.0, "n/m3": 1.0, "cm$^{-3}$": 1e-6, "cm-3": 1e-6, "/cm3": 1e-6, "n/cm3": 1e-6, "n/cc": 1e-6, "km$^{-3}$": 1e9, "km-3": 1e9, "/km3": 1e9, "n/km3": 1e9},
 }
 _ALIASES = {"degree": "deg", "degrees": "deg", "radian": "rad", "radians": "rad", "hr": "h", "hrs": "h", "km s-1": "km/s", "m s-1": "m/s", "cm s-1": "cm/s"}
 

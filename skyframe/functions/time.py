@@ -16,7 +16,7 @@ def year_and_doy(t: Column) -> Column:
 
 
 def seconds_of_day(t: Column) -> Column:
-    return F.hour(t) * 3600 + F.minute(t) * 60 + F.date_format(t, "s.SSSSSS").cast("double")
+    return F.timestamp_diff("MICROSECOND", day_of(t), t.cast("timestamp_ntz")) / 1e6
 
 
 def decimal_year(t: Column) -> Column:
@@ -85,8 +85,9 @@ def epoch_decode(number: Column, unit: str = "ms", origin: str = "unix") -> Colu
 
 
 def epoch_encode(t: Column) -> Column:
-    """Whole milliseconds since 1970, rounded down to the past for positive and towards zero for negative times."""
-    return (F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), t) / 1000).cast("long")
+    """Whole milliseconds since 1970; what is left of one goes, towards 1970."""
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), t)
+    return F.call_function("div", micros, F.lit(1000).cast("long"))
 
 
 def date_range(start: str, stop: str, step: str = "1 day") -> Column:

@@ -20,11 +20,16 @@ def time_grid(df: DataFrame, step: str, *keys: str, time: str = "epoch", common:
 
 
 def shared_range(members: Sequence[DataFrame], *, overlap: bool, time: str = "epoch") -> tuple:
-    """First and last time of the overlap or hull of all members; one row per member reaches the driver."""
-    ends = [m.agg(F.min(time), F.max(time)).first() for m in members]
+    """First and last time of the overlap or hull of all members that have rows; one row per member reaches the driver.
+
+    ``(None, None)`` where no member has rows or nothing overlaps.
+    """
+    ends = [e for e in (m.agg(F.min(time), F.max(time)).first() for m in members) if e[0] is not None]
+    if not ends:
+        return None, None
     low = (max if overlap else min)(e[0] for e in ends)
     high = (min if overlap else max)(e[1] for e in ends)
-    return low, high
+    return (low, high) if low <= high else (None, None)
 
 
 def neighbours(grid: DataFrame, data: DataFrame, values: Sequence[str], *keys: str, time: str = "epoch") -> DataFrame:
@@ -59,11 +64,11 @@ def neighbours(grid: DataFrame, data: DataFrame, values: Sequence[str], *keys: s
     return joined.select(*keys, "epoch", F.coalesce("p", "before").alias("prev"), F.coalesce("n", "after").alias("next"))
 
 
-def align(grid: DataFrame, data: DataFrame, values: Sequence[str], method: str | None, *keys: str, time: str = "epoch", fills: dict | None = None) -> DataFrame:
+def align(grid: DataFrame, data: DataFrame, values: Sequence[str], method: str | None, *keys: str, time: str = "epoch", fills: dict | None = None, limit: str | None = None) -> DataFrame:
     """``grid`` with ``values`` by ``method``: None (equal times only), ffill, bfill, nearest or linear.
 
     ``fills``: what unmatched grid rows get instead of null with equal times. Nearest prefers the earlier row of two
-    equally far ones. Linear needs rows on both sides.
+    equally far ones. Linear needs rows on both sides. ``limit``: the rows used may be that far away at most.
     """
     if method is None:
         matched = data.select(*keys, F.col(time).alias("epoch"), *values, F.lit(True).alias("__hit"))
@@ -71,6 +76,9 @@ def align(grid: DataFrame, data: DataFrame, values: Sequence[str], method: str |
         fill = fills or {}
         return joined.select(*keys, "epoch", *[F.when(F.col("__hit"), F.col(v)).otherwise(F.lit(fill.get(v))).alias(v) for v in values])
     near = neighbours(grid, data, values, *keys, time=time)
+    if limit:
+        far = F.expr(f"interval {limit}")
+        near = near.withColumns({"prev": F.when(F.col("prev.t") + far >= F.col("epoch"), F.col("prev")), "next": F.when(F.col("next.t") - far <= F.col("epoch"), F.col("next"))})
     micros = lambda a, b: F.timestamp_diff("MICROSECOND", a, b)
     back, ahead = micros(F.col("prev.t"), F.col("epoch")), micros(F.col("epoch"), F.col("next.t"))
 
@@ -81,7 +89,7 @@ def align(grid: DataFrame, data: DataFrame, values: Sequence[str], method: str |
         if method in ("bfill", "backfill"):
             return n
         if method == "nearest":
-            return F.when(F.col("next").isNull() | (back <= ahead), p).otherwise(n)
+            return F.when(F.col("next").isNull() | (F.col("prev").isNotNull() & (back <= ahead)), p).otherwise(n)
         if method == "linear":
             span = back + ahead
             return F.when(span == 0, p.cast("double")).otherwise(p + (n - p) * back / F.nullif(span, F.lit(0)))

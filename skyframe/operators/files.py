@@ -62,7 +62,9 @@ def parse_names(files: DataFrame, template: Template, name: str = "file_name", *
 
 
 def latest_versions(files: DataFrame, *keys: str) -> DataFrame:
-    """One file per time: the one with the highest version, then revision, then cycle, then name."""
+    """One file per time: the one with the highest version, then revision, then cycle, then name; all where none is parsed."""
+    if not {"version", "revision", "cycle"} & set(files.columns):
+        return files
     ranked = [F.desc(c) for c in ("version", "revision", "cycle") if c in files.columns]
     w = Window.partitionBy(*keys, "file_time").orderBy(*ranked, F.desc("file_name"))
     return files.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
@@ -113,6 +115,8 @@ def list_files(spark: SparkSession, path: str, template: Template) -> DataFrame:
 
 
 def position(files: DataFrame, file_name: Column | str) -> DataFrame:
-    """The place of a name in the catalog's order of time."""
-    w = Window.orderBy("file_time", "file_name")
-    return files.withColumn("position", F.row_number().over(w) - 1).where(F.col("file_name") == file_name)
+    """The place of a name in the catalog's order of time and name: how many come before it, counted where they are."""
+    asked = files.where(F.col("file_name") == file_name)
+    key = F.struct("file_time", "file_name")
+    before = files.select(key.alias("__f")).join(F.broadcast(asked.select(key.alias("__a")).limit(1)), F.col("__f") < F.col("__a"))
+    return asked.crossJoin(F.broadcast(before.agg(F.count("*").alias("position"))))

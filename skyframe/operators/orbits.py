@@ -75,6 +75,32 @@ def polar_orbits(df: DataFrame, latitude: str, *keys: str, time: str = "epoch",
     return marked.withColumn("orbit", 1 + F.sum("__break").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__break")
 
 
+def continuous_polar_orbits(df: DataFrame, latitude: str, *keys: str, time: str = "epoch", period: float = DEFAULT_PERIOD_S, ties: tuple[str, ...] = ()) -> DataFrame:
+    """As :func:`polar_orbits`, but an orbit goes on over midnight and numbers go on from day to day.
+
+    Each day takes the last row of the day before it that has rows, and the number of breaks before it: one row per key
+    and day. So no window holds more rows than a day has.
+    """
+    day, north = F.col(time).cast("date"), F.coalesce(known(F.col(latitude).cast("double")) >= 0, F.lit(False))
+    own = df.withColumns({"__day": day, "__row": F.struct(F.col(time).alias("t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(ties)], north.alias("north"))})
+    by_day = Window.partitionBy(*keys).orderBy("__day")
+    joined = lambda left, right: left.join(right, [*[left[k].eqNullSafe(right[f"__key{i}"]) for i, k in enumerate(keys)], left["__day"] == right["__d"]], "left").drop("__d", *[f"__key{i}" for i in range(len(keys))])
+    named = [F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)]
+    last = own.groupBy(*keys, "__day").agg(F.max("__row").alias("__last"))
+    carried = last.select(*named, F.col("__day").alias("__d"), F.lag("__last").over(by_day).alias("__before"))
+    w = Window.partitionBy(*keys, "__day").orderBy(time, *ties)
+    prior = F.coalesce(F.lag("__row").over(w), F.col("__before"))
+    marked = joined(own, carried).withColumn("__prior", prior)
+    crossed = F.coalesce(F.col("__row.north") != F.col("__prior.north"), F.lit(False))
+    gap = F.coalesce(_seconds(F.col(time), F.col("__prior.t")) / period > GAP_SHARE, F.lit(False))
+    marked = marked.withColumn("__break", (crossed | gap).cast("int"))
+    counts = marked.groupBy(*keys, "__day").agg(F.sum("__break").alias("__n"))
+    earlier = F.coalesce(F.sum("__n").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = joined(marked, counts.select(*named, F.col("__day").alias("__d"), earlier.alias("__earlier")))
+    orbit = 1 + F.col("__earlier") + F.sum("__break").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return numbered.withColumn("orbit", orbit).select(*df.columns, "orbit")
+
+
 def numbered_orbits(df: DataFrame, number: str, *keys: str) -> DataFrame:
     """Adds ``orbit``: the rank of a given orbit number in its partition."""
     return df.withColumn("orbit", F.dense_rank().over(Window.partitionBy(*keys).orderBy(number)))

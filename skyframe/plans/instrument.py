@@ -6,9 +6,11 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyframe.functions.time import resolution
 from skyframe.meta import Meta, default_fill
 from skyframe.operators import align, chunks
 
@@ -54,11 +56,21 @@ class Instrument:
     def cleared(self) -> Instrument:
         return replace(self, custom=())
 
-    def load(self, spark: SparkSession, start: str | None = None, stop: str | None = None, *, columns: Sequence[str] | None = None, keep_pad: bool = False) -> DataFrame:
+    def load(
+        self, spark: SparkSession, start: str | None = None, stop: str | None = None, *, columns: Sequence[str] | None = None, keep_pad: bool = False,
+        yr: int | None = None, doy: int | None = None, end_yr: int | None = None, end_doy: int | None = None,
+    ) -> DataFrame:
         """Rows with ``start <= epoch < stop`` (all without them), prepared, cleaned and changed.
 
-        With a pad the steps see rows that far beyond both ends; these go afterwards unless ``keep_pad``.
+        Instead of times, ``yr`` and ``doy`` select a day, and with ``end_yr`` and ``end_doy`` the days up to that one, which
+        is left out. Only one way to select may be used. With a pad the steps see rows that far beyond both ends; these go afterwards unless ``keep_pad``.
         """
+        if yr is not None or doy is not None:
+            if start is not None or stop is not None:
+                raise ValueError("select by times or by year and day, not by both")
+            start, stop = _days(yr, doy, end_yr, end_doy)
+        elif end_yr is not None or end_doy is not None:
+            raise ValueError("a last day needs a first one")
         if self.pad and (start is None or stop is None):
             raise ValueError("a pad needs a range")
         df = self.read(spark)
@@ -92,6 +104,49 @@ class Instrument:
         return chunks.with_chunks(replace(self, pad=None).load(spark, str(low), str(high)), bounds)
 
 
+def _days(yr: int | None, doy: int | None, end_yr: int | None, end_doy: int | None) -> tuple[str, str]:
+    if yr is None or doy is None or (end_yr is None) != (end_doy is None):
+        raise ValueError("a day is a year and a day of the year")
+
+    def day(y: int, d: int) -> pd.Timestamp:
+        at = pd.Timestamp(int(y), 1, 1) + pd.Timedelta(days=int(d) - 1)
+        if at.year != y:
+            raise ValueError(f"year {y} has no day {d}")
+        return at
+
+    first = day(yr, doy)
+    behind = first + pd.Timedelta(days=1) if end_yr is None else day(end_yr, end_doy)
+    if behind <= first:
+        raise ValueError("a range ends before it starts")
+    return str(first), str(behind)
+
+
+@dataclass(frozen=True)
+class Cursor:
+    """One chunk of an instrument's bounds, and the ones before and after it. At ``None`` no chunk is loaded yet."""
+
+    instrument: Instrument
+    bounds: chunks.Bounds
+    at: int | None = None
+
+    def next(self) -> Cursor:
+        return self._moved(0 if self.at is None else self.at + 1)
+
+    def prev(self) -> Cursor:
+        return self._moved(len(self.bounds.chunks()) - 1 if self.at is None else self.at - 1)
+
+    def _moved(self, at: int) -> Cursor:
+        if not 0 <= at < len(self.bounds.chunks()):
+            raise StopIteration("outside of the bounds")
+        return replace(self, at=at)
+
+    def load(self, spark: SparkSession, **options) -> DataFrame:
+        if self.at is None:
+            raise ValueError("move the cursor first")
+        _, start, end = self.bounds.chunks()[self.at]
+        return self.instrument.load(spark, str(start), str(end), **options)
+
+
 @dataclass(frozen=True)
 class Constellation:
     """Several instruments loaded and aligned together."""
@@ -116,16 +171,24 @@ class Constellation:
                 seen[c.lower()] = seen.get(c.lower(), 0) + 1
         return {(k, c): f"{c}_{k}" if seen[c.lower()] > 1 else c for k, df in loaded.items() for c in df.columns if c != "epoch"}
 
-    def to_frame(self, spark: SparkSession, start: str | None = None, stop: str | None = None, *, step: str, overlap: bool = True, method: str | None = None) -> DataFrame:
+    def to_frame(self, spark: SparkSession, start: str | None = None, stop: str | None = None, *, step: str | None = None, overlap: bool = True, method: str | None = None) -> DataFrame:
         """One row per time of a regular grid over the members' shared range, with all variables of all members.
 
         Texts and other values that cannot be interpolated take the nearest row where ``method`` is linear. Unmatched
-        rows get the fill value of the variable's metadata where ``method`` is None.
+        rows get the fill value of the variable's metadata where ``method`` is None. Without a ``step`` the grid is as coarse
+        as the member with the least resolution. Members without rows count for nothing; without any common time there
+        are no rows.
         """
         loaded = self.load(spark, start, stop)
         names = self.column_names(loaded)
         low, high = align.shared_range(list(loaded.values()), overlap=overlap)
-        grid = spark.range(1).select(F.explode(F.sequence(F.lit(low), F.lit(high), F.expr(f"interval {step}"))).alias("epoch"))
+        if step is None:
+            seconds = [r["resolution"] for df in loaded.values() for r in resolution(df, "epoch").collect()]
+            step = f"{max((round(s * 1e6) for s in seconds if s), default=86_400_000_000)} microseconds"
+        if low is None:
+            grid = spark.range(0).select(F.lit(None).cast("timestamp_ntz").alias("epoch"))
+        else:
+            grid = spark.range(1).select(F.explode(F.sequence(F.lit(low), F.lit(high), F.expr(f"interval {step}"))).alias("epoch"))
         out = grid
         for key, df in loaded.items():
             meta = Meta.of(df)

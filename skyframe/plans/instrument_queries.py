@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyframe.operators import chunks
-from skyframe.plans.instrument import Constellation, Instrument
+from skyframe.plans.instrument import Constellation, Cursor, Instrument
 from skyframe.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,30 @@ def constellation_frame(spark, d):
     return Constellation(members).to_frame(spark, step="1 hour", method="ffill")
 
 
+@query("SELECT event_id FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-09'")
+def instrument_load_by_day_of_year(spark, d):
+    return _event_instrument(d, "click").load(spark, yr=2024, doy=5, end_yr=2024, end_doy=9, columns=["event_id"])
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-04' AND ts < TIMESTAMP '2024-01-06'")
+def instrument_next_and_previous(spark, d):
+    cursor = Cursor(_event_instrument(d, "click"), chunks.Bounds.of("2024-01-01", "2024-01-26", "3D", "2D"))
+    return cursor.next().next().next().prev().load(spark, columns=["event_id"])
+
+
+@query("""
+WITH a AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS epoch, max(value) AS value FROM events WHERE event_type = 'click' GROUP BY 1),
+g AS (SELECT unnest(generate_series((SELECT min(epoch) FROM a), (SELECT max(epoch) FROM a), INTERVAL 2 HOUR)) AS epoch)
+SELECT g.epoch, x.value AS value_events_click, CAST(NULL AS DOUBLE) AS value_events_nothing FROM g ASOF LEFT JOIN a x ON g.epoch >= x.epoch""")
+def constellation_with_an_empty_member(spark, d):
+    def hourly(df: DataFrame) -> DataFrame:
+        hour = F.timestamp_add("HOUR", F.hour("epoch"), F.col("epoch").cast("date").cast("timestamp_ntz"))
+        return df.groupBy(hour.alias("epoch")).agg(F.max("value").alias("value"))
+
+    members = tuple(_event_instrument(d, kind, preprocess=hourly) for kind in ("click", "nothing"))
+    return Constellation(members).to_frame(spark, step="2 hours", method="ffill")
+
+
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     return spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
@@ -92,3 +116,22 @@ def streamed_daily_means(spark, d):
     s = _stream(spark, d).withColumnRenamed("ts", "epoch")
     done = windows.run_once(windows.chunk_means(s, "value", "event_type"), f"means_{uuid.uuid4().hex[:8]}", "complete")
     return done.select("start", "event_type", F.round("mean", 6).alias("mean"), "n")
+
+
+@query("""
+SELECT TIMESTAMP '2024-01-01' + to_days(CAST(7 * (date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 7) AS INTEGER)) AS start, round(avg(value), 6) AS mean, count(value) AS n
+FROM events GROUP BY 1""")
+def streamed_weekly_means(spark, d):
+    s = _stream(spark, d).withColumnRenamed("ts", "epoch")
+    done = windows.run_once(windows.chunk_means(s, "value", width="7 days", start="2024-01-01"), f"weeks_{uuid.uuid4().hex[:8]}", "complete")
+    return done.select("start", F.round("mean", 6).alias("mean"), "n")
+
+
+@query("""
+WITH b AS (SELECT user_id, ts, CAST(coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) >= 43200000000, false) AS INT) AS brk FROM events),
+s AS (SELECT user_id, ts, sum(brk) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM b)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, session""")
+def streamed_sessions(spark, d):
+    s = _stream(spark, d).withColumnRenamed("ts", "epoch")
+    done = windows.run_once(windows.gap_session_counts(s, "12 hours", "user_id"), f"sessions_{uuid.uuid4().hex[:8]}", "complete")
+    return done.select("user_id", "start", "n")

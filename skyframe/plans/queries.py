@@ -133,9 +133,9 @@ def every_tenth(spark, d):
     return rows.every(events(spark, d), 10, "user_id", order=["epoch", "event_id"]).select("event_id", "user_id")
 
 
-@query("SELECT l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem WHERE l_orderkey % 7 = 0")
+@query("SELECT l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem")
 def column_range(spark, d):
-    return rows.column_range(table(spark, d, "lineitem").where("l_orderkey % 7 = 0"), "l_quantity", "l_tax")
+    return rows.column_range(table(spark, d, "lineitem"), "l_quantity", "l_tax")
 
 
 @query("SELECT event_id, CASE WHEN value > 400 THEN -1 ELSE value END AS value, user_id AS usr FROM events")
@@ -353,11 +353,113 @@ def new_files(spark, d):
 
 
 @query("""
-WITH e AS (SELECT min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS b FROM events WHERE value > 480),
+WITH e AS (SELECT min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS b FROM events WHERE user_id = 0),
 d AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM e)
-SELECT day FROM d WHERE day NOT IN (SELECT CAST(ts AS DATE) FROM events WHERE value > 480)""")
+SELECT day FROM d WHERE day NOT IN (SELECT CAST(ts AS DATE) FROM events WHERE user_id = 0)""")
 def missing_days(spark, d):
-    return files.missing_days(events(spark, d).where("value > 480"), "epoch")
+    return files.missing_days(events(spark, d).where("user_id = 0"), "epoch")
+
+
+@query(f"""
+WITH f AS (SELECT DISTINCT {NAMES} AS file_name, date_trunc('day', o_orderdate)::TIMESTAMP AS file_time FROM orders),
+one AS (SELECT max(file_name) AS file_name FROM f WHERE file_name < 'obs_1995')
+SELECT f.file_name, f.file_time, (SELECT count(*) FROM f g WHERE (g.file_time, g.file_name) < (f.file_time, f.file_name)) AS position FROM f JOIN one USING (file_name)""")
+def file_position(spark, d):
+    catalog = files.parse_names(_names(spark, d).distinct(), OBS).select("file_name", "file_time")
+    return files.position(catalog, catalog.where("file_name < 'obs_1995'").agg(F.max("file_name")).first()[0])
+
+
+@query(f"""
+WITH f AS (SELECT DISTINCT {NAMES} AS file_name, date_trunc('day', o_orderdate)::TIMESTAMP AS file_time FROM orders)
+SELECT min(file_name) AS file_name, file_time FROM f WHERE file_time >= TIMESTAMP '1995-01-01' AND file_time < TIMESTAMP '1996-01-01' GROUP BY 2""")
+def files_of_a_year(spark, d):
+    catalog = files.parse_names(_names(spark, d).distinct(), OBS)
+    return files.in_range(files.first_of_each_time(catalog), "1995-01-01", "1996-01-01")
+
+
+@query(f"""
+WITH f AS (SELECT DISTINCT {NAMES} AS file_name, date_trunc('month', o_orderdate)::TIMESTAMP AS file_time FROM orders), m AS (SELECT min(file_name) AS file_name, file_time FROM f GROUP BY 2)
+SELECT file_name || '_' || strftime(day, '%Y-%m-%d') AS file_name, day AS file_time
+FROM (SELECT file_name, unnest(generate_series(file_time, file_time + INTERVAL 1 MONTH - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS day FROM m)""")
+def monthly_files_by_day(spark, d):
+    catalog = files.parse_names(_names(spark, d).distinct(), OBS).withColumn("file_time", F.date_trunc("month", "file_time").cast("timestamp_ntz"))
+    return files.daily(files.first_of_each_time(catalog), "1 month").select("file_name", "file_time")
+
+
+# --- orbits over midnight, steps with a limit ------------------------------------------------------------------------
+
+
+@query(f"""
+WITH b AS (
+  SELECT event_id, user_id, ts,
+         CAST(coalesce((value - 245 >= 0) <> lag(value - 245 >= 0) OVER w, false)
+              OR coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 / {PERIOD_S} > 0.95, false) AS INT) AS brk
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+)
+SELECT event_id, CAST(1 + sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS orbit FROM b""")
+def continuous_polar_orbits(spark, d):
+    e = events(spark, d).select("event_id", "user_id", "epoch", (F.col("value") - 245).alias("latitude"))
+    return orbits.continuous_polar_orbits(e, "latitude", "user_id", period=PERIOD_S, ties=("event_id",)).select("event_id", "orbit")
+
+
+@query(f"""
+WITH b AS (
+  SELECT event_id, user_id, ts,
+         CAST(coalesce((value - 245 >= 0) <> lag(value - 245 >= 0) OVER w, false)
+              OR coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 / {PERIOD_S} > 0.95, false) AS INT) AS brk
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+), o AS (SELECT *, 1 + sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS orbit FROM b)
+SELECT user_id, CAST(orbit AS BIGINT) AS orbit, min(ts) AS first_time, max(ts) AS last_time, count(*) AS n FROM o GROUP BY 1, 2 HAVING CAST(min(ts) AS DATE) < CAST(max(ts) AS DATE)""")
+def orbits_over_midnight(spark, d):
+    e = events(spark, d).select("event_id", "user_id", "epoch", (F.col("value") - 245).alias("latitude"))
+    found = orbits.continuous_polar_orbits(e, "latitude", "user_id", period=PERIOD_S, ties=("event_id",))
+    spans = found.groupBy("user_id", "orbit").agg(F.min("epoch").alias("first_time"), F.max("epoch").alias("last_time"), F.count("*").alias("n"))
+    return spans.where(F.col("first_time").cast("date") < F.col("last_time").cast("date"))
+
+
+@query(f"""
+WITH b AS (
+  SELECT event_id, user_id, ts, CAST(ts AS DATE) AS day,
+         CAST(coalesce((value - 245 >= 0) <> lag(value - 245 >= 0) OVER w, false)
+              OR coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 / {PERIOD_S} > 0.95, false) AS INT) AS brk
+  FROM events WINDOW w AS (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id)
+), o AS (SELECT *, 1 + sum(brk) OVER (PARTITION BY user_id, day ORDER BY ts, event_id) AS orbit FROM b),
+l AS (SELECT *, max(orbit) OVER (PARTITION BY user_id, day) AS last FROM o)
+SELECT event_id FROM l WHERE orbit = last""")
+def last_orbit_of_each_day(spark, d):
+    e = events(spark, d).select("event_id", "user_id", "epoch", F.col("epoch").cast("date").alias("day"), (F.col("value") - 245).alias("latitude"))
+    found = orbits.polar_orbits(e, "latitude", "user_id", "day", period=PERIOD_S, ties=("event_id",))
+    return orbits.one_orbit(found, -1, "user_id", "day").select("event_id")
+
+
+@query("""
+WITH g AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-12', INTERVAL 30 MINUTE)) AS epoch),
+v AS (SELECT ts, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY 1)
+SELECT g.epoch, CASE WHEN g.epoch - v.ts <= INTERVAL 20 MINUTE THEN value END AS value FROM g ASOF LEFT JOIN v ON g.epoch >= v.ts""")
+def aligned_forward_limited(spark, d):
+    grid = spark.range(1).select(F.explode(times.date_range("2024-01-05", "2024-01-12", "30 minutes")).alias("epoch"))
+    return align.align(grid, events(spark, d).where("event_type = 'view'"), ["value"], "ffill", limit="20 minutes")
+
+
+# --- times -----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, epoch_us(ts) // 1000 AS ms, make_timestamp(epoch_us(ts) // 1000 * 1000) AS again FROM events")
+def encoded_times(spark, d):
+    ms = times.epoch_encode(F.col("epoch"))
+    return events(spark, d).select("event_id", ms.alias("ms"), times.epoch_decode(ms, "ms").alias("again"))
+
+
+@query("SELECT event_id, CAST(epoch_us(ts) - epoch_us(date_trunc('day', ts)) AS DOUBLE) / 1e6 AS seconds FROM events")
+def seconds_of_day(spark, d):
+    return events(spark, d).select("event_id", times.seconds_of_day(F.col("epoch")).alias("seconds"))
+
+
+@query("SELECT event_id, date_trunc('day', ts)::TIMESTAMP AS day, ts AS epoch FROM events")
+def time_from_day_of_year(spark, d):
+    day = times.year_and_doy(F.col("epoch"))
+    at = lambda uts=None: times.from_parts(day["year"], day["doy"], uts=uts)
+    return events(spark, d).select("event_id", at().alias("day"), at(times.seconds_of_day(F.col("epoch"))).alias("epoch"))
 
 
 # --- nested variables and synthetic sources --------------------------------------------------------------------------

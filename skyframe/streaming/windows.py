@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,10 +19,15 @@ def _span(column: str) -> list:
     return [F.col(f"{column}.{k}").cast("timestamp_ntz").alias(k) for k in ("start", "end")]
 
 
-def chunk_means(stream: DataFrame, value: str, *keys: str, width: str = "1 day", step: str | None = None, time: str = "epoch", late: str = "1 hour") -> DataFrame:
-    """Mean and count of ``value`` per chunk of time; chunks close when ``late`` has passed behind their end."""
+def chunk_means(stream: DataFrame, value: str, *keys: str, width: str = "1 day", step: str | None = None, time: str = "epoch", late: str = "1 hour", start: str | None = None) -> DataFrame:
+    """Mean and count of ``value`` per chunk of time; chunks close when ``late`` has passed behind their end.
+
+    Chunks are counted from ``start``, as those of bounds are; without it from 1970.
+    """
     known = F.when(~F.isnan(value), F.col(value))
-    window = F.window(time, width, step) if step else F.window(time, width)
+    every = step or width
+    offset = pd.Timestamp(start or 0) - pd.Timestamp(0)
+    window = F.window(time, width, every, f"{(offset % pd.Timedelta(every)) // pd.Timedelta(microseconds=1)} microseconds")
     grouped = _timed(stream, time, late).groupBy(window.alias("chunk"), *keys)
     return grouped.agg(F.avg(known).alias("mean"), F.count(known).alias("n")).select(*_span("chunk"), *keys, "mean", "n")
 
@@ -44,7 +52,20 @@ def newest_only(batch: DataFrame, current: DataFrame | None = None) -> DataFrame
 
 
 def run_once(result: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what its source has now, into a table in memory: for tests and small results."""
-    q = result.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs a stream over what its source has now into Parquet files, in the folder that ``spark.checkpoint.dir`` names.
+
+    A complete result is written anew with each batch. Where the setting is unset and Spark is local, a temporary folder serves.
+    """
+    spark = result.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    at = f"{at or tempfile.mkdtemp(prefix='skyframe-stream-')}/{name}"
+
+    def written(batch: DataFrame, number: int) -> None:
+        # a batch that is run again writes the same folder
+        batch.write.mode("overwrite").parquet(f"{at}/out" if mode == "complete" else f"{at}/out/batch={number}")
+
+    q = result.writeStream.foreachBatch(written).option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return result.sparkSession.table(name)
+    return spark.read.schema(result.schema).parquet(f"{at}/out")
