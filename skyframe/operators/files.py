@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -120,3 +121,45 @@ def position(files: DataFrame, file_name: Column | str) -> DataFrame:
     key = F.struct("file_time", "file_name")
     before = files.select(key.alias("__f")).join(F.broadcast(asked.select(key.alias("__a")).limit(1)), F.col("__f") < F.col("__a"))
     return asked.crossJoin(F.broadcast(before.agg(F.count("*").alias("position"))))
+
+
+def between_names(files: DataFrame, spans: Sequence[tuple[str, str]]) -> DataFrame:
+    """Files from one name to another, both included, in the catalog's order of time and name, for each of ``spans``.
+
+    ``span`` (from 0) tells which one a file is of; a file in several spans comes once for each. A span with a name that
+    the catalog lacks, or with its ends turned round, is empty. Only the spans are broadcast.
+    """
+    asked = files.sparkSession.createDataFrame([(i, *s) for i, s in enumerate(spans)], "span int, __first string, __last string")
+    key = F.struct("file_time", "file_name")
+    ends = files.select(F.col("file_name").alias("__name"), key.alias("__key"))
+    low = ends.join(F.broadcast(asked), F.col("__name") == F.col("__first")).groupBy("span").agg(F.min("__key").alias("__low"))
+    high = ends.join(F.broadcast(asked), F.col("__name") == F.col("__last")).groupBy("span").agg(F.max("__key").alias("__high"))
+    found = files.join(F.broadcast(low.join(high, "span")), (key >= F.col("__low")) & (key <= F.col("__high")))
+    return found.select(*files.columns, "span")
+
+
+def store_snapshot(files: DataFrame, path: str) -> int:
+    """Writes the catalog as the next snapshot under ``path``, beside all earlier ones; gives its number, from 1 on."""
+    number = 1 + _last_snapshot(files.sparkSession, path)
+    files.write.mode("overwrite").parquet(f"{path}/snapshot_id={number}")
+    return number
+
+
+def load_snapshot(spark: SparkSession, path: str, back: int = 0) -> DataFrame:
+    """The latest snapshot under ``path``, or the one ``back`` before it; a LookupError where there is none."""
+    number = _last_snapshot(spark, path) - back
+    if number < 1:
+        raise LookupError(f"no such snapshot under {path}")
+    return spark.read.parquet(f"{path}/snapshot_id={number}")
+
+
+def _last_snapshot(spark: SparkSession, path: str) -> int:
+    jvm = spark.sparkContext._jvm
+    found = jvm.org.apache.hadoop.fs.Path(f"{path}/snapshot_id=*/_SUCCESS")
+    stored = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(found) or []
+    return max((int(f.getPath().getParent().getName().partition("=")[2]) for f in stored), default=0)
+
+
+def first_and_last(files: DataFrame) -> DataFrame:
+    """One row: the times of the first and last file and how many there are; null times in an empty catalog."""
+    return files.agg(F.min("file_time").alias("first_time"), F.max("file_time").alias("last_time"), F.count("*").alias("n"))

@@ -5,6 +5,8 @@ Breaks are found inside partitions of ``keys`` (instrument and day, as a rule),
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -122,3 +124,29 @@ def one_orbit(df: DataFrame, number: int, *keys: str) -> DataFrame:
         return df.where(F.col("orbit") == number)
     last = F.max("orbit").over(Window.partitionBy(*keys))
     return df.withColumn("__last", last).where(F.col("orbit") == F.col("__last") + 1 + number).drop("__last")
+
+
+@dataclass(frozen=True)
+class OrbitCursor:
+    """A place among the orbits of a record whose ``orbit`` goes on over days, as of :func:`continuous_polar_orbits`.
+
+    Steps move no data: an orbit over midnight is already one. ``current`` counts from 0 and is None before the first step.
+    Beyond the last orbit there are no rows; before the first one there is nothing to step to.
+    """
+
+    data: DataFrame
+    current: int | None = None
+
+    def next(self) -> OrbitCursor:
+        return replace(self, current=0 if self.current is None else self.current + 1)
+
+    def prev(self) -> OrbitCursor:
+        if not self.current:
+            raise StopIteration("no orbit before the first")
+        return replace(self, current=self.current - 1)
+
+    def rows(self) -> DataFrame:
+        """The rows of the current orbit of every key."""
+        if self.current is None:
+            raise ValueError("step to an orbit first")
+        return self.data.where(F.col("orbit") == self.current + 1)

@@ -135,3 +135,13 @@ def streamed_sessions(spark, d):
     s = _stream(spark, d).withColumnRenamed("ts", "epoch")
     done = windows.run_once(windows.gap_session_counts(s, "12 hours", "user_id"), f"sessions_{uuid.uuid4().hex[:8]}", "complete")
     return done.select("user_id", "start", "n")
+
+
+@query("""
+SELECT CAST(date_diff('day', DATE '2024-01-02', CAST(ts AS DATE)) - CASE WHEN ts < TIMESTAMP '2024-01-10' THEN 0 ELSE 8 END AS INTEGER) AS chunk_id, event_type, round(avg(value), 6) AS mean, count(value) AS n FROM events
+WHERE (ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-07') OR (ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-21') GROUP BY 1, 2""")
+def streamed_seasons(spark, d):
+    s = chunks.with_chunks(_stream(spark, d).withColumnRenamed("ts", "epoch"), chunks.Bounds.of(["2024-01-02", "2024-01-15"], ["2024-01-06", "2024-01-20"]))
+    means = s.groupBy("chunk_id", "event_type").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
+    done = windows.run_once(means, f"seasons_{uuid.uuid4().hex[:8]}", "complete")
+    return done.select("chunk_id", "event_type", F.round("mean", 6).alias("mean"), "n")

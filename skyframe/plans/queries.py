@@ -244,6 +244,20 @@ def cyclic_orbits(spark, d):
     return out.select("event_id", "user_id", "day", "orbit")
 
 
+@query(f"""
+WITH b AS (
+  SELECT event_id, user_id, ts,
+         CAST(coalesce((value - 245 >= 0) <> lag(value - 245 >= 0) OVER w, false)
+              OR coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 / {PERIOD_S} > 0.95, false) AS INT) AS brk
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+), o AS (SELECT *, 1 + sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS orbit FROM b)
+SELECT event_id, user_id FROM o WHERE orbit = 2""")
+def orbit_next_and_previous(spark, d):
+    e = events(spark, d).select("event_id", "user_id", "epoch", (F.col("value") - 245).alias("latitude"))
+    found = orbits.continuous_polar_orbits(e, "latitude", "user_id", period=PERIOD_S, ties=("event_id",))
+    return orbits.OrbitCursor(found).next().next().next().prev().rows().select("event_id", "user_id")
+
+
 @query(f"""
 WITH b AS (
   SELECT event_id, user_id, ts, CAST(ts AS DATE) AS day,
@@ -369,6 +383,23 @@ def file_position(spark, d):
     return files.position(catalog, catalog.where("file_name < 'obs_1995'").agg(F.max("file_name")).first()[0])
 
 
+@query(f"""
+WITH f AS (SELECT DISTINCT {NAMES} AS file_name, date_trunc('day', o_orderdate)::TIMESTAMP AS file_time FROM orders),
+s AS (SELECT 0 AS span, min(file_name) FILTER (file_name >= 'obs_1995') AS a, min(file_name) FILTER (file_name >= 'obs_1996') AS b FROM f
+      UNION ALL SELECT 1, min(file_name) FILTER (file_name >= 'obs_199507'), min(file_name) FILTER (file_name >= 'obs_1997') FROM f)
+SELECT file_name, CAST(span AS INTEGER) AS span FROM f JOIN s ON file_name BETWEEN a AND b""")
+def files_between_names(spark, d):
+    catalog = files.parse_names(_names(spark, d).distinct(), OBS).select("file_name", "file_time")
+    starts = ("obs_1995", "obs_1996", "obs_199507", "obs_1997")
+    a, b, x, y = catalog.agg(*[F.min(F.when(F.col("file_name") >= n, F.col("file_name"))) for n in starts]).first()
+    return files.between_names(catalog, [(a, b), (x, y)]).select("file_name", "span")
+
+
+@query("SELECT min(date_trunc('day', o_orderdate))::TIMESTAMP AS first_time, max(date_trunc('day', o_orderdate))::TIMESTAMP AS last_time, count(DISTINCT o_orderdate) AS n FROM orders")
+def first_and_last_file(spark, d):
+    return files.first_and_last(files.first_of_each_time(files.parse_names(_names(spark, d).distinct(), OBS)))
+
+
 @query(f"""
 WITH f AS (SELECT DISTINCT {NAMES} AS file_name, date_trunc('day', o_orderdate)::TIMESTAMP AS file_time FROM orders)
 SELECT min(file_name) AS file_name, file_time FROM f WHERE file_time >= TIMESTAMP '1995-01-01' AND file_time < TIMESTAMP '1996-01-01' GROUP BY 2""")

@@ -74,3 +74,48 @@ def test_files_without_versions_stay(spark):
 
 def test_densities():
     assert coords.unit_factor("m-3", "cm-3") == pytest.approx(1e6) and coords.unit_factor("km-3", "m-3") == pytest.approx(1e9)
+
+
+CATALOG = "file_name string, file_time timestamp_ntz"
+
+
+def catalog(spark, *days):
+    return spark.createDataFrame([(f"f_{d}", None) for d in days], CATALOG).withColumn("file_time", F.substring("file_name", 3, 10).cast("timestamp_ntz"))
+
+
+def test_files_between_names(spark):
+    held = catalog(spark, "2024-01-03", "2024-01-01", "2024-01-02", "2024-01-04")
+    spans = [("f_2024-01-01", "f_2024-01-02"), ("f_2024-01-02", "f_2024-01-04"), ("f_2024-01-04", "f_2024-01-01"), ("f_2024-01-01", "none")]
+    found = sorted((r["span"], r["file_name"][-2:]) for r in files.between_names(held, spans).collect())
+    assert found == [(0, "01"), (0, "02"), (1, "02"), (1, "03"), (1, "04")]
+    assert files.between_names(held.limit(0), spans).isEmpty()
+
+
+def test_snapshots(spark, tmp_path):
+    at = str(tmp_path / "catalog")
+    with pytest.raises(LookupError):
+        files.load_snapshot(spark, at)
+    assert files.store_snapshot(catalog(spark, "2024-01-01"), at) == 1
+    assert files.store_snapshot(catalog(spark, "2024-01-01", "2024-01-02"), at) == 2
+    latest, before = files.load_snapshot(spark, at), files.load_snapshot(spark, at, 1)
+    assert latest.columns == ["file_name", "file_time"]
+    assert [r["file_name"] for r in files.new_files(latest, before).collect()] == ["f_2024-01-02"]
+    with pytest.raises(LookupError):
+        files.load_snapshot(spark, at, 2)
+
+
+def test_ends_of_an_empty_catalog(spark):
+    assert tuple(files.first_and_last(catalog(spark, "2024-01-01").limit(0)).first()) == (None, None, 0)
+
+
+def test_orbit_cursor(spark):
+    at = orbits.OrbitCursor(spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "i int, orbit long"))
+    with pytest.raises(ValueError):
+        at.rows()
+    for step in (at, at.next()):
+        with pytest.raises(StopIteration):
+            step.prev()
+    assert at.current is None and at.next().current == 0
+    assert [r["i"] for r in at.next().next().rows().collect()] == [3]
+    assert at.next().next().next().rows().isEmpty()
+    assert at.next().next().prev().rows().count() == 2
