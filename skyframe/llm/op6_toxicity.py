@@ -367,6 +367,8 @@ def _measured(rows: DataFrame, model: ToxicityModel, text: str, kind) -> DataFra
 
     def elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            names = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(1, 4)])
+            batch = batch.take(pa.array(np.sort(np.unique(names, axis=0, return_index=True)[1])))  # copies beside each other
             a, b, kind = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(1, 4))
             for i, j, data, offsets in text_chunks(batch.column(0)):
                 _, _, row, name = words(data, offsets, ALNUM_SEPARATOR)
@@ -374,9 +376,11 @@ def _measured(rows: DataFrame, model: ToxicityModel, text: str, kind) -> DataFra
                 yield record_batch(__a=a[i:j][row], __b=b[i:j][row], __kind=kind[i:j][row], key=key, n=n)
 
     asked = named.where("__text is not null").select("__text", "__a", "__b", "__kind").mapInArrow(elsewhere, "__a long, __b long, __kind int, key long, n long")
-    asked = asked.groupBy("__a", "__b", "__kind", "key").agg(F.max("n").alias("n"))
     of_kind = lambda c: F.element_at(F.array(*[F.col(f"{c}{i}") for i in range(3)]), F.col("__kind") + 1)
-    there = asked.join(model.rest, "key").groupBy("__a", "__b", "__kind").agg(F.sum(F.col("n") * of_kind("d")).alias("__total"), F.max(of_kind("s")).alias("__strong"))
+    there = asked.join(model.rest, "key").select("key", "__a", "__b", "__kind", (F.col("n") * of_kind("d")).alias("d"), of_kind("s").alias("s"))
+    # what copies ask for is counted once; rows stay where the join by key has put them
+    there = there.groupBy("key", "__a", "__b", "__kind").agg(F.max("d").alias("d"), F.max("s").alias("s"))
+    there = there.groupBy("__a", "__b", "__kind").agg(F.sum("d").alias("__total"), F.max("s").alias("__strong"))
     both = named.withColumn("__here", here("__text", "__kind")).drop("__text").join(there, ["__a", "__b", "__kind"], "left")
     strong = F.greatest(F.col("__here")[0], F.coalesce("__strong", F.lit(0.0)))
     mean = F.col("__here")[1] + F.coalesce("__total", F.lit(0.0)) / F.greatest(F.col("__here")[2], F.lit(1.0))
