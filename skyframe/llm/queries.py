@@ -16,6 +16,7 @@ from skyframe.llm.op7_packing import op7_packing
 from skyframe.llm.op8_top_k import OP8_SQL, op8_top_k
 from skyframe.llm.op9_language_id import op9_language_id
 from skyframe.llm.op10_url_filter import OP10_SQL, op10_url_filter
+from skyframe.llm.op11_conversation_trie import OP11_SQL, op11_conversation_trie
 from skyframe.llm.op12_filter_audit import OP12_SQL, op12_filter_audit
 from skyframe.llm.op13_sharding import OP13_SQL, op13_sharding
 
@@ -34,10 +35,11 @@ def queries() -> dict[str, Query]:
         "op8_top_k": op8_top_k,
         "op9_language_id": op9_language_id,
         "op10_url_filter": op10_url_filter,
+        "op11_conversation_trie": op11_conversation_trie,
         "op12_filter_audit": op12_filter_audit,
         "op13_sharding": op13_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": OP1_SQL, "op8_top_k": OP8_SQL, "op10_url_filter": OP10_SQL, "op12_filter_audit": OP12_SQL, "op13_sharding": OP13_SQL}
+    return {"op1_jaccard_join": OP1_SQL, "op8_top_k": OP8_SQL, "op10_url_filter": OP10_SQL, "op11_conversation_trie": OP11_SQL, "op12_filter_audit": OP12_SQL, "op13_sharding": OP13_SQL}
