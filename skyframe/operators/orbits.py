@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skyframe.operators import blocks
 from skyframe.session import known
 
 # Fixed values of the break rules.
@@ -67,6 +68,56 @@ def cyclic_orbits(df: DataFrame, variable: str, span: float, *keys: str, time: s
     return joined.withColumn("orbit", 1 + F.count("__b").over(running)).drop("__i", "__b")
 
 
+def continuous_cyclic_orbits(
+    df: DataFrame, variable: str, span: float, *keys: str, time: str = "epoch", period: float = DEFAULT_PERIOD_S, ties: tuple[str, ...] = (), rows_per_block: int = 100_000
+) -> DataFrame:
+    """As :func:`cyclic_orbits`, but rows next to midnight see each other, an orbit goes on over it and numbers go on from day to day.
+
+    The result is that of one scan of each key's record. The typical step stays that of a day: the median of the steps inside it,
+    or of the last day before that has any; before the first such day no fall is known. The record is dealt into blocks with a halo as
+    wide as the rules look; each block hands its last break and its number of orbits on, in one row per key and block.
+    """
+    order = [time, *ties]
+    daily = Window.partitionBy(blocks.KEY, blocks.DAY).orderBy(*order)
+    rows = blocks.keyed(df, keys, time).withColumn("__v", known(F.col(variable).cast("double")))
+    days = rows.withColumn("__dv", F.col("__v") - F.lag("__v").over(daily)).groupBy(blocks.KEY, blocks.DAY).agg(F.count(F.lit(1)).alias("n"), F.median("__dv").alias("__m"))
+    days = days.withColumn("__m", F.last("__m", ignorenulls=True).over(Window.partitionBy(blocks.KEY).orderBy(blocks.DAY).rowsBetween(Window.unboundedPreceding, 0)))
+    # a step reaches one row back, so what lies NEAR_ROWS away needs one row more
+    held = blocks.with_halo(blocks.numbered(rows, order, days), rows_per_block, NEAR_ROWS + 1)
+    w = Window.partitionBy(blocks.KEY, blocks.BLOCK).orderBy(blocks.RANK)
+    no, norm = F.lit(False), F.col("__dt") / period
+    held = held.withColumns({"__dv": F.col("__v") - F.lag("__v").over(w), "__dt": _seconds(F.col(time), F.lag(time).over(w))})
+    held = held.withColumns(
+        {
+            "__big": F.coalesce(F.col("__dv") > LARGE_STEP * F.col("__m"), no),
+            "__fits": F.coalesce(F.col("__dt") * span < F.col("__dv") * period, no),
+            "__fall": F.coalesce(F.col("__dv") < -BREAK_SHARE * F.col("__m"), no),
+            "__gap": F.coalesce(norm > 1, no) | F.coalesce((norm > F.abs("__dv") / span) & (norm > GAP_SHARE), no),
+        }
+    )
+    near = w.rowsBetween(-NEAR_ROWS, NEAR_ROWS)
+    held = held.withColumns({"__any": F.max("__big").over(near), "__ok": F.max(F.col("__big") & ~F.col("__fits")).over(near), "__alone": ~F.coalesce(F.lead("__fall").over(w), F.lit(True))})
+    confirmed = F.col("__fall") & F.col("__alone") & ((F.col(blocks.RANK) < NEAR_ROWS) | ~F.col("__any") | F.col("__ok"))
+    broken = held.where(blocks.OWN).withColumn("__break", F.when(F.col("__gap") | confirmed, F.struct(F.col(time).alias("t"), F.col("__v").alias("v"))))
+    broken = broken.withColumn("__prior", F.last("__break", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+
+    def far(later: Column, earlier: Column) -> Column:
+        """The first break of all stands; one less than an orbit behind the break before it is none."""
+        return later.isNotNull() & (earlier.isNull() | F.coalesce(_seconds(later["t"], earlier["t"]) / period - (later["v"] - earlier["v"]) / span > ORBIT_SHARE, no))
+
+    at = F.when(F.col("__break").isNotNull(), F.col(blocks.RANK))
+    ends = broken.groupBy(blocks.KEY, blocks.BLOCK).agg(
+        F.min_by("__break", at).alias("first"), F.max_by("__break", at).alias("last"), F.count_if(F.col("__prior").isNotNull() & far(F.col("__break"), F.col("__prior"))).alias("more")
+    )
+    along = Window.partitionBy(blocks.KEY).orderBy(blocks.BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("__carried", F.last("last", ignorenulls=True).over(along))
+    ends = ends.withColumn("__starts", F.col("more") + far(F.col("first"), F.col("__carried")).cast("long")).withColumn("__earlier", F.coalesce(F.sum("__starts").over(along), F.lit(0)))
+    told = broken.join(ends.select(blocks.KEY, blocks.BLOCK, "__carried", "__earlier"), [blocks.KEY, blocks.BLOCK])
+    start = far(F.col("__break"), F.coalesce("__prior", "__carried")).cast("long")
+    running = F.sum("__start").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return told.withColumn("__start", start).withColumn("orbit", 1 + F.col("__earlier") + running).select(*df.columns, "orbit")
+
+
 def polar_orbits(df: DataFrame, latitude: str, *keys: str, time: str = "epoch", period: float = DEFAULT_PERIOD_S, ties: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``orbit``: a new one at each change of the latitude's sign and after gaps of 0.95 periods; missing counts as south."""
     w = Window.partitionBy(*keys).orderBy(time, *ties)

@@ -448,6 +448,49 @@ def orbits_over_midnight(spark, d):
     return spans.where(F.col("first_time").cast("date") < F.col("last_time").cast("date"))
 
 
+#: One scan of each user's record by the rules of cyclic orbits; the typical step is that of the day.
+CYCLIC_SCAN = f"""
+WITH s AS (
+  SELECT event_id, user_id, ts, value, CAST(ts AS DATE) AS day, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n,
+         value - lag(value) OVER w AS dv, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS dt,
+         value - lag(value) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS inside
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+), d AS (
+  SELECT user_id, day, last_value(m IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY day) AS m FROM (SELECT user_id, day, median(inside) AS m FROM s GROUP BY 1, 2)
+), f AS (
+  SELECT s.*, coalesce(dv > 10 * m, false) AS big, coalesce(dt * {SPAN} < dv * {PERIOD_S}, false) AS fits, coalesce(dv < -0.2 * m, false) AS fall,
+         coalesce(dt > {PERIOD_S}, false) OR coalesce(dt / {PERIOD_S} > abs(dv) / {SPAN} AND dt / {PERIOD_S} > 0.95, false) AS gap FROM s JOIN d USING (user_id, day)
+), k AS (
+  SELECT *, max(CAST(big AS INT)) OVER x AS anybig, max(CAST(big AND NOT fits AS INT)) OVER x AS anyok FROM f
+  WINDOW x AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)
+), c AS (
+  SELECT *, coalesce(lead(i) OVER (PARTITION BY user_id, fall ORDER BY i), n) AS nx FROM k WHERE fall OR gap
+), b AS (
+  SELECT * FROM c WHERE gap OR (fall AND nx - i > 1 AND (i < 5 OR anybig = 0 OR anyok = 1))
+), q AS (
+  SELECT user_id, i, row_number() OVER w AS r, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 / {PERIOD_S} - (value - lag(value) OVER w) / {SPAN} AS far
+  FROM b WINDOW w AS (PARTITION BY user_id ORDER BY i)
+), z AS (SELECT user_id, i FROM q WHERE r = 1 OR far > 0.97),
+o AS (SELECT s.event_id, s.user_id, s.ts, 1 + count(z.i) OVER (PARTITION BY s.user_id ORDER BY s.i) AS orbit FROM s LEFT JOIN z ON s.user_id = z.user_id AND s.i = z.i)
+"""
+
+
+def _cyclic(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d).select("event_id", "user_id", "epoch", "value")
+    return orbits.continuous_cyclic_orbits(e, "value", SPAN, "user_id", period=PERIOD_S, ties=("event_id",))
+
+
+@query(CYCLIC_SCAN + "SELECT event_id, user_id, orbit FROM o")
+def continuous_cyclic_orbits(spark, d):
+    return _cyclic(spark, d).select("event_id", "user_id", "orbit")
+
+
+@query(CYCLIC_SCAN + "SELECT user_id, orbit, min(ts) AS first_time, max(ts) AS last_time, count(*) AS n FROM o GROUP BY 1, 2 HAVING CAST(min(ts) AS DATE) < CAST(max(ts) AS DATE)")
+def cyclic_orbits_over_midnight(spark, d):
+    spans = _cyclic(spark, d).groupBy("user_id", "orbit").agg(F.min("epoch").alias("first_time"), F.max("epoch").alias("last_time"), F.count("*").alias("n"))
+    return spans.where(F.col("first_time").cast("date") < F.col("last_time").cast("date"))
+
+
 @query(f"""
 WITH b AS (
   SELECT event_id, user_id, ts, CAST(ts AS DATE) AS day,
