@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_CHUNKS = 100_000
+#: What :func:`with_chunks` adds to rows.
+MARKS = ("chunk_id", "chunk_start", "in_chunk")
 
 
 @dataclass(frozen=True)

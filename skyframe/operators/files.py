@@ -5,61 +5,97 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_FIELD = re.compile(r"\{(\w+)(?::(?:0?(\d+))?d?)?\}")
+_FIELD = re.compile(r"\{(\w+)(?::(?:0?(\d+))?([ds]?))?\}")
+_TIME = re.compile(r"\d{4}-\d\d-\d\d([ T]\d\d:\d\d(:\d\d(\.\d+)?)?)?")
+
+
+def is_time(text) -> bool:
+    """Whether a text is a time rather than a file's name."""
+    return _TIME.fullmatch(str(text)) is not None
 
 
 @dataclass(frozen=True)
 class Template:
-    """A file name with fields such as ``{year:04d}`` between fixed text; ``?`` and ``*`` match any character or run."""
+    """A file name with fields such as ``{year:04d}`` between fixed text; ``?`` and ``*`` match any character or run.
+
+    ``{name:s}`` is a text, anything else digits. With a ``delimiter`` names are blocks between its runs: fields need no width, and neither
+    a field without one nor a ``*`` goes beyond its block, but for a ``*`` at the very end. With ``from_end`` anything may stand before the name.
+    """
 
     text: str
+    delimiter: str | None = None
+    from_end: bool = False
 
     @property
     def fields(self) -> list[str]:
         return [m[1] for m in _FIELD.finditer(self.text)]
 
+    @property
+    def texts(self) -> set[str]:
+        return {m[1] for m in _FIELD.finditer(self.text) if m[3] == "s"}
+
     @property
     def glob(self) -> str:
-        """Each field as as many ``?`` as it is wide; a field without a width is a ValueError."""
-        if any(m[2] is None for m in _FIELD.finditer(self.text)):
+        """Each field as as many ``?`` as it is wide; a field without a width is a ValueError, but for names with a delimiter."""
+        if self.delimiter is None and any(m[2] is None for m in _FIELD.finditer(self.text)):
             raise ValueError("every field needs a width, as in {day:03d}")
-        return _FIELD.sub(lambda m: "?" * int(m[2]), self.text)
+        return ("*" if self.from_end else "") + _FIELD.sub(lambda m: "?" * int(m[2]) if m[2] else "*", self.text)
 
     @property
     def regex(self) -> str:
-        out, at, seen = "^", 0, set()
+        """One group for each field, in the order of their first places."""
+        block = "." if self.delimiter is None else f"[^{re.escape(self.delimiter)}]"
+        out, at, seen = "^.*" if self.from_end else "^", 0, set()
         for m in _FIELD.finditer(self.text):
-            out += _literal(self.text[at : m.start()])
-            width = f"{{{int(m[2])}}}" if m[2] else "+"
-            out += f"(?<{m[1]}>\\d{width})" if m[1] not in seen else f"\\d{width}"
+            out += self._literal(self.text[at : m.start()], block)
+            one = "\\d" if m[3] != "s" else block
+            inner = one + (f"{{{int(m[2])}}}" if m[2] else "+")
+            out += f"({inner})" if m[1] not in seen else inner
             seen.add(m[1])
             at = m.end()
-        return out + _literal(self.text[at:]) + "$"
-
-
-def _literal(text: str) -> str:
-    return "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in text)
+        tail = self.text[at:]
+        ends = tail.endswith("*")
+        return out + self._literal(tail.removesuffix("*"), block) + (".*$" if ends else "$")
+
+    def _literal(self, text: str, block: str) -> str:
+        if self.delimiter is None:
+            return "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in text)
+        runs = f"(?:{re.escape(self.delimiter)})+"
+        inner = lambda part: "".join(f"{block}*" if c == "*" else block if c == "?" else re.escape(c) for c in part)
+        parts = re.split(runs, text)
+        return runs.join(inner(p) for p in parts)
+
+    def name(self, day: str, **fields: int | str) -> str:
+        """The name of a file of a day (``yyyy-mm-dd``); ``fields`` are what the template names besides."""
+        year, month, of_month = (int(x) for x in day.split("-"))
+        of_year = date(year, month, of_month).timetuple().tm_yday
+        known = {"year": year, "month": month, "day": of_month if "month" in self.fields else of_year, "hour": 0, "minute": 0, "second": 0}
+        return self.text.format(**known | fields)
 
 
 def parse_names(files: DataFrame, template: Template, name: str = "file_name", *, two_digit_year_break: int | None = None) -> DataFrame:
-    """Adds ``file_time`` and the template's numbers; names that do not fit or are no date go."""
+    """Adds ``file_time`` and the template's numbers and texts; names that do not fit or are no date go."""
     parsed = files.where(F.col(name).rlike(template.regex))
     groups = {f: i for i, f in enumerate(dict.fromkeys(template.fields), 1)}
-    parsed = parsed.withColumns({f: F.regexp_extract(name, template.regex, i).try_cast("int") for f, i in groups.items()})
+    found = {f: F.regexp_extract(name, template.regex, i) for f, i in groups.items()}
+    parsed = parsed.withColumns({f: c if f in template.texts else c.try_cast("int") for f, c in found.items()})
+    for f in groups.keys() - template.texts:
+        parsed = parsed.where(F.col(f).isNotNull())
     if two_digit_year_break is not None and "year" in groups:
         parsed = parsed.withColumn("year", F.col("year") + F.when(F.col("year") >= two_digit_year_break, 1900).otherwise(2000))
     part = lambda f, default: F.col(f) if f in groups else F.lit(default)
     if "month" in groups or "day" not in groups:
-        date = F.try_make_timestamp_ntz(part("year", 1970), part("month", 1), part("day", 1), part("hour", 0), part("minute", 0), part("second", 0))
+        at = F.try_make_timestamp_ntz(part("year", 1970), part("month", 1), part("day", 1), part("hour", 0), part("minute", 0), part("second", 0))
     else:  # the day counts from the start of the year
         first = F.try_make_timestamp_ntz(part("year", 1970), F.lit(1), F.lit(1), part("hour", 0), part("minute", 0), part("second", 0))
-        date = F.when(F.col("day").between(1, 366), F.timestamp_add("DAY", F.col("day") - 1, first))
-    return parsed.withColumn("file_time", date).where("file_time is not null")
+        at = F.when(F.col("day").between(1, 366), F.timestamp_add("DAY", F.col("day") - 1, first))
+    return parsed.withColumn("file_time", at).where("file_time is not null")
 
 
 def latest_versions(files: DataFrame, *keys: str) -> DataFrame:
@@ -101,26 +137,34 @@ def to_download(remote: DataFrame, local: DataFrame) -> DataFrame:
     return joined.where(F.col("__mine").isNull() | (F.col("__mine") != F.col("file_name"))).select("file_time", "file_name").distinct()
 
 
-def missing_days(files: DataFrame, time: str = "file_time") -> DataFrame:
-    """Days between the first and the last file that have none."""
-    days = files.agg(F.min(time).cast("date").alias("a"), F.max(time).cast("date").alias("b")).select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("day"))
-    return days.join(files.select(F.col(time).cast("date").alias("day")), "day", "left_anti")
+def missing_days(files: DataFrame, *keys: str, time: str = "file_time") -> DataFrame:
+    """Days between the first and the last file of each key that have none; one row per key and day is compared, not files."""
+    held = files.where(F.col(time).isNotNull()).select(*keys, F.col(time).cast("date").alias("day")).distinct()
+    follows = Window.partitionBy(*keys).orderBy("day") if keys else Window.partitionBy(F.lit(0)).orderBy("day")
+    gaps = held.select(*keys, "day", F.lead("day").over(follows).alias("__next")).where(F.datediff("__next", "day") > 1)
+    return gaps.select(*keys, F.explode(F.sequence(F.date_add("day", 1), F.date_sub("__next", 1))).alias("day"))
 
 
-def list_files(spark: SparkSession, path: str, template: Template) -> DataFrame:
+def list_files(spark: SparkSession, path: str, template: Template, *, two_digit_year_break: int | None = None) -> DataFrame:
     """Names, sizes and times of files under ``path`` that fit the template, without their content; empty files go."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", template.glob).load(path)
     base = F.element_at(F.split("path", "/"), -1)
     rows = found.select(base.alias("file_name"), F.col("path").alias("data_path"), "length", F.col("modificationTime").alias("modified")).where("length > 0")
-    return parse_names(rows, template)
+    return parse_names(rows, template, two_digit_year_break=two_digit_year_break)
 
 
 def position(files: DataFrame, file_name: Column | str) -> DataFrame:
-    """The place of a name in the catalog's order of time and name: how many come before it, counted where they are."""
+    """The place of each row of a name in the catalog's order of time and name: how many rows come before it, counted where they are.
+    Files without a time come first.
+
+    A name held at several times has a place for each; rows alike in time and name have one place, that of the first of them.
+    """
     asked = files.where(F.col("file_name") == file_name)
     key = F.struct("file_time", "file_name")
-    before = files.select(key.alias("__f")).join(F.broadcast(asked.select(key.alias("__a")).limit(1)), F.col("__f") < F.col("__a"))
-    return asked.crossJoin(F.broadcast(before.agg(F.count("*").alias("position"))))
+    places = asked.select(key.alias("__at")).distinct()
+    before = files.select(key.alias("__f")).join(F.broadcast(places), F.col("__f") < F.col("__at")).groupBy("__at").agg(F.count("*").alias("position"))
+    counted = asked.withColumn("__at", key).join(F.broadcast(before), "__at", "left")
+    return counted.select(*files.columns, F.coalesce("position", F.lit(0)).cast("long").alias("position"))
 
 
 def between_names(files: DataFrame, spans: Sequence[tuple[str, str]]) -> DataFrame:

@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.operators import chunks
+from skyframe.operators import chunks, files
 from skyframe.plans.instrument import Constellation, Cursor, Instrument
+from skyframe.session import shared_dir
+from skyframe.sources.archive import Archive, FileBounds
 from skyframe.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,3 +147,95 @@ def streamed_seasons(spark, d):
     means = s.groupBy("chunk_id", "event_type").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
     done = windows.run_once(means, f"seasons_{uuid.uuid4().hex[:8]}", "complete")
     return done.select("chunk_id", "event_type", F.round("mean", 6).alias("mean"), "n")
+
+
+# --- files -----------------------------------------------------------------------------------------------------------
+
+EVENT_FILES = files.Template("events_{year:04d}_{day:03d}_v{version:02d}.dat")
+EVENT_ROWS = "event_id long, user_id long, event_type string, value double, epoch timestamp_ntz"
+
+
+def _event_files(spark: SparkSession, d: str, format: str = "parquet", **options) -> Instrument:
+    """All events as a file for each day, the first ten days in a second version with doubled values; an empty folder is tried first."""
+    at = f"{shared_dir(spark)}/skyframe-archive-{uuid.uuid4().hex[:12]}"
+    archive = Archive((f"{at}/none", f"{at}/events"), EVENT_FILES, format, EVENT_ROWS, {"header": "true"} if format == "csv" else {})
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp_ntz").alias("epoch"))
+    archive.write(e, folder=f"{at}/events", version=1)
+    archive.write(e.where("epoch < timestamp_ntz'2024-01-11'").withColumn("value", F.col("value") * 2), folder=f"{at}/events", version=2)
+    return Instrument("events", "files", catalog=archive.refresh(spark), **options)
+
+
+_FILE_SQL = "SELECT event_id, user_id, event_type, ts AS epoch, CASE WHEN ts < TIMESTAMP '2024-01-11' THEN value * 2 ELSE value END AS value, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS n FROM events"
+
+
+@query(f"SELECT event_id, value FROM ({_FILE_SQL}) WHERE n BETWEEN 7 AND 12")
+def files_loaded_by_name(spark, d):
+    return _event_files(spark, d).load(spark, fname="events_2024_008_v02.dat", stop_fname="events_2024_013_v01.dat", columns=["event_id", "value"])
+
+
+@query(f"SELECT event_id, value FROM ({_FILE_SQL}) WHERE epoch >= TIMESTAMP '2024-01-09 06:00:00' AND epoch < TIMESTAMP '2024-01-12 18:00:00'")
+def files_loaded_by_time(spark, d):
+    return _event_files(spark, d, "csv").load(spark, "2024-01-09 06:00:00", "2024-01-12 18:00:00", columns=["event_id", "value"])
+
+
+@query(f"""
+WITH f AS ({_FILE_SQL}), c AS (SELECT unnest(range(9)) AS k)
+SELECT CAST(k AS INTEGER) AS chunk_id, event_type, count(*) AS n, max(value) AS most FROM c JOIN f ON n BETWEEN 2 + 2 * k AND 4 + 2 * k WHERE k < 9 GROUP BY 1, 2""")
+def files_iterated(spark, d):
+    found = _event_files(spark, d).iterate(spark, FileBounds.of("events_2024_003_v02.dat", "events_2024_021_v01.dat", step=2, width=3))
+    return found.groupBy("chunk_id", "event_type").agg(F.count("*").alias("n"), F.max("value").alias("most"))
+
+
+@query(f"SELECT event_id FROM ({_FILE_SQL}) WHERE n IN (4, 5)")
+def files_next_and_previous(spark, d):
+    cursor = Cursor(_event_files(spark, d), FileBounds.of("events_2024_003_v02.dat", None, step=2, width=2))
+    return cursor.next().next().next().prev().load(spark, columns=["event_id"])
+
+
+@query(f"""
+WITH f AS ({_FILE_SQL} WHERE event_type = 'view'), c AS (SELECT unnest(range(5)) AS k),
+p AS (
+  SELECT k, f.*, lag(value) OVER (PARTITION BY k, user_id ORDER BY epoch, event_id) AS prior
+  FROM c JOIN f ON epoch >= TIMESTAMP '2024-01-03' + to_days(CAST(2 * k AS INTEGER)) - INTERVAL 12 HOUR AND epoch < TIMESTAMP '2024-01-06' + to_days(CAST(2 * k AS INTEGER)) + INTERVAL 12 HOUR
+)
+SELECT CAST(k AS INTEGER) AS chunk_id, event_id, prior FROM p WHERE n BETWEEN 2 + 2 * k AND 4 + 2 * k""")
+def padded_files_iterated(spark, d):
+    inst = _event_files(spark, d, preprocess=lambda df: df.where("event_type = 'view'"), pad="12 hours").attach(_prior)
+    return inst.iterate(spark, FileBounds.of("events_2024_003_v02.dat", "events_2024_013_v01.dat", step=2, width=3)).select("chunk_id", "event_id", "prior")
+
+
+# --- steps on chunks with a pad --------------------------------------------------------------------------------------
+
+
+def _prior(df: DataFrame, chunk: tuple[str, ...]) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    return df.withColumn("prior", F.lag("value").over(Window.partitionBy(*chunk, "user_id").orderBy("epoch", "event_id")))
+
+
+_PADDED_SQL = """
+WITH c AS (SELECT unnest(range(12)) AS k), b AS (SELECT k, TIMESTAMP '2024-01-02' + to_days(CAST(2 * k AS INTEGER)) AS a FROM c),
+p AS (
+  SELECT k, a, event_id, user_id, ts, value FROM b JOIN events ON ts >= a - INTERVAL 6 HOUR AND ts < a + INTERVAL 3 DAY + INTERVAL 6 HOUR WHERE event_type = 'click'
+)"""
+
+
+@query(_PADDED_SQL + """, w AS (SELECT *, lag(value) OVER (PARTITION BY k, user_id ORDER BY ts, event_id) AS prior FROM p)
+SELECT CAST(k AS INTEGER) AS chunk_id, event_id, prior FROM w WHERE ts >= a AND ts < a + INTERVAL 3 DAY""")
+def padded_iteration(spark, d):
+    inst = _event_instrument(d, "click", pad="6 hours").attach(_prior)
+    return inst.iterate(spark, chunks.Bounds.of("2024-01-02", "2024-01-26", "2D", "3D")).select("chunk_id", "event_id", "prior")
+
+
+@query(_PADDED_SQL + """, w AS (
+  SELECT *, avg(value) OVER (PARTITION BY k, user_id % 10 ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS smooth FROM p
+)
+SELECT CAST(k AS INTEGER) AS chunk_id, event_id, round(smooth, 6) AS smooth FROM w WHERE ts >= a AND ts < a + INTERVAL 3 DAY""")
+def smoothed_in_pandas(spark, d):
+    def smooth(chunk):
+        chunk = chunk.sort_values(["epoch", "event_id"])
+        return chunk.assign(smooth=chunk["value"].rolling(5, center=True, min_periods=1).mean())
+
+    inst = _event_instrument(d, "click", pad="6 hours", preprocess=lambda df: df.withColumn("decade", F.col("user_id") % 10))
+    inst = inst.attach_pandas(smooth, "epoch timestamp_ntz, event_id long, user_id long, value double, decade long, smooth double", "decade")
+    return inst.iterate(spark, chunks.Bounds.of("2024-01-02", "2024-01-26", "2D", "3D")).select("chunk_id", "event_id", F.round("smooth", 6).alias("smooth"))

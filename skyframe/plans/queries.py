@@ -366,21 +366,43 @@ def new_files(spark, d):
     return files.new_files(all_of, all_of.where("substr(file_name, 5, 4) < '1997'"))
 
 
+#: Names of blocks of no fixed width, some of which fit no template: a priority with a run of delimiters, and a day that is none.
+LOOSE = "concat('in', o_custkey % 3, '_', CAST(year(o_orderdate) AS VARCHAR(4)), CASE WHEN o_orderkey % 7 = 0 THEN '__' ELSE '_' END, CAST(month(o_orderdate) AS VARCHAR(2)), '_', CAST(CASE WHEN o_orderkey % 11 = 0 THEN 32 ELSE day(o_orderdate) END AS VARCHAR(2)), '_', o_orderstatus, lower(substr(o_orderpriority, 3, 3)), CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '_rev' END, CAST(o_orderkey % 40 AS VARCHAR(2)), '_x.dat')"
+LOOSE_NAMES = files.Template("*_{year:d}_{month:d}_{day:d}_{kind:1s}{order_class:s}_rev{rev_no:d}_*", delimiter="_")
+
+
+@query(f"""
+WITH n AS (SELECT o_orderkey, {LOOSE} AS file_name FROM orders),
+p AS (SELECT *, string_split(regexp_replace(file_name, '_+', '_', 'g'), '_') AS b FROM n WHERE o_orderkey % 5 <> 0)
+SELECT o_orderkey, make_timestamp(CAST(b[2] AS BIGINT), CAST(b[3] AS BIGINT), CAST(b[4] AS BIGINT), 0, 0, 0.0) AS file_time, b[5][1] AS kind, b[5][2:] AS order_class, CAST(b[6][4:] AS INTEGER) AS rev_no
+FROM p WHERE CAST(b[4] AS INTEGER) < 32""")
+def delimited_file_names(spark, d):
+    named = table(spark, d, "orders").select("o_orderkey", F.expr(LOOSE.replace("AS VARCHAR(4)", "AS STRING").replace("AS VARCHAR(2)", "AS STRING")).alias("file_name"))
+    return files.parse_names(named, LOOSE_NAMES).select("o_orderkey", "file_time", "kind", "order_class", "rev_no")
+
+
+@query("SELECT o_orderkey, o_orderdate::TIMESTAMP AS file_time, CAST(o_orderkey % 10 AS INTEGER) AS version FROM orders")
+def file_names_from_the_end(spark, d):
+    lead = F.concat(F.lit("some/"), F.lower("o_orderpriority"), F.lit("_"), F.col("o_totalprice").cast("string"))
+    named = table(spark, d, "orders").select("o_orderkey", F.concat(lead, F.date_format("o_orderdate", "yyyyMMdd"), F.lit("v"), F.col("o_orderkey") % 10, F.lit(".cdf")).alias("file_name"))
+    return files.parse_names(named, files.Template("{year:04d}{month:02d}{day:02d}v{version:1d}.cdf", from_end=True)).select("o_orderkey", "file_time", "version")
+
+
 @query("""
-WITH e AS (SELECT min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS b FROM events WHERE user_id = 0),
-d AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM e)
-SELECT day FROM d WHERE day NOT IN (SELECT CAST(ts AS DATE) FROM events WHERE user_id = 0)""")
+WITH e AS (SELECT user_id, min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS b FROM events GROUP BY 1),
+d AS (SELECT user_id, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM e)
+SELECT user_id, day FROM d WHERE (user_id, day) NOT IN (SELECT (user_id, CAST(ts AS DATE)) FROM events)""")
 def missing_days(spark, d):
-    return files.missing_days(events(spark, d).where("user_id = 0"), "epoch")
+    return files.missing_days(events(spark, d), "user_id", time="epoch")
 
 
 @query(f"""
 WITH f AS (SELECT DISTINCT {NAMES} AS file_name, date_trunc('day', o_orderdate)::TIMESTAMP AS file_time FROM orders),
-one AS (SELECT max(file_name) AS file_name FROM f WHERE file_name < 'obs_1995')
+one AS (SELECT max(file_name) AS file_name FROM f WHERE file_name < 'obs_1998')
 SELECT f.file_name, f.file_time, (SELECT count(*) FROM f g WHERE (g.file_time, g.file_name) < (f.file_time, f.file_name)) AS position FROM f JOIN one USING (file_name)""")
 def file_position(spark, d):
     catalog = files.parse_names(_names(spark, d).distinct(), OBS).select("file_name", "file_time")
-    return files.position(catalog, catalog.where("file_name < 'obs_1995'").agg(F.max("file_name")).first()[0])
+    return files.position(catalog, catalog.where("file_name < 'obs_1998'").agg(F.max("file_name")).first()[0])
 
 
 @query(f"""

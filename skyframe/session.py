@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,21 @@ def session(app: str = "skyframe", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+_local: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which driver and executors share; a temporary one where it is unset and Spark is local."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="skyframe-"))
+    return _local[0]
+
+
 def is_floating(kind: T.DataType) -> bool:
     return isinstance(kind, (T.DoubleType, T.FloatType))
 
