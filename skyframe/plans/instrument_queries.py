@@ -12,7 +12,9 @@ from skyframe.operators import chunks, files
 from skyframe.plans.instrument import Constellation, Cursor, Instrument
 from skyframe.session import shared_dir
 from skyframe.sources.archive import Archive, FileBounds
-from skyframe.streaming import windows
+from skyframe.plans.queries import CYCLIC_SCAN, PERIOD_S, SPAN
+from skyframe.streaming import chunks as stream_chunks
+from skyframe.streaming import orbits, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -149,16 +151,59 @@ def streamed_seasons(spark, d):
     return done.select("chunk_id", "event_type", F.round("mean", 6).alias("mean"), "n")
 
 
+_PADDED_SQL = """
+WITH c AS (SELECT unnest(range(12)) AS k), b AS (SELECT k, TIMESTAMP '2024-01-02' + to_days(CAST(2 * k AS INTEGER)) AS a FROM c),
+p AS (
+  SELECT k, a, event_id, user_id, ts, value FROM b JOIN events ON ts >= a - INTERVAL 6 HOUR AND ts < a + INTERVAL 3 DAY + INTERVAL 6 HOUR WHERE event_type = 'click'
+)"""
+
+
+def _late_stream(spark: SparkSession, d: str) -> DataFrame:
+    """All events as a stream of five files, a week each; every 13th event of a week comes with the week after. Two more, of user -1, move time on."""
+    at = f"{shared_dir(spark)}/skyframe-late-{uuid.uuid4().hex[:12]}"
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp_ntz").alias("epoch"))
+    week = F.floor(F.datediff(F.col("epoch").cast("date"), F.lit("2024-01-01").cast("date")) / 7)
+    dealt = e.withColumn("file", week + F.when(F.col("event_id") % 13 == 0, 1).otherwise(0))
+    low, high = dealt.agg(F.min("file"), F.max("file")).first()
+    for k in range(low, high + 1):
+        dealt.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(at)
+    end = e.agg(F.max("epoch").alias("epoch")).select(F.expr("-1L").alias("event_id"), F.expr("-1L").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"), "epoch")
+    for days in (100, 101):
+        end.withColumn("epoch", F.col("epoch") + F.expr(f"interval {days} days")).coalesce(1).write.mode("append").parquet(at)
+    return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(at)
+
+
+EVENT_SCHEMA = "event_id long, user_id long, event_type string, value double, epoch timestamp_ntz"
+
+
+@query(CYCLIC_SCAN + "SELECT event_id, user_id, orbit FROM o")
+def streamed_cyclic_orbits(spark, d):
+    found = orbits.cyclic_orbits(_late_stream(spark, d), "value", SPAN, "user_id", period=PERIOD_S, ties=("event_id",), late="14 days", close_after="30 days")
+    done = windows.run_once(found, f"orbits_{uuid.uuid4().hex[:8]}", stateful=True)
+    return done.where("user_id >= 0").select("event_id", "user_id", "orbit")
+
+
+@query(_PADDED_SQL + """, w AS (SELECT *, lag(value) OVER (PARTITION BY k, user_id ORDER BY ts, event_id) AS prior FROM p)
+SELECT CAST(k AS INTEGER) AS chunk_id, user_id, event_id, prior FROM w WHERE ts >= a AND ts < a + INTERVAL 3 DAY""")
+def streamed_padded_chunks(spark, d):
+    def prior(chunk):
+        return chunk.assign(prior=chunk["value"].shift()).loc[chunk["in_chunk"], ["event_id", "prior"]]
+
+    clicks = _late_stream(spark, d).where("event_type IN ('click', 'end')")
+    bounds = chunks.Bounds.of("2024-01-02", "2024-01-26", "2D", "3D")
+    found = stream_chunks.per_chunk(clicks, bounds, prior, "event_id long, prior double", "user_id", pad="6 hours", ties=("event_id",), late="14 days")
+    return windows.run_once(found, f"chunks_{uuid.uuid4().hex[:8]}", stateful=True)
+
+
 # --- files -----------------------------------------------------------------------------------------------------------
 
 EVENT_FILES = files.Template("events_{year:04d}_{day:03d}_v{version:02d}.dat")
-EVENT_ROWS = "event_id long, user_id long, event_type string, value double, epoch timestamp_ntz"
 
 
 def _event_files(spark: SparkSession, d: str, format: str = "parquet", **options) -> Instrument:
     """All events as a file for each day, the first ten days in a second version with doubled values; an empty folder is tried first."""
     at = f"{shared_dir(spark)}/skyframe-archive-{uuid.uuid4().hex[:12]}"
-    archive = Archive((f"{at}/none", f"{at}/events"), EVENT_FILES, format, EVENT_ROWS, {"header": "true"} if format == "csv" else {})
+    archive = Archive((f"{at}/none", f"{at}/events"), EVENT_FILES, format, EVENT_SCHEMA, {"header": "true"} if format == "csv" else {})
     e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp_ntz").alias("epoch"))
     archive.write(e, folder=f"{at}/events", version=1)
     archive.write(e.where("epoch < timestamp_ntz'2024-01-11'").withColumn("value", F.col("value") * 2), folder=f"{at}/events", version=2)
@@ -213,13 +258,6 @@ def _prior(df: DataFrame, chunk: tuple[str, ...]) -> DataFrame:
     return df.withColumn("prior", F.lag("value").over(Window.partitionBy(*chunk, "user_id").orderBy("epoch", "event_id")))
 
 
-_PADDED_SQL = """
-WITH c AS (SELECT unnest(range(12)) AS k), b AS (SELECT k, TIMESTAMP '2024-01-02' + to_days(CAST(2 * k AS INTEGER)) AS a FROM c),
-p AS (
-  SELECT k, a, event_id, user_id, ts, value FROM b JOIN events ON ts >= a - INTERVAL 6 HOUR AND ts < a + INTERVAL 3 DAY + INTERVAL 6 HOUR WHERE event_type = 'click'
-)"""
-
-
 @query(_PADDED_SQL + """, w AS (SELECT *, lag(value) OVER (PARTITION BY k, user_id ORDER BY ts, event_id) AS prior FROM p)
 SELECT CAST(k AS INTEGER) AS chunk_id, event_id, prior FROM w WHERE ts >= a AND ts < a + INTERVAL 3 DAY""")
 def padded_iteration(spark, d):
