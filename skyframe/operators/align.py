@@ -1,4 +1,4 @@
-"""Alignment of records on a common time grid: exact, forward, backward, nearest and linear.
+"""Alignment of records on a common time grid: exact, forward, backward, nearest, zero, linear and by splines.
 
 Neighbours are found inside partitions of keys and day; what a day needs from the days before and after it comes from
 one summary row per day. So no window spans a whole record.
@@ -12,6 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skyframe.operators import splines
+
+#: Splines by name.
+ORDERS = {"quadratic": 2, "cubic": 3}
+
 
 def time_grid(df: DataFrame, step: str, *keys: str, time: str = "epoch", common: DataFrame | None = None) -> DataFrame:
     """A regular grid of ``epoch`` over each key's range, or over the range of ``common`` for every key."""
@@ -64,12 +69,19 @@ def neighbours(grid: DataFrame, data: DataFrame, values: Sequence[str], *keys: s
     return joined.select(*keys, "epoch", F.coalesce("p", "before").alias("prev"), F.coalesce("n", "after").alias("next"))
 
 
-def align(grid: DataFrame, data: DataFrame, values: Sequence[str], method: str | None, *keys: str, time: str = "epoch", fills: dict | None = None, limit: str | None = None) -> DataFrame:
-    """``grid`` with ``values`` by ``method``: None (equal times only), ffill, bfill, nearest or linear.
+def align(grid: DataFrame, data: DataFrame, values: Sequence[str], method: str | None, *keys: str, time: str = "epoch", fills: dict | None = None, limit: str | None = None, order: int | None = None) -> DataFrame:
+    """``grid`` with ``values`` by ``method``: None (equal times only), ffill, bfill, nearest, zero, linear (slinear), quadratic, cubic or polynomial.
 
     ``fills``: what unmatched grid rows get instead of null with equal times. Nearest prefers the earlier row of two
-    equally far ones. Linear needs rows on both sides. ``limit``: the rows used may be that far away at most.
+    equally far ones. Zero is the row before, and like linear needs rows on both sides. Polynomial is a spline of ``order``; splines pass
+    over missing values, see :func:`skyframe.operators.splines.interpolated`. ``limit``: the rows used may be that far away at most; splines use them all.
     """
+    if method in ORDERS or method == "polynomial":
+        if limit:
+            raise ValueError("splines have no limit")
+        if method == "polynomial" and order is None:
+            raise ValueError("a polynomial needs an order")
+        return splines.interpolated(grid, data, values, ORDERS.get(method, order), *keys, time=time)
     if method is None:
         matched = data.select(*keys, F.col(time).alias("epoch"), *values, F.lit(True).alias("__hit"))
         joined = grid.join(matched, [*keys, "epoch"], "left")
@@ -90,7 +102,9 @@ def align(grid: DataFrame, data: DataFrame, values: Sequence[str], method: str |
             return n
         if method == "nearest":
             return F.when(F.col("next").isNull() | (F.col("prev").isNotNull() & (back <= ahead)), p).otherwise(n)
-        if method == "linear":
+        if method == "zero":
+            return F.when(F.col("next").isNotNull(), p)
+        if method in ("linear", "slinear"):
             span = back + ahead
             return F.when(span == 0, p.cast("double")).otherwise(p + (n - p) * back / F.nullif(span, F.lit(0)))
         raise ValueError(f"unknown method {method!r}")

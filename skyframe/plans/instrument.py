@@ -18,6 +18,7 @@ from skyframe.sources.archive import Catalog, FileBounds
 
 # Fixed values, from the strictest on; "none" cleans nothing.
 CLEAN_LEVELS = ("clean", "dusty", "dirty", "none")
+INTERPOLATING = ("linear", "zero", "slinear", "quadratic", "cubic", "polynomial")
 Step = Callable[[DataFrame], DataFrame]
 
 
@@ -283,10 +284,10 @@ class Constellation:
                 seen[c.lower()] = seen.get(c.lower(), 0) + 1
         return {(k, c): f"{c}_{k}" if seen[c.lower()] > 1 else c for k, df in loaded.items() for c in df.columns if c != "epoch"}
 
-    def to_frame(self, spark: SparkSession, start: str | None = None, stop: str | None = None, *, step: str | None = None, overlap: bool = True, method: str | None = None) -> DataFrame:
+    def to_frame(self, spark: SparkSession, start: str | None = None, stop: str | None = None, *, step: str | None = None, overlap: bool = True, method: str | None = None, order: int | None = None) -> DataFrame:
         """One row per time of a regular grid over the members' shared range, with all variables of all members.
 
-        Texts and other values that cannot be interpolated take the nearest row where ``method`` is linear. Unmatched
+        Texts and other values that cannot be interpolated take the nearest row where ``method`` interpolates. Unmatched
         rows get the fill value of the variable's metadata where ``method`` is None. Without a ``step`` the grid is as coarse
         as the member with the least resolution. Members without rows count for nothing; without any common time there
         are no rows.
@@ -306,11 +307,11 @@ class Constellation:
             meta = Meta.of(df)
             numeric = [f.name for f in df.schema if f.name != "epoch" and f.dataType.typeName() in ("double", "float", "long", "integer")]
             other = [f.name for f in df.schema if f.name != "epoch" and f.name not in numeric]
-            for values, how in ((numeric, method), (other, "nearest" if method == "linear" else method)):
+            for values, how in ((numeric, method), (other, "nearest" if method in INTERPOLATING else method)):
                 if values:
                     fills = {v: meta[v, "fill"] if v in meta else default_fill(df.schema[v].dataType) for v in values}
                     fills = {k: None if isinstance(v, float) and math.isnan(v) else v for k, v in fills.items()}
-                    got = align.align(grid, df, values, how, fills=fills)
+                    got = align.align(grid, df, values, how, fills=fills, order=order)
                     out = out.join(got.select("epoch", *[F.col(v).alias(names[key, v]) for v in values]), "epoch", "left")
         return out
 

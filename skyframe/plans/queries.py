@@ -335,6 +335,58 @@ def aligned_exact(spark, d):
     return align.align(grid, o, ["n"], None, fills={"n": -1})
 
 
+#: The greatest value of every type in each three hours, and a grid of hours over each type's record.
+THREE_HOURS = "SELECT event_type, time_bucket(INTERVAL 3 HOUR, ts)::TIMESTAMP AS t, max(value) AS y FROM events GROUP BY 1, 2"
+HOURS = "SELECT event_type, unnest(generate_series(min(t), max(t), INTERVAL 1 HOUR)) AS epoch FROM p GROUP BY 1"
+
+
+def _three_hours(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    bins = F.timestamp_add("HOUR", F.floor(F.hour("epoch") / 3).cast("int") * 3, F.col("epoch").cast("date").cast("timestamp_ntz"))
+    data = events(spark, d).groupBy("event_type", bins.alias("epoch")).agg(F.max("value").alias("value"))
+    return align.time_grid(data, "1 hour", "event_type"), data
+
+
+@query(f"""
+WITH p AS ({THREE_HOURS}), g AS ({HOURS})
+SELECT g.event_type, g.epoch, p.y AS value FROM g ASOF JOIN p ON g.event_type = p.event_type AND g.epoch >= p.t""")
+def aligned_zero(spark, d):
+    return align.align(*_three_hours(spark, d), ["value"], "zero", "event_type")
+
+
+@query(f"""
+WITH RECURSIVE p AS ({THREE_HOURS}), g AS ({HOURS}),
+x AS (SELECT event_type, t, y, epoch(t) / 3600.0 AS x, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM p WINDOW w AS (PARTITION BY event_type ORDER BY t)),
+h AS (SELECT *, lead(x) OVER w - x AS h, (lead(y) OVER w - y) / (lead(x) OVER w - x) AS s FROM x WINDOW w AS (PARTITION BY event_type ORDER BY i)),
+e AS (
+  SELECT event_type, i, n, lag(h) OVER w AS a, h AS c, 2 * (lag(h) OVER w + h) AS b, 6 * (s - lag(s) OVER w) AS r FROM h WINDOW w AS (PARTITION BY event_type ORDER BY i)
+), m AS (
+  SELECT event_type, i, n, r, CASE WHEN i = 1 THEN 0 WHEN i = n - 2 THEN a - c * c / a ELSE a END AS a,
+         CASE WHEN i = 1 THEN b + a * (1 + a / c) WHEN i = n - 2 THEN b + c * (1 + c / a) ELSE b END AS b,
+         CASE WHEN i = n - 2 THEN 0 WHEN i = 1 THEN c - a * a / c ELSE c END AS c
+  FROM e WHERE i BETWEEN 1 AND n - 2
+), down AS (
+  SELECT event_type, i, n, c / b AS c, r / b AS r FROM m WHERE i = 1
+  UNION ALL
+  SELECT m.event_type, m.i, m.n, m.c / (m.b - m.a * d.c), (m.r - m.a * d.r) / (m.b - m.a * d.c) FROM down d JOIN m ON m.event_type = d.event_type AND m.i = d.i + 1
+), up AS (
+  SELECT event_type, i, r AS k FROM down WHERE i = n - 2
+  UNION ALL
+  SELECT d.event_type, d.i, d.r - d.c * u.k FROM up u JOIN down d ON d.event_type = u.event_type AND d.i = u.i - 1
+), inner_k AS (SELECT h.event_type, h.i, h.n, h.h, u.k FROM h LEFT JOIN up u USING (event_type, i)),
+k AS (
+  SELECT event_type, i, CASE
+    WHEN i = 0 THEN lead(k) OVER w * (1 + h / lead(h) OVER w) - lead(k, 2) OVER w * h / lead(h) OVER w
+    WHEN i = n - 1 THEN lag(k) OVER w * (1 + lag(h) OVER w / lag(h, 2) OVER w) - lag(k, 2) OVER w * lag(h) OVER w / lag(h, 2) OVER w
+    ELSE k END AS k
+  FROM inner_k WINDOW w AS (PARTITION BY event_type ORDER BY i)
+), q AS (SELECT h.*, k.k AS k0, lead(k.k) OVER (PARTITION BY event_type ORDER BY i) AS k1, lead(h.y) OVER (PARTITION BY event_type ORDER BY i) AS y1 FROM h JOIN k USING (event_type, i))
+SELECT event_type, epoch, round(CASE WHEN h IS NULL THEN y ELSE (k0 * (h - z) ** 3 + k1 * z ** 3) / (6 * h) + (y / h - k0 * h / 6) * (h - z) + (y1 / h - k1 * h / 6) * z END, 3) AS value
+FROM (SELECT g.event_type, g.epoch, q.h, q.y, q.y1, q.k0, q.k1, epoch(g.epoch) / 3600.0 - q.x AS z FROM g ASOF JOIN q ON g.event_type = q.event_type AND g.epoch >= q.t)""")
+def aligned_cubic(spark, d):
+    found = align.align(*_three_hours(spark, d), ["value"], "cubic", "event_type")
+    return found.select("event_type", "epoch", F.round("value", 3).alias("value"))
+
+
 # --- file catalogs ---------------------------------------------------------------------------------------------------
 
 NAMES = "'obs_' || strftime(o_orderdate, '%Y%m%d') || '_v' || (o_orderkey % 3) || '_r' || (o_custkey % 2) || '.nc'"
