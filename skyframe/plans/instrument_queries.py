@@ -8,13 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.operators import chunks, files
+from skyframe.functions.arrays import to_long
+from skyframe.meta import Meta
+from skyframe.operators import axes, chunks, files
+from skyframe.operators import orbits as batch_orbits
 from skyframe.plans.instrument import Constellation, Cursor, Instrument
 from skyframe.session import shared_dir
 from skyframe.sources.archive import Archive, FileBounds
+from skyframe.plans.orbit_record import OrbitRecord
 from skyframe.plans.queries import CYCLIC_SCAN, PERIOD_S, SPAN
 from skyframe.streaming import chunks as stream_chunks
 from skyframe.streaming import orbits, windows
+from skyframe.streaming.ingest import Follower
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -213,6 +218,21 @@ def _event_files(spark: SparkSession, d: str, format: str = "parquet", **options
 _FILE_SQL = "SELECT event_id, user_id, event_type, ts AS epoch, CASE WHEN ts < TIMESTAMP '2024-01-11' THEN value * 2 ELSE value END AS value, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS n FROM events"
 
 
+@query(f"SELECT event_id, value, format('events_2024_{{:03d}}_v{{:02d}}.dat', n + 1, CASE WHEN n < 10 THEN 2 ELSE 1 END) AS file_name FROM ({_FILE_SQL})")
+def reissued_files(spark, d):
+    """A first batch of all days in version 1; a second one of ten days in version 2, and of days in version 0, which come too late."""
+    at = f"{shared_dir(spark)}/skyframe-followed-{uuid.uuid4().hex[:12]}"
+    archive = Archive((f"{at}/events",), EVENT_FILES, schema=EVENT_SCHEMA)
+    follower = Follower(archive, f"{at}/table")
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp_ntz").alias("epoch"))
+    archive.write(e, version=1)
+    follower.run(spark)
+    archive.write(e.where("epoch < timestamp_ntz'2024-01-11'").withColumn("value", F.col("value") * 2), version=2)
+    archive.write(e.where("epoch >= timestamp_ntz'2024-01-06'").withColumn("value", F.lit(0.0)), version=0)
+    follower.run(spark)
+    return follower.rows(spark).select("event_id", "value", "file_name")
+
+
 @query(f"SELECT event_id, value FROM ({_FILE_SQL}) WHERE n BETWEEN 7 AND 12")
 def files_loaded_by_name(spark, d):
     return _event_files(spark, d).load(spark, fname="events_2024_008_v02.dat", stop_fname="events_2024_013_v01.dat", columns=["event_id", "value"])
@@ -277,3 +297,77 @@ def smoothed_in_pandas(spark, d):
     inst = _event_instrument(d, "click", pad="6 hours", preprocess=lambda df: df.withColumn("decade", F.col("user_id") % 10))
     inst = inst.attach_pandas(smooth, "epoch timestamp_ntz, event_id long, user_id long, value double, decade long, smooth double", "decade")
     return inst.iterate(spark, chunks.Bounds.of("2024-01-02", "2024-01-26", "2D", "3D")).select("chunk_id", "event_id", F.round("smooth", 6).alias("smooth"))
+
+
+# --- orbits as they are stepped through ------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH f AS ({_FILE_SQL}), b AS (
+  SELECT event_id, epoch, CAST(coalesce((value - 245 >= 0) <> lag(value - 245 >= 0) OVER w, false)
+         OR coalesce((epoch_us(epoch) - epoch_us(lag(epoch) OVER w)) / 1e6 / {PERIOD_S} > 0.95, false) AS INT) AS brk
+  FROM f WINDOW w AS (ORDER BY epoch, event_id)
+), o AS (SELECT event_id, sum(brk) OVER (ORDER BY epoch, event_id) AS orbit FROM b), l AS (SELECT max(orbit) AS last FROM o)
+SELECT event_id, CASE orbit WHEN 1 THEN 'second' WHEN 40 THEN 'forty-first' ELSE 'last' END AS step FROM o, l WHERE orbit IN (1, 40, last)""")
+def orbits_stepped_through(spark, d):
+    def rule(df: DataFrame) -> DataFrame:
+        return batch_orbits.continuous_polar_orbits(df.withColumn("latitude", F.col("value") - 245), "latitude", period=PERIOD_S, ties=("event_id",))
+
+    player = OrbitRecord.build(spark, _event_files(spark, d), rule, ties=("event_id",)).cursor()
+    steps = {"second": player.next().next().next().prev(), "forty-first": player[40], "last": player.prev()}
+    found = [at.load(spark, columns=["event_id"]).withColumn("step", F.lit(name)) for name, at in steps.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+# --- nested variables on common axes ---------------------------------------------------------------------------------
+
+
+def _profiles(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Orders as profiles over two axes; those of odd keys lie on other coordinates."""
+    items = spark.read.parquet(f"{d}/lineitem.parquet")
+    level = F.struct(F.col("l_linenumber").cast("double").alias("x"), F.array(F.col("l_quantity").cast("double"), (F.col("l_extendedprice") / 997).cast("double"), (F.col("l_discount") * 100).cast("double")).alias("v"))
+    held = items.groupBy("l_orderkey", "l_linenumber").agg(F.min(level).alias("level")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("level")).alias("levels"))
+    odd = F.col("l_orderkey") % 2 == 1
+    taken = held.select(
+        "l_orderkey", odd.alias("odd"), F.transform("levels", lambda x: x["x"] * F.when(odd, 1.5).otherwise(1.0)).alias("height"),
+        F.transform(F.array(*[F.lit(float(j)) for j in range(3)]), lambda j: j + F.when(odd, 0.5).otherwise(0.0)).alias("beam"), F.transform("levels", lambda x: x["v"]).alias("density"),
+    )
+    return [taken.where(~F.col("odd")), taken.where("odd")]
+
+
+@query("""
+WITH p AS (
+  SELECT l_orderkey, l_linenumber, min({'q': CAST(l_quantity AS DOUBLE), 'p': CAST(l_extendedprice / 997 AS DOUBLE), 'd': CAST(l_discount * 100 AS DOUBLE)}) AS v FROM lineitem GROUP BY 1, 2
+), x AS (
+  SELECT l_orderkey, l_orderkey % 2 = 1 AS odd, l_linenumber * CASE WHEN l_orderkey % 2 = 1 THEN 1.5 ELSE 1.0 END AS x, [v.q, v.p, v.d] AS v FROM p
+), ends AS (SELECT odd, min(x) AS lo, max(x) AS hi, max(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM x) GROUP BY 1),
+span AS (SELECT max(lo) AS lo, min(hi) AS hi, CAST(floor((min(hi) - max(lo)) / min((hi - lo) / (n - 1))) AS BIGINT) + 1 AS n FROM ends),
+heights AS (SELECT i, lo + i * (hi - lo) / (n - 1) AS t FROM (SELECT unnest(range(n)) AS i, lo, hi, n FROM span)),
+beams AS (SELECT unnest([0, 1]) AS j, unnest([0.5, 2.0]) AS t),
+b AS (
+  SELECT l_orderkey, x, j, CASE WHEN u = floor(u) THEN v[CAST(u AS BIGINT) + 1] ELSE v[CAST(floor(u) AS BIGINT) + 1] + (v[CAST(floor(u) AS BIGINT) + 2] - v[CAST(floor(u) AS BIGINT) + 1]) * (u - floor(u)) END AS y
+  FROM (SELECT x.*, j, t - CASE WHEN odd THEN 0.5 ELSE 0 END AS u FROM x, beams)
+), n AS (
+  SELECT l_orderkey, i, j, t, max(x) FILTER (WHERE x <= t) AS a, min(x) FILTER (WHERE x >= t) AS c, arg_max(y, x) FILTER (WHERE x <= t) AS ya, arg_min(y, x) FILTER (WHERE x >= t) AS yc
+  FROM b, heights GROUP BY 1, 2, 3, 4
+)
+SELECT l_orderkey, CAST(i AS INTEGER) AS height, CAST(j AS INTEGER) AS beam, round(CASE WHEN a = c THEN ya ELSE ya + (yc - ya) * (t - a) / (c - a) END, 5) AS value FROM n WHERE a IS NOT NULL AND c IS NOT NULL""")
+def aligned_profiles(spark, d):
+    members = _profiles(spark, d)
+    targets = axes.shared_axes(members, ["height", "beam"])
+    moved = [axes.regrid(m, {"density": ("height", "beam")}, targets, "linear") for m in members]
+    long = to_long(moved[0].unionByName(moved[1]), "density", ["height", "beam"], "l_orderkey")
+    return long.where("value IS NOT NULL").select("l_orderkey", "height", "beam", F.round("value", 5).alias("value"))
+
+
+@query("""
+WITH p AS (
+  SELECT l_orderkey, l_linenumber, min(CAST(l_quantity AS DOUBLE)) AS q FROM lineitem GROUP BY 1, 2
+), o AS (SELECT DISTINCT l_orderkey FROM p), t AS (SELECT unnest(range(1, (SELECT max(n) FROM (SELECT count(*) AS n FROM p GROUP BY l_orderkey)) + 1)) AS i),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM p)
+SELECT o.l_orderkey, CAST(t.i - 1 AS INTEGER) AS place, coalesce(r.q, -9.0) AS value FROM o CROSS JOIN t LEFT JOIN r ON r.l_orderkey = o.l_orderkey AND r.i = t.i""")
+def profiles_of_one_size(spark, d):
+    items = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.col("l_quantity").cast("double")).alias("q"))
+    held = items.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "q"))), lambda r: r["q"]).alias("profile"))
+    held = Meta({"profile": {"fill": -9.0}}).attach(held)
+    return to_long(axes.equal_sizes(held, ["profile"]), "profile", ["place"], "l_orderkey")
