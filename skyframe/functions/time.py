@@ -76,6 +76,34 @@ def resolution(df: DataFrame, time: str, *keys: str, mean: bool = False) -> Data
     return df.select(*keys, (step / 1e6).alias("__step")).groupBy(*keys).agg(F.min("__step").alias("resolution"))
 
 
+def least_step(df: DataFrame, time: str) -> DataFrame:
+    """One row: the least seconds between successive times of a whole record, null for fewer than two times.
+
+    Neighbours meet inside a day, and what lies over midnight is told by the first and last time of each day, so no window holds a record.
+    """
+    from pyspark.sql.window import Window
+
+    rows = df.where(F.col(time).isNotNull()).select(F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(time).cast("date").alias("day"))
+    inside = rows.select("day", "t", (F.col("t") - F.lag("t").over(Window.partitionBy("day").orderBy("t"))).alias("step"))
+    days = inside.groupBy("day").agg(F.min("step").alias("step"), F.min("t").alias("first"), F.max("t").alias("last"))
+    # one row for each day
+    over = F.col("first") - F.lag("last").over(Window.partitionBy(F.lit(0)).orderBy("day"))
+    return days.select(F.least("step", over).alias("step")).agg((F.min("step") / 1e6).alias("resolution"))
+
+
+def at_most_daily(cadence: str) -> bool:
+    """Whether files of a cadence such as ``1D`` or ``90min`` come each day or more often; months and years do not."""
+    m = re.fullmatch(r"\s*\d*\s*([A-Za-z]+)\s*", cadence)
+    if m and m[1] in ("MS", "M", "ME", "YS", "Y", "YE", "AS", "A", "W"):
+        return False
+    return frequency_seconds(cadence) <= 86400.0
+
+
+def today(days: int = 0) -> Column:
+    """Midnight of today in UTC (the session's zone), or of so many days later."""
+    return F.date_add(F.current_date(), days).cast("timestamp_ntz")
+
+
 def epoch_decode(number: Column, unit: str = "ms", origin: str = "unix") -> Column:
     """Timestamps from numbers of ``unit`` since ``origin`` (``unix``, ``julian`` or a timestamp text)."""
     if origin == "julian":

@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 # The standard labels, and what a label means when nothing is said.
 LABELS = ("units", "long_name", "notes", "desc", "value_min", "value_max", "fill")
 NUMERIC_LABELS = ("value_min", "value_max", "fill")
-KEY = "labels"
+KEY, HEADER = "labels", "header"
+EPOCH_LABELS, EPOCH_TEXT = ("units", "long_name", "desc", "notes"), "Milliseconds since 1970-1-1 00:00:00"
 
 
 def default_fill(kind: T.DataType | None):
@@ -55,6 +56,7 @@ class Meta:
         for f in df.schema:
             held = {k: math.nan if v == "NaN" and k in NUMERIC_LABELS else v for k, v in f.metadata.get(KEY, {}).items()}
             out._table[f.name] = {k: _default(f.name, k, f.dataType) for k in LABELS} | held
+            out.header |= f.metadata.get(HEADER, {})
         return out
 
     def attach(self, df: DataFrame) -> DataFrame:
@@ -62,9 +64,40 @@ class Meta:
         for f in df.schema:
             if (name := self.name_of(f.name)) in self._table:
                 labels = {k: "NaN" if isinstance(v, float) and math.isnan(v) else v for k, v in self._table[name].items() if v is not None}
-                df = df.withMetadata(f.name, dict(f.metadata) | {KEY: labels})
+                df = df.withMetadata(f.name, dict(f.metadata) | {KEY: labels} | ({HEADER: self.header} if self.header else {}))
         return df
 
+    def relabel(self, names: Mapping[str, str]) -> None:
+        """Renames labels of all variables, and brings in those that no variable has yet, by their defaults; a name that is taken is a ValueError."""
+        for old, new in names.items():
+            old = self.label_of(old)
+            if old != new and new in self.labels:
+                raise ValueError(f"there is a label {new} already")
+            for variable, row in self._table.items():
+                row[new] = row.pop(old) if old in row else _default(variable, new)
+
+    def accept_labels(self, other: Meta) -> None:
+        """Both get all labels of either, by their defaults where they were not known; labels that differ in case take the other's."""
+        for label in other.labels:
+            if (held := self.label_of(label)) != label and held in self.labels:
+                self.relabel({held: label})
+        for a, b in ((self, other), (other, self)):
+            for variable, row in a._table.items():
+                for label in b.labels:
+                    row.setdefault(label, _default(variable, label))
+
+    def to_header(self, attributes: Mapping[str, object], *, strict: bool = False) -> None:
+        """Adds free attributes to the header; with ``strict`` one that is there already is an AttributeError, and nothing is added."""
+        if strict and (both := sorted(attributes.keys() & self.header.keys())):
+            raise AttributeError(f"in the header already: {both}")
+        self.header |= attributes
+
+    def add_epoch(self, name: str = "epoch") -> None:
+        """Says what the time index is in those of its labels that are empty."""
+        held = self[name] if name in self else {}
+        said = {k: EPOCH_TEXT for k in EPOCH_LABELS if k not in held or held[k] in ("", None) or (k == "long_name" and held[k] == self.name_of(name))}
+        self[name] = said
+
     def name_of(self, name: str) -> str:
         """The name as it is held, found without regard to case."""
         return next((k for k in self._table if k.lower() == name.lower()), name)

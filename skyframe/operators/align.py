@@ -69,15 +69,16 @@ def neighbours(grid: DataFrame, data: DataFrame, values: Sequence[str], *keys: s
     return joined.select(*keys, "epoch", F.coalesce("p", "before").alias("prev"), F.coalesce("n", "after").alias("next"))
 
 
-def align(grid: DataFrame, data: DataFrame, values: Sequence[str], method: str | None, *keys: str, time: str = "epoch", fills: dict | None = None, limit: str | None = None, order: int | None = None) -> DataFrame:
+def align(grid: DataFrame, data: DataFrame, values: Sequence[str], method: str | None, *keys: str, time: str = "epoch", fills: dict | None = None, limit: str | None = None, limit_rows: int | None = None, order: int | None = None) -> DataFrame:
     """``grid`` with ``values`` by ``method``: None (equal times only), ffill, bfill, nearest, zero, linear (slinear), quadratic, cubic or polynomial.
 
     ``fills``: what unmatched grid rows get instead of null with equal times. Nearest prefers the earlier row of two
     equally far ones. Zero is the row before, and like linear needs rows on both sides. Polynomial is a spline of ``order``; splines pass
-    over missing values, see :func:`skyframe.operators.splines.interpolated`. ``limit``: the rows used may be that far away at most; splines use them all.
+    over missing values, see :func:`skyframe.operators.splines.interpolated`. ``limit``: the rows used may be that far away at most; splines use them all. ``limit_rows``: ffill and bfill
+    serve so many grid rows beyond each data row at most.
     """
     if method in ORDERS or method == "polynomial":
-        if limit:
+        if limit or limit_rows:
             raise ValueError("splines have no limit")
         if method == "polynomial" and order is None:
             raise ValueError("a polynomial needs an order")
@@ -91,6 +92,15 @@ def align(grid: DataFrame, data: DataFrame, values: Sequence[str], method: str |
     if limit:
         far = F.expr(f"interval {limit}")
         near = near.withColumns({"prev": F.when(F.col("prev.t") + far >= F.col("epoch"), F.col("prev")), "next": F.when(F.col("next.t") - far <= F.col("epoch"), F.col("next"))})
+    if limit_rows is not None:
+        side = {"ffill": "prev", "pad": "prev", "bfill": "next", "backfill": "next"}.get(method)
+        if side is None:
+            raise ValueError("only ffill and bfill are limited in rows")
+        # places on the grid that one data row serves, the nearest first; one at its very time does not count
+        served = Window.partitionBy(*keys, f"{side}.t").orderBy(F.col("epoch") if side == "prev" else F.desc("epoch"))
+        beyond = F.col(side).isNotNull() & (F.col("epoch") != F.col(f"{side}.t"))
+        near = near.withColumn("__served", F.sum(beyond.cast("int")).over(served.rowsBetween(Window.unboundedPreceding, 0)))
+        near = near.withColumn(side, F.when(~beyond | (F.col("__served") <= limit_rows), F.col(side))).drop("__served")
     micros = lambda a, b: F.timestamp_diff("MICROSECOND", a, b)
     back, ahead = micros(F.col("prev.t"), F.col("epoch")), micros(F.col("epoch"), F.col("next.t"))
 

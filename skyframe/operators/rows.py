@@ -77,12 +77,48 @@ def without_prefix(df: DataFrame, prefix: str) -> DataFrame:
     return rename(df, {c: c.rpartition(prefix)[2] for c in df.columns if prefix in c})
 
 
-def concat(*parts: DataFrame) -> DataFrame:
-    """All rows of all parts; columns that a part lacks are null."""
+def concat(*parts: DataFrame, start: str | None = None, stop: str | None = None, time: str = "epoch") -> DataFrame:
+    """All rows of all parts; columns that a part lacks are null. With ``start`` or ``stop`` only rows of that range, the stop excluded, are taken."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    if start is not None:
+        out = out.where(F.col(time) >= F.lit(start).cast("timestamp_ntz"))
+    return out if stop is None else out.where(F.col(time) < F.lit(stop).cast("timestamp_ntz"))
+
+
+def assign_values(df: DataFrame, name: str, values: Sequence, dims: Sequence[int] = ()) -> DataFrame:
+    """Sets a column to one nested value for all rows; no values give missing ones and a warning, another shape than ``dims`` is a ValueError."""
+    if not len(values):
+        warnings.warn(f"{name} has no values", stacklevel=2)
+        return df.withColumn(name, F.lit(float("nan")))
+
+    def shape(x) -> tuple[int, ...]:
+        if not isinstance(x, (list, tuple)):
+            return ()
+        inner = {shape(i) for i in x}
+        if len(inner) > 1:
+            raise ValueError(f"{name} is ragged")
+        return (len(x), *next(iter(inner), ()))
+
+    if dims and shape(values) != tuple(dims):
+        raise ValueError(f"{name} has the shape {shape(values)}, not {tuple(dims)}")
+    return df.withColumn(name, F.lit(values))
+
+
+def variables(df: DataFrame, time: str = "epoch") -> list[str]:
+    """All columns but the time."""
+    return [c for c in df.columns if c.lower() != time.lower()]
+
+
+def same(one: DataFrame, other: DataFrame) -> bool:
+    """Whether two tables have the same columns, types, column metadata and rows, in any order; rows that repeat count."""
+    kinds = [sorted((f.name, f.dataType.simpleString(), str(sorted(f.metadata.items()))) for f in x.schema) for x in (one, other)]
+    if kinds[0] != kinds[1]:
+        return False
+    other = other.select(*one.columns)
+    tally = [x.groupBy(*x.columns).agg(F.count(F.lit(1)).alias("__n")) for x in (one, other)]
+    return tally[0].exceptAll(tally[1]).isEmpty() and tally[1].exceptAll(tally[0]).isEmpty()
 
 
 def time_problems(df: DataFrame, *keys: str, time: str = "epoch", order: Sequence[str] = ()) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.functions.time import resolution
+from skyframe.functions.time import least_step
 from skyframe.meta import Meta, default_fill
 from skyframe.operators import align, chunks
 from skyframe.sources.archive import Catalog, FileBounds
@@ -288,16 +288,16 @@ class Constellation:
         """One row per time of a regular grid over the members' shared range, with all variables of all members.
 
         Texts and other values that cannot be interpolated take the nearest row where ``method`` interpolates. Unmatched
-        rows get the fill value of the variable's metadata where ``method`` is None. Without a ``step`` the grid is as coarse
-        as the member with the least resolution. Members without rows count for nothing; without any common time there
+        rows get the fill value of the variable's metadata where ``method`` is None. Without a ``step`` the grid is as fine
+        as the finest step of any member. Labels of variables go along, as :meth:`meta` has them. Members without rows count for nothing; without any common time there
         are no rows.
         """
         loaded = self.load(spark, start, stop)
         names = self.column_names(loaded)
         low, high = align.shared_range(list(loaded.values()), overlap=overlap)
         if step is None:
-            seconds = [r["resolution"] for df in loaded.values() for r in resolution(df, "epoch").collect()]
-            step = f"{max((round(s * 1e6) for s in seconds if s), default=86_400_000_000)} microseconds"
+            seconds = [least_step(df, "epoch").first()[0] for df in loaded.values()]
+            step = f"{min((round(s * 1e6) for s in seconds if s), default=86_400_000_000)} microseconds"
         if low is None:
             grid = spark.range(0).select(F.lit(None).cast("timestamp_ntz").alias("epoch"))
         else:
@@ -313,6 +313,58 @@ class Constellation:
                     fills = {k: None if isinstance(v, float) and math.isnan(v) else v for k, v in fills.items()}
                     got = align.align(grid, df, values, how, fills=fills, order=order)
                     out = out.join(got.select("epoch", *[F.col(v).alias(names[key, v]) for v in values]), "epoch", "left")
+        return self.meta(loaded).attach(out)
+
+    def meta(self, loaded: dict[str, DataFrame]) -> Meta:
+        """Labels of all members' variables under their names side by side; the header says what the members have in common."""
+        out, names = Meta(header={k: v for k, v in self.attributes().items() if v}), self.column_names(loaded)
+        for key, df in loaded.items():
+            for name, labels in Meta.of(df).to_dict().items():
+                if (key, name) in names:
+                    out[names[key, name]] = labels
+        return out
+
+    def distinct(self, attribute: str) -> list:
+        """The members' different values of an attribute, in the order of the members."""
+        return list(dict.fromkeys(getattr(m, attribute) for m in self.members))
+
+    def attributes(self) -> dict[str, str | None]:
+        """Names of all members joined by ``_``, the lowest clean level and the longest pad."""
+        out: dict[str, str | None] = {a: "_".join(x for x in self.distinct(a) if x) for a in ("platform", "name", "tag", "inst_id")}
+        levels = self.distinct("clean_level")
+        out["clean_level"] = max(levels, key=CLEAN_LEVELS.index) if levels else None
+        out["pad"] = max((p for p in self.distinct("pad") if p), key=pd.Timedelta, default=None)
+        return out
+
+    def attach(self, function: Callable, *args, at: int | str = "end", members: bool = False, **kwargs) -> Constellation:
+        """A copy whose load also runs ``function`` on all loaded members by key; with ``members``, whose every member's load runs it on its rows."""
+        if members:
+            return replace(self, members=tuple(m.attach(function, *args, at=at, **kwargs) for m in self.members))
+        queue = list(self.custom)
+        queue.insert(len(queue) if at == "end" else int(at), (function, args, kwargs))
+        return replace(self, custom=tuple(queue))
+
+    def cleared(self) -> Constellation:
+        """A copy without steps, its own and its members'."""
+        return replace(self, custom=(), members=tuple(m.cleared() for m in self.members))
+
+    def empty(self, loaded: dict[str, DataFrame]) -> bool:
+        """Whether no member has rows."""
+        return all(df.isEmpty() for df in loaded.values())
+
+    def empty_partial(self, loaded: dict[str, DataFrame]) -> bool:
+        """Whether some member has no rows; so has a constellation without members."""
+        return not loaded or any(df.isEmpty() for df in loaded.values())
+
+    def drop(self, loaded: dict[str, DataFrame], names: str | Sequence[str]) -> dict[str, DataFrame]:
+        """``loaded`` without variables, by plain name (of every member that has it) or by the name that ends in a member's key; KeyError where none has it."""
+        side, out = self.column_names(loaded), dict(loaded)
+        for name in [names] if isinstance(names, str) else names:
+            hits = [(k, c) for (k, c), s in side.items() if name in (c, s)]
+            if not hits:
+                raise KeyError(name)
+            for k, c in hits:
+                out[k] = out[k].drop(c)
         return out
 
 
@@ -328,6 +380,16 @@ class Registry:
             raise ValueError(f"{instrument.key} is registered")
         self._known[at] = instrument
 
+    def register_module(self, module, *, overwrite: bool = False) -> int:
+        """Registers every instrument that a module names in its own scope; gives how many. A ValueError if one is known, and then none is registered."""
+        found = [x for n, x in vars(module).items() if isinstance(x, Instrument) and not n.startswith("_")]
+        trial = Registry()
+        trial._known = dict(self._known)
+        for instrument in found:
+            trial.register(instrument, overwrite=overwrite)
+        self._known = trial._known
+        return len(found)
+
     def get(self, platform: str, name: str, tag: str = "", inst_id: str = "") -> Instrument:
         return self._known[tuple(x.lower() for x in (platform, name, tag, inst_id))]
 

@@ -123,7 +123,7 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, round(avg(value), 6) AS mean, count(value) AS n FROM events GROUP BY 1, 2""")
 def streamed_daily_means(spark, d):
     s = _stream(spark, d).withColumnRenamed("ts", "epoch")
-    done = windows.run_once(windows.chunk_means(s, "value", "event_type"), f"means_{uuid.uuid4().hex[:8]}", "complete")
+    done = windows.run_once(windows.chunk_means(s, "value", "event_type"), "means", "complete")
     return done.select("start", "event_type", F.round("mean", 6).alias("mean"), "n")
 
 
@@ -132,7 +132,7 @@ SELECT TIMESTAMP '2024-01-01' + to_days(CAST(7 * (date_diff('day', DATE '2024-01
 FROM events GROUP BY 1""")
 def streamed_weekly_means(spark, d):
     s = _stream(spark, d).withColumnRenamed("ts", "epoch")
-    done = windows.run_once(windows.chunk_means(s, "value", width="7 days", start="2024-01-01"), f"weeks_{uuid.uuid4().hex[:8]}", "complete")
+    done = windows.run_once(windows.chunk_means(s, "value", width="7 days", start="2024-01-01"), "weeks", "complete")
     return done.select("start", F.round("mean", 6).alias("mean"), "n")
 
 
@@ -142,7 +142,7 @@ s AS (SELECT user_id, ts, sum(brk) OVER (PARTITION BY user_id ORDER BY ts) AS se
 SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, session""")
 def streamed_sessions(spark, d):
     s = _stream(spark, d).withColumnRenamed("ts", "epoch")
-    done = windows.run_once(windows.gap_session_counts(s, "12 hours", "user_id"), f"sessions_{uuid.uuid4().hex[:8]}", "complete")
+    done = windows.run_once(windows.gap_session_counts(s, "12 hours", "user_id"), "sessions", "complete")
     return done.select("user_id", "start", "n")
 
 
@@ -152,10 +152,26 @@ WHERE (ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-07') OR (ts >= T
 def streamed_seasons(spark, d):
     s = chunks.with_chunks(_stream(spark, d).withColumnRenamed("ts", "epoch"), chunks.Bounds.of(["2024-01-02", "2024-01-15"], ["2024-01-06", "2024-01-20"]))
     means = s.groupBy("chunk_id", "event_type").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
-    done = windows.run_once(means, f"seasons_{uuid.uuid4().hex[:8]}", "complete")
+    done = windows.run_once(means, "seasons", "complete")
     return done.select("chunk_id", "event_type", F.round("mean", 6).alias("mean"), "n")
 
 
+@query("""
+WITH a AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS epoch, max(value) AS value FROM events WHERE event_type = 'click' GROUP BY 1),
+b AS (SELECT time_bucket(INTERVAL 2 HOUR, ts)::TIMESTAMP AS epoch, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY 1),
+s AS (SELECT min(step) AS step FROM (SELECT epoch - lag(epoch) OVER (ORDER BY epoch) AS step FROM a UNION ALL SELECT epoch - lag(epoch) OVER (ORDER BY epoch) FROM b)),
+r AS (SELECT greatest((SELECT min(epoch) FROM a), (SELECT min(epoch) FROM b)) AS lo, least((SELECT max(epoch) FROM a), (SELECT max(epoch) FROM b)) AS hi),
+g AS (SELECT unnest(generate_series(lo, hi, step)) AS epoch FROM r, s)
+SELECT g.epoch, x.value AS value_events_click, y.value AS value_events_view FROM g ASOF LEFT JOIN a x ON g.epoch >= x.epoch ASOF LEFT JOIN b y ON g.epoch >= y.epoch""")
+def constellation_at_the_finest_step(spark, d):
+    def by_hours(n: int):
+        hour = F.timestamp_add("HOUR", F.floor(F.hour("epoch") / n).cast("int") * n, F.col("epoch").cast("date").cast("timestamp_ntz"))
+        return lambda df: df.groupBy(hour.alias("epoch")).agg(F.max("value").alias("value"))
+
+    members = (_event_instrument(d, "click", preprocess=by_hours(1)), _event_instrument(d, "view", preprocess=by_hours(2)))
+    return Constellation(members).to_frame(spark, method="ffill")
+
+
 _PADDED_SQL = """
 WITH c AS (SELECT unnest(range(12)) AS k), b AS (SELECT k, TIMESTAMP '2024-01-02' + to_days(CAST(2 * k AS INTEGER)) AS a FROM c),
 p AS (
@@ -184,7 +200,7 @@ EVENT_SCHEMA = "event_id long, user_id long, event_type string, value double, ep
 @query(CYCLIC_SCAN + "SELECT event_id, user_id, orbit FROM o")
 def streamed_cyclic_orbits(spark, d):
     found = orbits.cyclic_orbits(_late_stream(spark, d), "value", SPAN, "user_id", period=PERIOD_S, ties=("event_id",), late="14 days", close_after="30 days")
-    done = windows.run_once(found, f"orbits_{uuid.uuid4().hex[:8]}", stateful=True)
+    done = windows.run_once(found, "orbits", stateful=True)
     return done.where("user_id >= 0").select("event_id", "user_id", "orbit")
 
 
@@ -197,7 +213,7 @@ def streamed_padded_chunks(spark, d):
     clicks = _late_stream(spark, d).where("event_type IN ('click', 'end')")
     bounds = chunks.Bounds.of("2024-01-02", "2024-01-26", "2D", "3D")
     found = stream_chunks.per_chunk(clicks, bounds, prior, "event_id long, prior double", "user_id", pad="6 hours", ties=("event_id",), late="14 days")
-    return windows.run_once(found, f"chunks_{uuid.uuid4().hex[:8]}", stateful=True)
+    return windows.run_once(found, "chunks", stateful=True)
 
 
 # --- files -----------------------------------------------------------------------------------------------------------

@@ -335,6 +335,22 @@ def aligned_exact(spark, d):
     return align.align(grid, o, ["n"], None, fills={"n": -1})
 
 
+@query("SELECT min(step) AS resolution FROM (SELECT (epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY ts))) / 1e6 AS step FROM events)")
+def least_resolution(spark, d):
+    return times.least_step(events(spark, d), "epoch")
+
+
+@query("""
+WITH d AS (SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS t, max(value) AS value FROM events GROUP BY 1, 2),
+g AS (SELECT event_type, unnest(generate_series(min(t), max(t), INTERVAL 15 MINUTE)) AS epoch FROM d GROUP BY 1),
+n AS (SELECT g.event_type, g.epoch, d.t, d.value FROM g ASOF LEFT JOIN d ON g.event_type = d.event_type AND g.epoch >= d.t)
+SELECT event_type, epoch, CASE WHEN row_number() OVER (PARTITION BY event_type, t ORDER BY epoch) <= 3 THEN value END AS value FROM n""")
+def aligned_forward_some_rows(spark, d):
+    hour = F.timestamp_add("HOUR", F.hour("epoch"), F.col("epoch").cast("date").cast("timestamp_ntz"))
+    data = events(spark, d).groupBy("event_type", hour.alias("epoch")).agg(F.max("value").alias("value"))
+    return align.align(align.time_grid(data, "15 minutes", "event_type"), data, ["value"], "ffill", "event_type", limit_rows=2)
+
+
 #: The greatest value of every type in each three hours, and a grid of hours over each type's record.
 THREE_HOURS = "SELECT event_type, time_bucket(INTERVAL 3 HOUR, ts)::TIMESTAMP AS t, max(value) AS y FROM events GROUP BY 1, 2"
 HOURS = "SELECT event_type, unnest(generate_series(min(t), max(t), INTERVAL 1 HOUR)) AS epoch FROM p GROUP BY 1"

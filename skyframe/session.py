@@ -34,6 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[0]
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if the session is still there."""
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001 - the session may have ended before the interpreter
+        return
+
+
 def is_floating(kind: T.DataType) -> bool:
     return isinstance(kind, (T.DoubleType, T.FloatType))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skyframe.session import shared_dir
+from skyframe.session import remove, shared_dir
 
 
 def timed(stream: DataFrame, time: str, late: str) -> DataFrame:
@@ -55,10 +58,12 @@ def run_once(result: DataFrame, name: str, mode: str = "append", *, stateful: bo
     """Runs a stream over what its source has now into Parquet files, in the folder that ``spark.checkpoint.dir`` names.
 
     A complete result is written anew with each batch; a source without data gives an empty table. ``stateful`` streams keep their state in
-    RocksDB. Where the setting is unset and Spark is local, a temporary folder serves.
+    RocksDB. Each run begins anew, in a folder of its own that goes with the session; one that goes on from run to run is a
+    :class:`skyframe.streaming.ingest.Follower`. Where the setting is unset and Spark is local, a temporary folder serves.
     """
     spark = result.sparkSession
-    at = f"{shared_dir(spark)}/{name}"
+    at = f"{shared_dir(spark)}/skyframe-stream-{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(remove, spark, at)
 
     def written(batch: DataFrame, number: int) -> None:
         # a batch that is run again writes the same folder

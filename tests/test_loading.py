@@ -46,9 +46,9 @@ def test_constellations_with_little_to_align(spark):
     assert Constellation((empty,)).to_frame(spark, step="1 hour").count() == 0
     got = Constellation((a, empty)).to_frame(spark, step="1 hour", method="ffill").orderBy("epoch").collect()
     assert [(r["value_t_a"], r["value_t_c"]) for r in got] == [(1.0, None)] * 3
-    # the least resolution: two hours
+    # the finest step of any member: half an hour
     fine = instrument("d", ["2024-01-01", "2024-01-01 00:30:00", "2024-01-01 02:00:00"])
-    assert Constellation((a, fine)).to_frame(spark, method="ffill").count() == 2
+    assert Constellation((a, fine)).to_frame(spark, method="ffill").count() == 5
 
 
 def test_limits_of_alignment(spark):
