@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from skyframe.meta import KEY, Meta
 
 # How many of each unit make one of the base unit of its kind. Densities too are counted physically: one
 # per cubic centimetre is 1e6 per cubic metre, so a number in m-3 is 1e-6 of itself in cm-3.
@@ -65,6 +69,22 @@ def replace_fill(df: DataFrame, fills: dict[str, float | None], new: float | str
     return df.withColumns(out)
 
 
+def replace_labelled_fill(df: DataFrame, names: Sequence[str] | None = None, new: float | str | None = math.nan) -> DataFrame:
+    """Replaces the fill values that columns' labels name (all labelled columns without ``names``) by ``new``, and says so in the labels.
+
+    A column whose label names no fill stays. ``new`` is cast to the column's type; NaN is null where that is not floating.
+    """
+    meta = Meta.of(df)
+    asked = [c for c in (df.columns if names is None else names) if (fill := df.schema[c].metadata.get(KEY, {}).get("fill")) is not None and fill != ""]
+    out, said = df, {}
+    for c in asked:
+        kind = df.schema[c].dataType
+        value = None if isinstance(new, float) and math.isnan(new) and not isinstance(kind, (T.DoubleType, T.FloatType)) else new
+        out = replace_fill(out, {c: meta[c, "fill"]}, value)
+        said[c] = meta[c] | {"fill": value}
+    return Meta(said, meta.header).attach(out)
+
+
 def common_axis(spans: list[tuple[float, float, int]], *, overlap: bool = True) -> list[float]:
     """One regular axis for several given as (low, high, number of points): their overlap or hull, at the finest mean step."""
     low = (max if overlap else min)(s[0] for s in spans)

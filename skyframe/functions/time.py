@@ -91,6 +91,16 @@ def least_step(df: DataFrame, time: str) -> DataFrame:
     return days.select(F.least("step", over).alias("step")).agg((F.min("step") / 1e6).alias("resolution"))
 
 
+def median_step(df: DataFrame, variable: str, *keys: str, order: tuple[str, ...] = ("epoch",)) -> DataFrame:
+    """Median of the differences of successive values by ``keys`` (instrument and day, as a rule); missing values give no difference."""
+    from pyspark.sql.window import Window
+
+    c = F.col(variable).cast("double")
+    value = F.when(~F.isnan(c), c)
+    step = value - F.lag(value).over(Window.partitionBy(*keys).orderBy(*order))
+    return df.select(*keys, step.alias("__step")).groupBy(*keys).agg(F.median("__step").alias("median_step"))
+
+
 def at_most_daily(cadence: str) -> bool:
     """Whether files of a cadence such as ``1D`` or ``90min`` come each day or more often; months and years do not."""
     m = re.fullmatch(r"\s*\d*\s*([A-Za-z]+)\s*", cadence)

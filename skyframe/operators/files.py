@@ -112,6 +112,33 @@ def first_of_each_time(files: DataFrame, *keys: str) -> DataFrame:
     return files.groupBy(*keys, "file_time").agg(F.min("file_name").alias("file_name"))
 
 
+def unique_times(files: DataFrame, *keys: str) -> bool:
+    """Whether every time has one file only; files without a time do not count."""
+    return files.where("file_time IS NOT NULL").groupBy(*keys, "file_time").count().where("count > 1").isEmpty()
+
+
+def without_folder(files: DataFrame, folder: str, name: str = "file_name") -> DataFrame:
+    """Names without a leading folder; others stay."""
+    lead = folder.rstrip("/") + "/"
+    return files.withColumn(name, F.when(F.startswith(name, F.lit(lead)), F.substr(F.col(name), F.lit(len(lead) + 1))).otherwise(F.col(name)))
+
+
+def listed_range(files: DataFrame, listing: str, *keys: str) -> DataFrame:
+    """``first_time`` and ``last_time`` as a list has them: the times of its first and last file by ``listing``, whatever lies between."""
+    timed = F.struct(listing, "file_time")
+    ends = files.where("file_time IS NOT NULL").groupBy(*keys).agg(F.min(timed).alias("a"), F.max(timed).alias("b"))
+    return ends.select(*keys, F.col("a.file_time").alias("first_time"), F.col("b.file_time").alias("last_time"))
+
+
+def made_up(spark: SparkSession, template: Template, start: str, stop: str, cadence: str = "1 day", shift: str = "0 seconds") -> DataFrame:
+    """The catalog of an archive that is whole from ``start`` to ``stop``: a file for every time, named by the template; ``shift`` moves the times, not the names."""
+    days = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("timestamp_ntz"), F.lit(stop).cast("timestamp_ntz"), F.expr(f"interval {cadence}"))).alias("t"))
+    parts = {"year": F.year("t"), "month": F.month("t"), "day": F.dayofmonth("t") if "month" in template.fields else F.dayofyear("t"), "hour": F.hour("t"), "minute": F.minute("t"), "second": F.second("t").cast("int")}
+    pattern = _FIELD.sub(lambda m: f"%0{int(m[2] or 1)}d", template.text.replace("%", "%%"))
+    name = F.format_string(pattern, *[parts.get(f, F.lit(1)) for f in template.fields])
+    return days.select(name.alias("file_name"), (F.col("t") + F.expr(f"interval {shift}")).alias("file_time"))
+
+
 def daily(files: DataFrame, cadence: str) -> DataFrame:
     """One row per file and day until the next file is due; the row's name carries the day."""
     day = F.explode(F.sequence(F.col("file_time"), F.col("file_time") + F.expr(f"interval {cadence}") - F.expr("interval 1 day"), F.expr("interval 1 day")))

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.functions.arrays import to_long
+from skyframe.functions.arrays import element, to_long
 from skyframe.meta import Meta
 from skyframe.operators import axes, chunks, files
 from skyframe.operators import orbits as batch_orbits
 from skyframe.plans.instrument import Constellation, Cursor, Instrument
-from skyframe.session import shared_dir
+from skyframe.session import scratch
 from skyframe.sources.archive import Archive, FileBounds
 from skyframe.plans.orbit_record import OrbitRecord
 from skyframe.plans.queries import CYCLIC_SCAN, PERIOD_S, SPAN
@@ -181,7 +180,7 @@ p AS (
 
 def _late_stream(spark: SparkSession, d: str) -> DataFrame:
     """All events as a stream of five files, a week each; every 13th event of a week comes with the week after. Two more, of user -1, move time on."""
-    at = f"{shared_dir(spark)}/skyframe-late-{uuid.uuid4().hex[:12]}"
+    at = scratch(spark, "late")
     e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp_ntz").alias("epoch"))
     week = F.floor(F.datediff(F.col("epoch").cast("date"), F.lit("2024-01-01").cast("date")) / 7)
     dealt = e.withColumn("file", week + F.when(F.col("event_id") % 13 == 0, 1).otherwise(0))
@@ -223,7 +222,7 @@ EVENT_FILES = files.Template("events_{year:04d}_{day:03d}_v{version:02d}.dat")
 
 def _event_files(spark: SparkSession, d: str, format: str = "parquet", **options) -> Instrument:
     """All events as a file for each day, the first ten days in a second version with doubled values; an empty folder is tried first."""
-    at = f"{shared_dir(spark)}/skyframe-archive-{uuid.uuid4().hex[:12]}"
+    at = scratch(spark, "archive")
     archive = Archive((f"{at}/none", f"{at}/events"), EVENT_FILES, format, EVENT_SCHEMA, {"header": "true"} if format == "csv" else {})
     e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp_ntz").alias("epoch"))
     archive.write(e, folder=f"{at}/events", version=1)
@@ -237,7 +236,7 @@ _FILE_SQL = "SELECT event_id, user_id, event_type, ts AS epoch, CASE WHEN ts < T
 @query(f"SELECT event_id, value, format('events_2024_{{:03d}}_v{{:02d}}.dat', n + 1, CASE WHEN n < 10 THEN 2 ELSE 1 END) AS file_name FROM ({_FILE_SQL})")
 def reissued_files(spark, d):
     """A first batch of all days in version 1; a second one of ten days in version 2, and of days in version 0, which come too late."""
-    at = f"{shared_dir(spark)}/skyframe-followed-{uuid.uuid4().hex[:12]}"
+    at = scratch(spark, "followed")
     archive = Archive((f"{at}/events",), EVENT_FILES, schema=EVENT_SCHEMA)
     follower = Follower(archive, f"{at}/table")
     e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp_ntz").alias("epoch"))
@@ -387,3 +386,13 @@ def profiles_of_one_size(spark, d):
     held = items.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "q"))), lambda r: r["q"]).alias("profile"))
     held = Meta({"profile": {"fill": -9.0}}).attach(held)
     return to_long(axes.equal_sizes(held, ["profile"]), "profile", ["place"], "l_orderkey")
+
+
+@query("""
+WITH p AS (SELECT l_orderkey, l_linenumber, min({'q': CAST(l_quantity AS DOUBLE), 'p': CAST(l_extendedprice / 997 AS DOUBLE), 'd': CAST(l_discount * 100 AS DOUBLE)}) AS v FROM lineitem GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM p)
+SELECT l_orderkey, max(CASE WHEN i = 2 THEN v.p END) AS second, max(CASE WHEN i = 1 THEN v.d END) AS first FROM r GROUP BY 1""")
+def nested_elements(spark, d):
+    members = _profiles(spark, d)
+    both = members[0].unionByName(members[1])
+    return both.select("l_orderkey", element(both, "density", 1, 1).alias("second"), element(both, "density", 0, 2).alias("first"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import timedelta
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skyframe.operators.chunks import Bounds
 from skyframe.plans.instrument import Instrument
-from skyframe.session import shared_dir
+from skyframe.session import scratch
 from skyframe.sources.archive import FileBounds
 
 
@@ -41,7 +40,7 @@ class OrbitRecord:
         rows = instrument.load(spark) if bounds is None else instrument.iterate(spark, bounds).drop("chunk_id", "chunk_start", "in_chunk")
         place = F.struct("epoch", *ties)
         index = rule(rows).groupBy(*keys, "orbit").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n"))
-        at = at or f"{shared_dir(spark)}/skyframe-orbits-{uuid.uuid4().hex[:12]}"
+        at = at or scratch(spark, "orbits")
         index.write.mode("overwrite").parquet(at)
         return cls(instrument, spark.read.schema(index.schema).parquet(at), tuple(keys), tuple(ties))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skyframe.functions import arrays, coords
 from skyframe.functions import time as times
+from skyframe.meta import Meta
 from skyframe.operators import align, chunks, files, orbits, rows
 from skyframe.sources import synthetic
 
@@ -434,6 +435,34 @@ def new_files(spark, d):
     return files.new_files(all_of, all_of.where("substr(file_name, 5, 4) < '1997'"))
 
 
+@query(f"""
+WITH f AS (SELECT o_custkey % 25 AS list, o_orderkey, {NAMES} AS file_name, date_trunc('day', o_orderdate)::TIMESTAMP AS file_time FROM orders)
+SELECT list, arg_min(file_time, o_orderkey) AS first_time, arg_max(file_time, o_orderkey) AS last_time FROM f GROUP BY 1""")
+def listed_ranges(spark, d):
+    o = table(spark, d, "orders")
+    name = F.concat(F.lit("remote/obs_"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_v"), F.col("o_orderkey") % 3, F.lit("_r"), F.col("o_custkey") % 2, F.lit(".nc"))
+    listed = files.without_folder(o.select((F.col("o_custkey") % 25).alias("list"), "o_orderkey", name.alias("file_name")), "remote/")
+    return files.listed_range(files.parse_names(listed, OBS), "o_orderkey", "list")
+
+
+@query("""
+WITH d AS (SELECT unnest(generate_series((SELECT min(o_orderdate)::DATE FROM orders), (SELECT max(o_orderdate)::DATE FROM orders), INTERVAL 1 DAY))::TIMESTAMP AS file_time)
+SELECT strftime(file_time, 'obs_%Y_%j.nc') AS file_name, file_time FROM d WHERE file_time NOT IN (SELECT date_trunc('day', o_orderdate)::TIMESTAMP FROM orders WHERE o_custkey % 3 = 0)""")
+def files_that_a_whole_archive_has(spark, d):
+    whole = table(spark, d, "orders").select(F.min("o_orderdate").cast("date").cast("string"), F.max("o_orderdate").cast("date").cast("string")).first()
+    held = table(spark, d, "orders").where("o_custkey % 3 = 0").select(F.concat(F.lit("obs_"), F.date_format("o_orderdate", "yyyy_DDD"), F.lit(".nc")).alias("file_name")).distinct()
+    template = files.Template("obs_{year:04d}_{day:03d}.nc")
+    return files.to_download(files.made_up(spark, template, *whole), files.parse_names(held, template)).select("file_name", "file_time")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity = 7 THEN -1.0 ELSE CAST(l_quantity AS DOUBLE) END AS quantity, CASE WHEN l_suppkey = 3 THEN NULL ELSE l_suppkey END AS supplier FROM lineitem""")
+def fills_of_labels(spark, d):
+    rows_of = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("quantity"), F.col("l_suppkey").alias("supplier"))
+    first = coords.replace_labelled_fill(Meta({"quantity": {"fill": 7.0}}).attach(rows_of), ["quantity"], -1.0)
+    return coords.replace_labelled_fill(Meta({"supplier": {"fill": 3}}).attach(first), ["supplier"])
+
+
 #: Names of blocks of no fixed width, some of which fit no template: a priority with a run of delimiters, and a day that is none.
 LOOSE = "concat('in', o_custkey % 3, '_', CAST(year(o_orderdate) AS VARCHAR(4)), CASE WHEN o_orderkey % 7 = 0 THEN '__' ELSE '_' END, CAST(month(o_orderdate) AS VARCHAR(2)), '_', CAST(CASE WHEN o_orderkey % 11 = 0 THEN 32 ELSE day(o_orderdate) END AS VARCHAR(2)), '_', o_orderstatus, lower(substr(o_orderpriority, 3, 3)), CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '_rev' END, CAST(o_orderkey % 40 AS VARCHAR(2)), '_x.dat')"
 LOOSE_NAMES = files.Template("*_{year:d}_{month:d}_{day:d}_{kind:1s}{order_class:s}_rev{rev_no:d}_*", delimiter="_")
@@ -581,6 +610,19 @@ def cyclic_orbits_over_midnight(spark, d):
     return spans.where(F.col("first_time").cast("date") < F.col("last_time").cast("date"))
 
 
+@query(CYCLIC_SCAN + "SELECT o.user_id, o.orbit, round(avg(e.value), 6) AS mean, max(e.value) AS most, count(*) AS n FROM o JOIN events e USING (event_id) GROUP BY 1, 2")
+def means_of_orbits(spark, d):
+    return _cyclic(spark, d).groupBy("user_id", "orbit").agg(F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most"), F.count("*").alias("n"))
+
+
+@query("""
+WITH s AS (SELECT user_id, CAST(ts AS DATE) AS day, value - lag(value) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS step FROM events)
+SELECT user_id, day, round(median(step), 6) AS median_step FROM s GROUP BY 1, 2""")
+def median_steps(spark, d):
+    e = events(spark, d).withColumn("day", F.col("epoch").cast("date"))
+    return times.median_step(e, "value", "user_id", "day", order=("epoch", "event_id")).select("user_id", "day", F.round("median_step", 6).alias("median_step"))
+
+
 @query(f"""
 WITH b AS (
   SELECT event_id, user_id, ts, CAST(ts AS DATE) AS day,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,13 @@ def remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder, which goes when the interpreter ends."""
+    at = f"{shared_dir(spark)}/skyframe-{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(remove, spark, at)
+    return at
+
+
 def is_floating(kind: T.DataType) -> bool:
     return isinstance(kind, (T.DoubleType, T.FloatType))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyframe.operators import blocks, files
-from skyframe.session import shared_dir
+from skyframe.session import scratch
 
 #: Files that one join may broadcast; more are joined as Spark sees fit.
 MAX_BROADCAST_FILES = 100_000
@@ -55,7 +55,7 @@ class Archive:
         days = blocks.keyed(found, (), "file_time")
         counts = days.groupBy(blocks.KEY, blocks.DAY).agg(F.count(F.lit(1)).alias("n"))
         table = blocks.numbered(days, ["file_time", "file_name"], counts).withColumn("file_number", F.col(blocks.RANK).cast("long")).drop(blocks.KEY, blocks.DAY, blocks.RANK)
-        at = snapshots or f"{shared_dir(spark)}/skyframe-catalog-{uuid.uuid4().hex[:12]}"
+        at = snapshots or scratch(spark, "catalog")
         files.store_snapshot(table.coalesce(1), at)
         return Catalog(self, files.load_snapshot(spark, at))
 

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skyframe.session import remove, shared_dir
+from skyframe.session import scratch
 
 
 def timed(stream: DataFrame, time: str, late: str) -> DataFrame:
@@ -62,8 +59,7 @@ def run_once(result: DataFrame, name: str, mode: str = "append", *, stateful: bo
     :class:`skyframe.streaming.ingest.Follower`. Where the setting is unset and Spark is local, a temporary folder serves.
     """
     spark = result.sparkSession
-    at = f"{shared_dir(spark)}/skyframe-stream-{name}-{uuid.uuid4().hex[:12]}"
-    atexit.register(remove, spark, at)
+    at = scratch(spark, f"stream-{name}")
 
     def written(batch: DataFrame, number: int) -> None:
         # a batch that is run again writes the same folder

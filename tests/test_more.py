@@ -8,9 +8,10 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from skyframe.functions import coords
 from skyframe.functions import time as times
 from skyframe.meta import EPOCH_TEXT, Meta
-from skyframe.operators import align, rows
+from skyframe.operators import align, files, rows
 from skyframe.plans.instrument import Constellation, Instrument, Registry
 
 T0 = datetime(2024, 1, 1)
@@ -121,3 +122,30 @@ def test_assigned_values_and_equality(spark):
     assert rows.same(df, record(spark, [10, 0])) and not rows.same(df, record(spark, [0])) and not rows.same(df, df.withColumn("x", F.lit(1)))
     assert not rows.same(record(spark, [0, 0, 1]), record(spark, [0, 1, 1])) and not rows.same(df, Meta({"value": {"units": "m"}}).attach(df))
     assert rows.concat(df, record(spark, [20, 30]), start="2024-01-01 00:10:00", stop="2024-01-01 00:30:00").count() == 2
+
+
+def test_labelled_fills(spark):
+    df = spark.createDataFrame([(1.0, -1, "a"), (-9.0, 2, ""), (math.nan, 3, None)], "x double, n int, s string")
+    held = Meta({"x": {"fill": -9.0, "units": "m"}, "n": {"fill": -1}, "s": {"fill": ""}}).attach(df)
+    out = coords.replace_labelled_fill(held)
+    assert [(None if r["x"] is None else str(r["x"]), r["n"], r["s"]) for r in out.collect()] == [("1.0", None, "a"), ("nan", 2, ""), ("nan", 3, None)]
+    assert math.isnan(Meta.of(out)["x", "fill"]) and Meta.of(out)["x", "units"] == "m"
+    again = coords.replace_labelled_fill(out, ["x"], 0.0)
+    assert [r["x"] for r in again.collect()] == [1.0, 0.0, 0.0] and Meta.of(again)["x", "fill"] == 0.0
+    assert coords.replace_labelled_fill(df).collect()[0] == (1.0, -1, "a")
+
+
+def test_median_steps(spark):
+    df = spark.createDataFrame([("a", T0, 1.0), ("a", T0 + timedelta(1), 4.0), ("a", T0 + timedelta(2), 5.0), ("a", T0 + timedelta(3), math.nan), ("b", T0, 1.0)], "k string, epoch timestamp_ntz, v double")
+    assert {r["k"]: r["median_step"] for r in times.median_step(df, "v", "k").collect()} == {"a": 2.0, "b": None}
+
+
+def test_lists_of_files(spark):
+    t = files.Template("f_{year:04d}-{month:02d}-{day:02d}_{hour:02d}.nc")
+    made = files.made_up(spark, t, "2024-02-28", "2024-03-01", "12 hours", "5 minutes").orderBy("file_time").collect()
+    assert [r["file_name"] for r in made] == [f"f_2024-{d}_{h}.nc" for d in ("02-28", "02-29", "03-01") for h in ("00", "12")][:5]
+    assert made[0]["file_time"] == datetime(2024, 2, 28, 0, 5)
+    f = spark.createDataFrame([("d/a", T0, 2), ("da", T0, 1), ("d/d/b", T0 - timedelta(1), 3), ("x", None, 0)], "file_name string, file_time timestamp_ntz, i int")
+    assert sorted(r["file_name"] for r in files.without_folder(f, "d").collect()) == ["a", "d/b", "da", "x"]
+    assert not files.unique_times(f) and files.unique_times(f.where("i > 1"))
+    assert tuple(files.listed_range(f, "i").first()) == (T0, T0 - timedelta(1))
