@@ -9,7 +9,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from skyframe.operators import blocks
 from skyframe.session import known
@@ -24,48 +24,45 @@ def _seconds(later: Column, earlier: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", earlier, later) / 1e6
 
 
+def _with_breaks(df: DataFrame, w: WindowSpec, index: str, span: float, period: float, time: str) -> DataFrame:
+    """Adds ``__break``, the time and value of a row that breaks an orbit, else null: for rows in order ``w`` with their number ``index``, value ``__v`` and typical step ``__m``."""
+    no, norm = F.lit(False), F.col("__dt") / period
+    held = df.withColumns({"__dv": F.col("__v") - F.lag("__v").over(w), "__dt": _seconds(F.col(time), F.lag(time).over(w))})
+    held = held.withColumns(
+        {
+            "__big": F.coalesce(F.col("__dv") > LARGE_STEP * F.col("__m"), no),
+            "__fits": F.coalesce(F.col("__dt") * span < F.col("__dv") * period, no),
+            "__fall": F.coalesce(F.col("__dv") < -BREAK_SHARE * F.col("__m"), no),
+            "__gap": F.coalesce(norm > 1, no) | F.coalesce((norm > F.abs("__dv") / span) & (norm > GAP_SHARE), no),
+        }
+    )
+    near = w.rowsBetween(-NEAR_ROWS, NEAR_ROWS)
+    held = held.withColumns({"__any": F.max("__big").over(near), "__ok": F.max(F.col("__big") & ~F.col("__fits")).over(near), "__alone": ~F.coalesce(F.lead("__fall").over(w), F.lit(True))})
+    confirmed = F.col("__fall") & F.col("__alone") & ((F.col(index) < NEAR_ROWS) | ~F.col("__any") | F.col("__ok"))
+    return held.withColumn("__break", F.when(F.col("__gap") | confirmed, F.struct(F.col(time).alias("t"), F.col("__v").alias("v"))))
+
+
+def _far(later: Column, earlier: Column, span: float, period: float) -> Column:
+    """The first break of all stands; one less than an orbit behind the break before it is none."""
+    ahead = _seconds(later["t"], earlier["t"]) / period - (later["v"] - earlier["v"]) / span
+    return later.isNotNull() & (earlier.isNull() | F.coalesce(ahead > ORBIT_SHARE, F.lit(False)))
+
+
 def cyclic_orbits(df: DataFrame, variable: str, span: float, *keys: str, time: str = "epoch", period: float = DEFAULT_PERIOD_S, ties: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``orbit`` (from 1 in each partition of ``keys``) by falls of a variable that rises through ``span`` per orbit.
 
     A break is a fall by more than a fifth of the median step, confirmed by the rows around it, or a gap in time about an
     orbit long; breaks too near to the one before them go. Rows with a missing variable belong to the orbit they lie in.
+    Rows are dealt and sorted once.
     """
-    order = [F.col(time), *map(F.col, ties)]
-    w = Window.partitionBy(*keys).orderBy(*order)
-    near = w.rowsBetween(-NEAR_ROWS, NEAR_ROWS)
-    v = known(F.col(variable).cast("double"))
-    steps = df.withColumns({"__i": F.row_number().over(w) - 1, "__v": v})
-    steps = steps.withColumns({"__dv": F.col("__v") - F.lag("__v").over(w), "__dt": _seconds(F.col(time), F.lag(time).over(w))})
-    whole = Window.partitionBy(*keys)
-    steps = steps.withColumns({"__m": F.median("__dv").over(whole), "__n": F.count(F.lit(1)).over(whole)})
-    no = F.lit(False)
-    big = F.coalesce(F.col("__dv") > LARGE_STEP * F.col("__m"), no)
-    fits = F.coalesce(F.col("__dt") * span < F.col("__dv") * period, no)
-    gap = F.coalesce(F.col("__dt") > period, no) | F.coalesce((F.col("__dt") / period > F.abs("__dv") / span) & (F.col("__dt") / period > GAP_SHARE), no)
-    steps = steps.withColumns(
-        {
-            "__any": F.max(big).over(near),
-            "__ok": F.max(big & ~fits).over(near),
-            "__fall": F.coalesce(F.col("__dv") < -BREAK_SHARE * F.col("__m"), no),
-            "__gap": gap,
-        }
-    )
-    marked = steps.where(F.col("__fall") | F.col("__gap"))
-    kind = Window.partitionBy(*keys, "__fall").orderBy(*order)
-    marked = marked.withColumn("__next", F.coalesce(F.lead("__i").over(kind), F.col("__n")))
-    breaks = marked.where(
-        F.col("__gap") | (F.col("__fall") & (F.col("__next") - F.col("__i") > 1) & ((F.col("__i") < NEAR_ROWS) | ~F.col("__any") | F.col("__ok")))
-    )
-    ahead = _seconds(F.col(time), F.lag(time).over(w)) / period - (F.col("__v") - F.lag("__v").over(w)) / span
-    breaks = breaks.withColumns({"__far": ahead, "__k": F.row_number().over(w)})
-    starts = breaks.where((F.col("__k") == 1) | (F.col("__far") > ORBIT_SHARE)).select(*keys, F.col("__i").alias("__b"))
-    starts = starts.where("__b > 0")
-    # a break row is found again by its number; equi-join on partition keys and number
-    numbered = df.withColumn("__i", F.row_number().over(w) - 1)
-    on = [numbered[k].eqNullSafe(starts[k]) for k in keys] + [numbered["__i"] == starts["__b"]]
-    joined = numbered.join(starts, on, "left").select(*[numbered[c] for c in numbered.columns], starts["__b"])
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
-    return joined.withColumn("orbit", 1 + F.count("__b").over(running)).drop("__i", "__b")
+    w = Window.partitionBy(*keys).orderBy(time, *ties)
+    held = df.withColumns({"__i": F.row_number().over(w) - 1, "__v": known(F.col(variable).cast("double"))})
+    held = held.withColumn("__step", F.col("__v") - F.lag("__v").over(w)).withColumn("__m", F.median("__step").over(Window.partitionBy(*keys)))
+    broken = _with_breaks(held, w, "__i", span, period, time)
+    prior = F.last("__break", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    start = _far(F.col("__break"), F.col("__prior"), span, period)
+    told = broken.withColumn("__prior", prior).withColumn("__start", start.cast("long"))
+    return told.withColumn("orbit", 1 + F.sum("__start").over(w.rowsBetween(Window.unboundedPreceding, 0))).select(*df.columns, "orbit")
 
 
 def continuous_cyclic_orbits(
@@ -85,35 +82,18 @@ def continuous_cyclic_orbits(
     # a step reaches one row back, so what lies NEAR_ROWS away needs one row more
     held = blocks.with_halo(blocks.numbered(rows, order, days), rows_per_block, NEAR_ROWS + 1)
     w = Window.partitionBy(blocks.KEY, blocks.BLOCK).orderBy(blocks.RANK)
-    no, norm = F.lit(False), F.col("__dt") / period
-    held = held.withColumns({"__dv": F.col("__v") - F.lag("__v").over(w), "__dt": _seconds(F.col(time), F.lag(time).over(w))})
-    held = held.withColumns(
-        {
-            "__big": F.coalesce(F.col("__dv") > LARGE_STEP * F.col("__m"), no),
-            "__fits": F.coalesce(F.col("__dt") * span < F.col("__dv") * period, no),
-            "__fall": F.coalesce(F.col("__dv") < -BREAK_SHARE * F.col("__m"), no),
-            "__gap": F.coalesce(norm > 1, no) | F.coalesce((norm > F.abs("__dv") / span) & (norm > GAP_SHARE), no),
-        }
-    )
-    near = w.rowsBetween(-NEAR_ROWS, NEAR_ROWS)
-    held = held.withColumns({"__any": F.max("__big").over(near), "__ok": F.max(F.col("__big") & ~F.col("__fits")).over(near), "__alone": ~F.coalesce(F.lead("__fall").over(w), F.lit(True))})
-    confirmed = F.col("__fall") & F.col("__alone") & ((F.col(blocks.RANK) < NEAR_ROWS) | ~F.col("__any") | F.col("__ok"))
-    broken = held.where(blocks.OWN).withColumn("__break", F.when(F.col("__gap") | confirmed, F.struct(F.col(time).alias("t"), F.col("__v").alias("v"))))
+    broken = _with_breaks(held, w, blocks.RANK, span, period, time).where(blocks.OWN)
     broken = broken.withColumn("__prior", F.last("__break", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-
-    def far(later: Column, earlier: Column) -> Column:
-        """The first break of all stands; one less than an orbit behind the break before it is none."""
-        return later.isNotNull() & (earlier.isNull() | F.coalesce(_seconds(later["t"], earlier["t"]) / period - (later["v"] - earlier["v"]) / span > ORBIT_SHARE, no))
-
+    far = lambda later, earlier: _far(F.col(later), earlier, span, period)
     at = F.when(F.col("__break").isNotNull(), F.col(blocks.RANK))
     ends = broken.groupBy(blocks.KEY, blocks.BLOCK).agg(
-        F.min_by("__break", at).alias("first"), F.max_by("__break", at).alias("last"), F.count_if(F.col("__prior").isNotNull() & far(F.col("__break"), F.col("__prior"))).alias("more")
+        F.min_by("__break", at).alias("first"), F.max_by("__break", at).alias("last"), F.count_if(F.col("__prior").isNotNull() & far("__break", F.col("__prior"))).alias("more")
     )
     along = Window.partitionBy(blocks.KEY).orderBy(blocks.BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("__carried", F.last("last", ignorenulls=True).over(along))
-    ends = ends.withColumn("__starts", F.col("more") + far(F.col("first"), F.col("__carried")).cast("long")).withColumn("__earlier", F.coalesce(F.sum("__starts").over(along), F.lit(0)))
+    ends = ends.withColumn("__starts", F.col("more") + far("first", F.col("__carried")).cast("long")).withColumn("__earlier", F.coalesce(F.sum("__starts").over(along), F.lit(0)))
     told = broken.join(ends.select(blocks.KEY, blocks.BLOCK, "__carried", "__earlier"), [blocks.KEY, blocks.BLOCK])
-    start = far(F.col("__break"), F.coalesce("__prior", "__carried")).cast("long")
+    start = far("__break", F.coalesce("__prior", "__carried")).cast("long")
     running = F.sum("__start").over(w.rowsBetween(Window.unboundedPreceding, 0))
     return told.withColumn("__start", start).withColumn("orbit", 1 + F.col("__earlier") + running).select(*df.columns, "orbit")
 

@@ -27,7 +27,7 @@ class Instrument:
     """A source of rows with an ``epoch``: how it is read, prepared, cleaned and changed on loading.
 
     ``read(spark)`` gives all rows lazily; selections reach its scan as filters. With a ``catalog`` instead, selections choose files,
-    and no other file is opened. ``clean`` maps each level to conditions that good rows meet. Steps take and return a DataFrame.
+    and no other file is opened. ``clean`` maps each level to conditions that good rows meet. Steps take and return a DataFrame. ``process_meta`` changes the labels of what is loaded.
     """
 
     platform: str
@@ -42,6 +42,7 @@ class Instrument:
     custom: tuple[tuple[Callable, tuple, dict], ...] = ()
     meta: Meta = field(default_factory=Meta)
     catalog: Catalog | None = None
+    process_meta: Callable[[Meta], Meta] | None = None
 
     def __post_init__(self):
         if self.clean_level not in CLEAN_LEVELS:
@@ -111,7 +112,7 @@ class Instrument:
         df = self._changed(df, ())
         if self.pad and not keep_pad:
             df = df.where((F.col("epoch") >= F.lit(start).cast("timestamp_ntz")) & (F.col("epoch") < F.lit(stop).cast("timestamp_ntz")))
-        return self.meta.attach(df.select(*columns) if columns else df)
+        return self._labelled(df.select(*columns) if columns else df)
 
     def _numbers(self, fname: str | None, stop_fname: str | None) -> tuple[int, int]:
         if fname is None:
@@ -129,7 +130,7 @@ class Instrument:
         if self.pad:
             return self.load(spark, *self.catalog.span(first, last), columns=columns, keep_pad=keep_pad)
         df = self._changed(self._cleaned(self._plain(self.catalog.read(self.catalog.between(first, last)))), ())
-        return self.meta.attach(df.select(*columns) if columns else df)
+        return self._labelled(df.select(*columns) if columns else df)
 
     @staticmethod
     def _plain(df: DataFrame) -> DataFrame:
@@ -154,6 +155,15 @@ class Instrument:
                     df = df.where(good)
         return df
 
+    def _labelled(self, df: DataFrame) -> DataFrame:
+        """``df`` with its own labels, then the instrument's, then what ``process_meta`` makes of both."""
+        if self.process_meta is None:
+            return self.meta.attach(df)
+        meta = self.process_meta(Meta.of(df).concat(self.meta))
+        if not isinstance(meta, Meta):
+            raise ValueError("process_meta must return a Meta")
+        return meta.attach(df)
+
     def _changed(self, df: DataFrame, chunk: tuple[str, ...]) -> DataFrame:
         for function, args, kwargs in self.custom:
             asks = "chunk" in inspect.signature(function).parameters
@@ -182,7 +192,7 @@ class Instrument:
             low, high = (min((a for _, a, _ in ranges), default="1970-01-01"), max((b for _, _, b in ranges), default="1970-01-01"))
             df = chunks.with_chunks(self._cleaned(self._between(spark, str(low), str(high))), bounds, pad=self.pad)
         df = self._changed(df, ("chunk_id",))
-        return self.meta.attach(df if keep_pad else df.where("in_chunk"))
+        return self._labelled(df if keep_pad else df.where("in_chunk"))
 
     def _file_chunks(self, spark: SparkSession, chosen: list[tuple[int, int, int]]) -> DataFrame:
         files = self.catalog

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from skyframe.functions import coords
+from skyframe.functions import coords, values
 from skyframe.functions import time as times
 from skyframe.meta import EPOCH_TEXT, Meta
 from skyframe.operators import align, files, rows
@@ -149,3 +149,23 @@ def test_lists_of_files(spark):
     assert sorted(r["file_name"] for r in files.without_folder(f, "d").collect()) == ["a", "d/b", "da", "x"]
     assert not files.unique_times(f) and files.unique_times(f.where("i > 1"))
     assert tuple(files.listed_range(f, "i").first()) == (T0, T0 - timedelta(1))
+
+
+def test_values(spark):
+    assert values.listed(None) == [] and values.listed("ab") == ["ab"] and values.listed([1, (2, [3]), "x"]) == [1, 2, 3, "x"] and values.listed(b"a") == [b"a"]
+    df = spark.createDataFrame([(bytearray(b"a\xc3\xa9"), [bytearray(b"x"), None], 1)], "a binary, b array<binary>, n int")
+    assert tuple(values.texts(df).first()) == ("aé", ["x", None], 1) and values.texts(df, "b").dtypes[0][1] == "binary"
+    assert values.mapped("a", {"a": 1}) == 1 and values.mapped("b", {"a": 1}) is None and values.mapped(2, lambda x: x + 1) == 3
+    kinds = spark.sql("SELECT true a, 1 b, 1.5 c, 1.5D d, 'x' e, binary('x') f, now() g, array(array(1)) h, struct(1) i").schema
+    assert "".join(values.type_code(f.dataType) for f in kinds) == "biffUSMiO"
+
+
+def test_processed_labels(spark):
+    def shout(meta):
+        meta["value", "units"] = meta["value", "units"].upper()
+        return meta
+
+    inst = Instrument("t", "a", lambda s: record(s, [0]), meta=Meta({"value": {"units": "m"}}), process_meta=shout)
+    assert Meta.of(inst.load(spark))["value", "units"] == "M"
+    with pytest.raises(ValueError):
+        Instrument("t", "a", lambda s: record(s, [0]), process_meta=lambda m: None).load(spark)
