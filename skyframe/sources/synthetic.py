@@ -42,14 +42,23 @@ def satellite(spark: SparkSession, first_day: str, days: int = 1, samples: int =
         F.col("s").cast("double").alias("dummy4"),
     )
     cols = cols.withColumns({"dummy1": F.col("mlt").cast("long"), "dummy2": (F.col("longitude") / 15).cast("long")})
-    return cols.withColumns({"dummy3": (F.col("dummy1") + 1000 * F.col("dummy2")).cast("double"), "string_dummy": F.lit("test")})
+    return cols.withColumns({"dummy3": (F.col("dummy1") + 1000 * F.col("dummy2")).cast("double"), "string_dummy": F.lit("test"), "unicode_dummy": F.lit("test"), **{f"int{n}_dummy": F.lit(1).cast(kind) for n, kind in ((8, "byte"), (16, "short"), (32, "int"), (64, "long"))}})
 
 
 def imager(spark: SparkSession, first_day: str, days: int = 1, samples: int = 864, size: int = 7, height: int = 5) -> DataFrame:
-    """The satellite every 100 seconds with nested variables: profiles (height) and images (size x size)."""
+    """The satellite every 100 seconds with nested variables: profiles with and without own heights, images (size x size) with their coordinates."""
     flat = satellite(spark, first_day, days, 86_400).where(F.col("dummy4") % 100 == 0).where(F.col("uts") / 100 < samples)
-    value = F.col("dummy3")
-    return flat.withColumns({"profiles": F.array_repeat(value, height), "images": F.array_repeat(F.array_repeat(value, size), size)})
+    value, steps = F.col("dummy3"), F.array(*[F.lit(float(i)) for i in range(size)])
+    return flat.withColumns(
+        {
+            "profiles": F.array_repeat(value, height),
+            "variable_profiles": F.array_repeat(value, height),
+            "variable_profile_height": F.array(*[F.lit(float(i)) for i in range(height)]),
+            "images": F.array_repeat(F.array_repeat(value, size), size),
+            "image_lat": F.array_repeat(steps, size),
+            "image_lon": F.array_repeat(steps, size),
+        }
+    )
 
 
 def model_grid(spark: SparkSession, day: str) -> DataFrame:
@@ -58,11 +67,31 @@ def model_grid(spark: SparkSession, day: str) -> DataFrame:
     lat = spark.range(21).select((F.col("id") * 5.0 - 50).alias("latitude"))
     lon = spark.range(72).select((F.col("id") * 5.0).alias("longitude"))
     axes = times.crossJoin(F.broadcast(lat)).crossJoin(F.broadcast(lon))  # the axes of one day's grid, not data
+    local = F.pmod(F.col("uts") / 3600.0 + F.col("longitude") / 15.0, F.lit(24.0))
     return axes.select(
-        F.timestamp_add("SECOND", F.col("uts"), F.lit(day).cast("timestamp_ntz")).alias("epoch"), "latitude", "longitude",
-        F.pmod(F.col("uts") / 3600.0 + F.col("longitude") / 15.0, F.lit(24.0)).alias("slt"),
+        F.timestamp_add("SECOND", F.col("uts"), F.lit(day).cast("timestamp_ntz")).alias("epoch"), "latitude", "longitude", local.alias("slt"), F.pmod(local + 0.2, F.lit(24.0)).alias("mlt"),
         F.pmod(F.col("uts") * F.col("latitude") * F.col("longitude"), F.lit(21.0)).alias("dummy1"),
+    )
+
+
+def model_heights(spark: SparkSession, day: str) -> DataFrame:
+    """The model field on 41 altitudes from 300 to 500 as well, which ``dummy2`` depends on."""
+    out = model_grid(spark, day).withColumn("altitude", F.explode(F.array(*[F.lit(300.0 + 5 * i) for i in range(41)])))
+    return out.withColumn("dummy2", F.pmod(F.col("dummy1") * F.col("altitude"), F.lit(21.0)))
+
+
+def model_levels(spark: SparkSession, day: str) -> DataFrame:
+    """A model every hour on 57 pressure levels, 72 latitudes and 144 longitudes: altitude (cm) and a drift that grows with the level."""
+    level, hour, row, column = (F.col(c) for c in ("level", "hour", "row", "column"))
+    n = spark.range(24 * 57 * 72 * 144).select(
+        F.floor(F.col("id") / (57 * 72 * 144)).alias("hour"), F.floor(F.col("id") / (72 * 144)).alias("level"), F.floor(F.col("id") / 144).alias("row"), (F.col("id") % 144).alias("column")
     )
+    slope = (F.pmod(row, F.lit(72)) / 71.0) * (column / 143.0)
+    level = F.pmod(level, F.lit(57))
+    return n.select(
+        F.timestamp_add("HOUR", hour, F.lit(day).cast("timestamp_ntz")).alias("epoch"), (F.pmod(row, F.lit(72)) * 2.5 - 88.75).alias("latitude"), (column * 2.5 - 180).alias("longitude"),
+        (level * 0.25 - 6.875).alias("ilev"), ((level * 10.0 + hour + slope) * 100_000).alias("altitude"), (2.0 * level * (F.sin(2 * math.pi * hour / 24) + slope)).alias("dummy_drifts"),
+    )
 
 
 def unordered(df: DataFrame) -> DataFrame:

@@ -12,7 +12,9 @@ from skyframe.functions import coords, values
 from skyframe.functions import time as times
 from skyframe.meta import EPOCH_TEXT, Meta
 from skyframe.operators import align, files, rows
+from skyframe.plans import bundled
 from skyframe.plans.instrument import Constellation, Instrument, Registry
+from skyframe.sources import synthetic
 
 T0 = datetime(2024, 1, 1)
 
@@ -169,3 +171,21 @@ def test_processed_labels(spark):
     assert Meta.of(inst.load(spark))["value", "units"] == "M"
     with pytest.raises(ValueError):
         Instrument("t", "a", lambda s: record(s, [0]), process_meta=lambda m: None).load(spark)
+
+
+def test_synthetic_records_and_bundled_instruments(spark):
+    day = synthetic.satellite(spark, "2009-01-01", samples=10)
+    assert [day.schema[f"int{n}_dummy"].dataType.simpleString() for n in (8, 16, 32, 64)] == ["tinyint", "smallint", "int", "bigint"] and day.first()["unicode_dummy"] == "test"
+    image = synthetic.imager(spark, "2009-01-01", samples=2).first()
+    assert image["image_lon"][3] == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0] and image["variable_profile_height"] == [0.0, 1.0, 2.0, 3.0, 4.0]
+    high = synthetic.model_heights(spark, "2009-01-01")
+    assert high.count() == 96 * 21 * 72 * 41
+    r = high.where("latitude = -45 AND longitude = 10 AND altitude = 305 AND epoch = timestamp_ntz'2009-01-01 01:15:00'").first()
+    assert r["dummy1"] == (4500 * -45 * 10) % 21 and r["dummy2"] == (r["dummy1"] * 305) % 21 and r["mlt"] == pytest.approx(r["slt"] + 0.2)
+    levels = synthetic.model_levels(spark, "2009-01-01")
+    r = levels.where("latitude = 88.75 AND longitude = 177.5 AND ilev = 7.125 AND epoch = timestamp_ntz'2009-01-01 06:00:00'").first()
+    assert r["altitude"] == pytest.approx((560 + 6 + 1) * 1e5) and r["dummy_drifts"] == pytest.approx(2 * 56 * 2)
+    registry = Registry()
+    assert registry.register_module(bundled) == 4 and registry.get("skyframe", "nothing") is bundled.nothing
+    assert bundled.empty.empty(bundled.empty.load(spark)) and bundled.partial.empty_partial(bundled.partial.load(spark)) and not bundled.single.empty(bundled.single.load(spark))
+    assert len(bundled.several.load(spark)) == 3
