@@ -12,6 +12,7 @@ from skyframe.functions import coords, values
 from skyframe.functions import time as times
 from skyframe.meta import EPOCH_TEXT, Meta
 from skyframe.operators import align, files, rows
+from skyframe.parameters import Parameters
 from skyframe.plans import bundled
 from skyframe.plans.instrument import Constellation, Instrument, Registry
 from skyframe.sources import synthetic
@@ -189,3 +190,23 @@ def test_synthetic_records_and_bundled_instruments(spark):
     assert registry.register_module(bundled) == 4 and registry.get("skyframe", "nothing") is bundled.nothing
     assert bundled.empty.empty(bundled.empty.load(spark)) and bundled.partial.empty_partial(bundled.partial.load(spark)) and not bundled.single.empty(bundled.single.load(spark))
     assert len(bundled.several.load(spark)) == 3
+
+
+def test_parameters(tmp_path):
+    at = str(tmp_path / "p" / "settings.json")
+    p = Parameters(at)
+    assert p["data_dirs"] == [] and p["clean_level"] == "clean" and p.folders("a", "b") == ()
+    p["data_dirs"] = "/data/"
+    p["mine"] = {"x": 1}
+    p["update_files"] = False
+    p.store()
+    again = Parameters(at)
+    assert dict(again) == dict(p) and again.folders("sat", "ivm", "t") == ("/data/sat/ivm/t",)
+    again.restore_defaults()
+    assert again["update_files"] is True and again["data_dirs"] == ["/data/"] and again["mine"] == {"x": 1}
+    del again["mine"]
+    again.clear()
+    assert len(again) == len(list(again)) == 6 and Parameters(at)["mine"] == {"x": 1}
+    for wrong, error in ((lambda: again["mine"], KeyError), (lambda: again.__delitem__("clean_level"), KeyError), (lambda: again.__setitem__("clean_level", 3), ValueError), (lambda: again.__setitem__("x", {1}), TypeError), (Parameters().store, ValueError)):
+        with pytest.raises(error):
+            wrong()
