@@ -215,6 +215,18 @@ def streamed_padded_chunks(spark, d):
     return windows.run_once(found, "chunks", stateful=True)
 
 
+@query(SQL["streamed_seasons"])
+def streamed_seasons_as_they_end(spark, d):
+    """Each chunk of the seasons once, when the watermark has passed it, whatever comes late until then."""
+
+    def mean(chunk):
+        return chunk.agg({"value": "mean"}).to_frame().T.rename(columns={"value": "mean"}).assign(n=chunk["value"].count())
+
+    seasons = chunks.Bounds.of(["2024-01-02", "2024-01-15"], ["2024-01-06", "2024-01-20"])
+    found = stream_chunks.per_chunk(_late_stream(spark, d), seasons, mean, "mean double, n long", "event_type", late="14 days")
+    return windows.run_once(found, "seasons_ended", stateful=True).select("chunk_id", "event_type", F.round("mean", 6).alias("mean"), "n")
+
+
 # --- files -----------------------------------------------------------------------------------------------------------
 
 EVENT_FILES = files.Template("events_{year:04d}_{day:03d}_v{version:02d}.dat")
