@@ -83,10 +83,27 @@ def _along(values: Column, places: Column, fill: Column, rank: int, blend: bool)
     return F.transform(places, at)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is found once, however often the body names it and wherever the optimizer moves the whole."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _inside(values: Column, depth: int, move: Callable[[Column], Column]) -> Column:
     return F.transform(values, lambda v: _inside(v, depth - 1, move)) if depth else move(values)
 
 
+def _mover(sizes: Sequence[int], fill: Column, blend: bool) -> Callable[[Column], Column]:
+    """Moves the ``values`` of a struct to its places ``p0`` and so on, one dimension after the other, the innermost first."""
+
+    def outwards(env: Column, held: Column, k: int) -> Column:
+        if k < 0:
+            return held
+        step = _inside(held, k, lambda v: _along(v, env[f"p{k}"], _filled(fill, sizes[k + 1 :]), len(sizes) - 1 - k, blend))
+        return _let(step, lambda moved: outwards(env, moved, k - 1))
+
+    return lambda env: outwards(env, env["values"], len(sizes) - 1)
+
+
 def regrid(df: DataFrame, variables: Mapping[str, Sequence[str]], targets: Mapping[str, Sequence[float]], method: str | None = None, *, fills: Mapping[str, object] | None = None) -> DataFrame:
     """``df`` with nested ``variables`` (and the axes they lie along, from the outermost on) moved to ``targets``; other columns stay.
 
@@ -116,16 +133,11 @@ def regrid(df: DataFrame, variables: Mapping[str, Sequence[str]], targets: Mappi
             values, kind = values.cast(kind), T.DoubleType()
         held = default_fill(kind) if meta[name, "fill"] is None else meta[name, "fill"]
         fill = F.lit(None if blend else (fills or {}).get(name, held)).cast(kind)
-        # places and each dimension's step are columns of their own, and used twice, so that they are found once for a row and not for each element
         known = F.col(name).isNotNull()
         for d in dims:
-            out = out.withColumn(f"__places_{d}", F.when(F.col(d).isNotNull(), _places(F.col(d).cast("array<double>"), targets[d], how)))
-            known = known & F.col(f"__places_{d}").isNotNull()
-        out = out.withColumn(f"__moved_{name}", F.when(known, values))
-        for k in range(len(dims) - 1, -1, -1):
-            sizes, rank = [len(targets[d]) for d in dims[k + 1 :]], len(dims) - 1 - k
-            step = _inside(F.col(f"__moved_{name}"), k, lambda v, k=k, rank=rank, sizes=sizes: _along(v, F.col(f"__places_{dims[k]}"), _filled(fill, sizes), rank, blend))
-            out = out.withColumn(f"__moved_{name}", F.when(F.col(f"__moved_{name}").isNotNull(), step))
+            known = known & F.col(d).isNotNull()
+        env = F.struct(values.alias("values"), *[_places(F.col(d).cast("array<double>"), targets[d], how).alias(f"p{i}") for i, d in enumerate(dims)])
+        out = out.withColumn(f"__moved_{name}", F.when(known, _let(env, _mover([len(targets[d]) for d in dims], fill, blend))))
         moved.update(dims)
     axes = {d: F.when(F.col(d).isNotNull(), F.array(*[F.lit(float(t)) for t in targets[d]]).cast("array<double>")) for d in moved}
     out = out.withColumns({f"__axis_{d}": c for d, c in axes.items()})
