@@ -4,7 +4,7 @@ Every expression (a word, or a word given the one after it) has a log-likelihood
 texts. As Kneser and Ney count the lower order, a word counts once for each distinct word that it stands in front of, so
 a word of one text and its many copies stays rare. Both classes back off to the same counts: a word's share of all
 contexts, whichever the class. Expressions seen less than ``rare`` times are left to this shared backoff, under which both
-classes agree and the ratio is 1. Counts cover all labelled rows.
+classes agree and the ratio is 1. Counts are those of a bounded sample of distinct labelled texts, the same number of each class.
 
 The most frequent expressions travel to the executors as sorted arrays of a bounded size. All others stay a table, which
 the distinct expressions of each text that may be in it are joined with; sums over both parts make the score, so the
@@ -186,13 +186,27 @@ def _rarer(counts: DataFrame, rare: int, least: int) -> DataFrame:
     return counts.where((F.col("n0") + F.col("n1") >= rare) & (F.col("n0") + F.col("n1") < least))
 
 
-def fit_toxicity(labelled: DataFrame, *, text: str = "text", label: str = "toxic", rare: int = 4, most: int = 500_000, calibrate_rows: int = 20_000) -> ToxicityModel:
-    """Counts all rows of ``labelled`` whose text and label are not null (label: 0 ordinary, else toxic).
+def _sampled(rows: DataFrame, most: int) -> DataFrame:
+    """About ``most`` / 2 distinct texts of each class, by hash (all, where a class has fewer), and ``share``: of the class's distinct texts.
 
-    At most ``most`` words and as many pairs, the most frequent ones, are broadcast; if there are more, the rest stays a
-    staged table of the model. ``most`` does not change scores.
-    The last step, a logistic curve over two figures per text, is fitted on at most about ``calibrate_rows`` labelled rows
-    in hash order, each scored without its own counts.
+    Copies are told by their hash before texts are moved, so a text of a third of all rows is one of many.
+    """
+    bits = 1 << 30
+    slot = F.pmod(F.xxhash64("text"), F.lit(bits))
+    found = {r["toxic"]: r["n"] for r in rows.select("toxic", F.xxhash64("text").alias("name")).distinct().groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = {c: min(1.0, most / 2 / n) for c, n in found.items()}
+    of = F.when(F.col("toxic") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0))
+    return rows.where(slot < F.ceil(of * bits)).groupBy("text", "toxic").agg(F.lit(1)).select("text", "toxic")
+
+
+def fit_toxicity(labelled: DataFrame, *, text: str = "text", label: str = "toxic", rare: int = 4, most: int = 2_000_000, fit_texts: int = 40_000, calibrate_texts: int = 20_000) -> ToxicityModel:
+    """Fits both models on rows of ``labelled`` whose text and label are not null (label: 0 ordinary, else toxic).
+
+    They are fitted on a bounded sample: distinct texts, about ``fit_texts`` / 2 of each class, chosen by hash; a class with fewer gives all it has.
+    A text counts once in a class, however many copies it has. The share of toxic rows is counted over all rows. Of the sample's
+    words and pairs the ``most`` frequent ones each are broadcast; if there are more, the rest stays a staged table of the model. ``most`` does not change scores.
+    The last step, a logistic curve over two figures per text, is fitted on about ``calibrate_texts`` of these texts, each scored without its own
+    counts, and each class weighted as all rows have it.
     """
     spark = labelled.sparkSession
     rows = labelled.select(labelled[text].alias("text"), (labelled[label] != 0).cast("int").alias("toxic")).where("text is not null and toxic is not null")
@@ -202,6 +216,7 @@ def fit_toxicity(labelled: DataFrame, *, text: str = "text", label: str = "toxic
     none = np.zeros(0, np.int64)
     if len(sizes) < 2:
         return ToxicityModel(none.astype(np.uint64), np.zeros((3, 0)), none, np.zeros((3, 0)), None, prior, np.zeros(0))
+    rows = stage(_sampled(rows, fit_texts), "fitted")
 
     def single(row, name):
         at = _distinct(row, name)
@@ -313,11 +328,13 @@ def fit_toxicity(labelled: DataFrame, *, text: str = "text", label: str = "toxic
         drop_stage(before, *([others, other_pairs, other_contexts, other_words] if others is not None else []))
     drop_stage(counted)
 
-    bits = 1 << 30
-    few = rows.where(F.pmod(F.xxhash64("text"), F.lit(bits)) < F.lit(min(bits, int(calibrate_rows / total * bits) + 1)))
+    few = rows if calibrate_texts >= fit_texts else _sampled(rows, calibrate_texts)
     measured = _measured(few.select("text", "toxic"), model, "text", F.col("toxic") + 1)
     seen = measured.select(F.col("toxic").cast("long").alias("toxic"), F.col(_MEASURED)[0].alias("a"), F.col(_MEASURED)[1].alias("b")).toArrow()
-    model.weights = _logistic(np.column_stack([seen.column("a").to_numpy(), seen.column("b").to_numpy()]), seen.column("toxic").to_numpy(), prior)
+    toxic = seen.column("toxic").to_numpy()
+    weight = np.array([sizes[c] / max(int((toxic == c).sum()), 1) for c in (0, 1)])[toxic]
+    model.weights = _logistic(np.column_stack([seen.column("a").to_numpy(), seen.column("b").to_numpy()]), toxic, prior, weight / weight.mean() if len(weight) else weight)
+    drop_stage(rows)
     return model
 
 
@@ -387,17 +404,17 @@ def _measured(rows: DataFrame, model: ToxicityModel, text: str, kind) -> DataFra
     return both.select("__row.*", F.array(strong, mean).alias(_MEASURED))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, prior: float) -> np.ndarray | None:
-    """Newton's method for a logistic regression with a light ridge; rows in a fixed order, as they arrive in any."""
+def _logistic(x: np.ndarray, y: np.ndarray, prior: float, weight: np.ndarray) -> np.ndarray | None:
+    """Newton's method for a weighted logistic regression with a light ridge; rows in a fixed order, as they arrive in any."""
     if not len(y) or y.min() == y.max():
         return None
     order = np.lexsort((y, x[:, 1], x[:, 0]))
-    x, y = np.column_stack([np.ones(len(y)), x])[order], y[order]
+    x, y, weight = np.column_stack([np.ones(len(y)), x])[order], y[order], weight[order]
     w = np.array([np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)), 0.0, 0.0])
     ridge = np.diag([1e-6, 1e-3, 1e-3])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (y - p)) - ridge @ w)
         w = w + step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-9:
             break
