@@ -47,13 +47,15 @@ def neighbours(grid: DataFrame, data: DataFrame, values: Sequence[str], *keys: s
     days = held.groupBy(*keys, "day").agg(F.max("row").alias("last"), F.min("row").alias("first"))
     asked = grid.withColumn("day", F.col("epoch").cast("date"))
     # every day that has rows or grid points, with what the days before and after it leave: one row per key and day
-    by_day = Window.partitionBy(*keys).orderBy("day")
+    # what lies ahead is found by the reverse order: a frame up to the end of a partition is read anew for every row, in time quadratic in its rows
+    so_far = Window.unboundedPreceding
+    by_day = Window.partitionBy(*keys)
     every = asked.select(*keys, "day").distinct().join(days, [*keys, "day"], "full")
     carried = every.select(
         *keys,
         "day",
-        F.last("last", ignorenulls=True).over(by_day.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-        F.first("first", ignorenulls=True).over(by_day.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
+        F.last("last", ignorenulls=True).over(by_day.orderBy("day").rowsBetween(so_far, -1)).alias("before"),
+        F.last("first", ignorenulls=True).over(by_day.orderBy(F.desc("day")).rowsBetween(so_far, -1)).alias("after"),
     )
     kind = held.schema["row"].dataType.simpleString()
     both = held.select(*keys, "day", F.col(time).alias("epoch"), "row", F.lit(False).alias("asks")).unionByName(
@@ -62,8 +64,8 @@ def neighbours(grid: DataFrame, data: DataFrame, values: Sequence[str], *keys: s
     w = Window.partitionBy(*keys, "day")
     found = both.select(
         "*",
-        F.last("row", ignorenulls=True).over(w.orderBy("epoch", "asks").rowsBetween(Window.unboundedPreceding, 0)).alias("p"),
-        F.first("row", ignorenulls=True).over(w.orderBy(F.col("epoch"), F.desc("asks")).rowsBetween(0, Window.unboundedFollowing)).alias("n"),
+        F.last("row", ignorenulls=True).over(w.orderBy("epoch", "asks").rowsBetween(so_far, 0)).alias("p"),
+        F.last("row", ignorenulls=True).over(w.orderBy(F.desc("epoch"), "asks").rowsBetween(so_far, 0)).alias("n"),
     ).where("asks")
     joined = found.join(carried, [*keys, "day"], "left")
     return joined.select(*keys, "epoch", F.coalesce("p", "before").alias("prev"), F.coalesce("n", "after").alias("next"))
