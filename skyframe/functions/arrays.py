@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 def to_long(df: DataFrame, variable: str, dims: Sequence[str], *keys: str) -> DataFrame:
     """One row per element: ``keys``, an index per dimension (from 0) and ``value``."""
-    out = df.select(*keys, F.posexplode(variable).alias(dims[0], "value"))
+    # the outer form gives null and empty arrays a row without an index, which goes; before the inner one Spark would put a filter that
+    # evaluates the variable, however dear, twice more
+    out = df.select(*keys, F.posexplode_outer(variable).alias(dims[0], "value")).where(F.col(dims[0]).isNotNull())
     for d in dims[1:]:
-        out = out.select(*[c for c in out.columns if c != "value"], F.posexplode("value").alias(d, "value"))
+        out = out.select(*[c for c in out.columns if c != "value"], F.posexplode_outer("value").alias(d, "value")).where(F.col(d).isNotNull())
     return out
 
 

@@ -7,6 +7,7 @@ All of it is higher-order functions inside a row, so nothing is shuffled; rows a
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,14 +24,16 @@ def shared_axes(members: Sequence[DataFrame], axes: Sequence[str], *, overlap: b
 
     Members and rows without an axis count for nothing; where nothing overlaps, the axis is empty.
     """
+    ends = []
+    for i, m in enumerate(members):
+        for_axis = [F.struct(F.lit(x).alias("axis"), F.min(F.array_min(x)).cast("double").alias("low"), F.max(F.array_max(x)).cast("double").alias("high"), F.max(F.size(x)).alias("n")) for x in axes if x in m.columns]
+        if for_axis:
+            ends.append(m.agg(F.array(*for_axis).alias("ends")).select(F.lit(i).alias("member"), F.inline("ends")))
+    # one job for all members and axes, so that what a member is made of is made once
+    rows = reduce(DataFrame.unionByName, ends).collect() if ends else []
     found = {}
     for axis in axes:
-        spans = []
-        for m in members:
-            if axis in m.columns:
-                low, high, n = m.agg(F.min(F.array_min(axis)), F.max(F.array_max(axis)), F.max(F.size(axis))).first()
-                if low is not None:
-                    spans.append((float(low), float(high), n))
+        spans = [(r["low"], r["high"], r["n"]) for r in sorted(rows, key=lambda r: r["member"]) if r["axis"] == axis and r["low"] is not None]
         found[axis] = common_axis(spans, overlap=overlap) if spans else []
     return found
 
@@ -38,24 +41,36 @@ def shared_axes(members: Sequence[DataFrame], axes: Sequence[str], *, overlap: b
 def _places(axis: Column, targets: Sequence[float], method: str | None) -> Column:
     """For each target the indices (from 0) of the elements used and the weight of the second; -1 where there is none."""
 
-    def place(t: Column) -> Column:
-        below, here = F.size(F.filter(axis, lambda x: x <= t)), F.array_position(axis, t).cast("int") - 1
-        above = F.when(here >= 0, here).when(below < F.size(axis), below).otherwise(-1)
-        before = F.when(here >= 0, here).otherwise(below - 1)
-        none = F.lit(-1)
-        if method is None:
-            return F.struct(here.alias("a"), here.alias("b"), F.lit(0.0).alias("w"))
+    def used(a: Column, b: Column, w: Column) -> Column:
+        return F.struct(a.alias("a"), b.alias("b"), w.alias("w"))
+
+    def chosen(t: Column, before: Column, above: Column) -> Column:
+        none, nothing = F.lit(-1), F.lit(0.0)
         if method in ("ffill", "pad"):
-            return F.struct(before.alias("a"), before.alias("b"), F.lit(0.0).alias("w"))
+            return used(before, before, nothing)
         if method in ("bfill", "backfill"):
-            return F.struct(above.alias("a"), above.alias("b"), F.lit(0.0).alias("w"))
+            return used(above, above, nothing)
         left, right = F.get(axis, before), F.get(axis, above)
         if method == "nearest":
             near = F.when(above < 0, before).when(before < 0, above).when(t - left <= right - t, before).otherwise(above)
-            return F.struct(near.alias("a"), near.alias("b"), F.lit(0.0).alias("w"))
+            return _let(near, lambda n: used(n, n, nothing))
         both = (before >= 0) & (above >= 0)
         weight = F.when(both & (right > left), (t - left) / (right - left)).otherwise(0.0)
-        return F.struct(F.when(both, before).otherwise(none).alias("a"), F.when(both, above).otherwise(none).alias("b"), weight.alias("w"))
+        return used(F.when(both, before).otherwise(none), F.when(both, above).otherwise(none), weight)
+
+    def place(t: Column) -> Column:
+        here = F.array_position(axis, t).cast("int") - 1
+        if method is None:
+            return _let(here, lambda h: used(h, h, F.lit(0.0)))
+        # the axis is searched once for each target: what is found is bound, as every mention of an expression in a lambda is evaluated anew
+        found = F.struct(here.alias("here"), F.size(F.filter(axis, lambda x: x <= t)).alias("below"))
+
+        def sides(f: Column) -> Column:
+            exact = f["here"] >= 0
+            above = F.when(exact, f["here"]).when(f["below"] < F.size(axis), f["below"]).otherwise(-1)
+            return F.struct(F.when(exact, f["here"]).otherwise(f["below"] - 1).alias("before"), above.alias("above"))
+
+        return _let(found, lambda f: _let(sides(f), lambda s: chosen(t, s["before"], s["above"])))
 
     return F.transform(F.array(*[F.lit(float(t)) for t in targets]).cast("array<double>"), place)
 

@@ -353,7 +353,9 @@ def _profiles(spark: SparkSession, d: str) -> list[DataFrame]:
     """Orders as profiles over two axes; those of odd keys lie on other coordinates."""
     items = spark.read.parquet(f"{d}/lineitem.parquet")
     level = F.struct(F.col("l_linenumber").cast("double").alias("x"), F.array(F.col("l_quantity").cast("double"), (F.col("l_extendedprice") / 997).cast("double"), (F.col("l_discount") * 100).cast("double")).alias("v"))
-    held = items.groupBy("l_orderkey", "l_linenumber").agg(F.min(level).alias("level")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("level")).alias("levels"))
+    # in one aggregate; of equal line numbers the least level comes first and stays
+    held = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(level)).alias("every"))
+    held = held.select("l_orderkey", F.filter("every", lambda x, i: (i == 0) | ~x["x"].eqNullSafe(F.get("every", i - 1)["x"])).alias("levels"))
     odd = F.col("l_orderkey") % 2 == 1
     taken = held.select(
         "l_orderkey", odd.alias("odd"), F.transform("levels", lambda x: x["x"] * F.when(odd, 1.5).otherwise(1.0)).alias("height"),

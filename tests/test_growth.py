@@ -7,7 +7,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from skyframe.operators import align
+from skyframe.functions.arrays import to_long
+from skyframe.operators import align, axes
 
 T0 = datetime(2024, 1, 1)
 
@@ -40,3 +41,17 @@ def test_neighbours_ahead_are_found_by_frames_that_grow_from_the_start(spark, me
 
     for r in found.withColumn("t", F.timestamp_diff("SECOND", F.lit(T0).cast("timestamp_ntz"), "epoch")).collect():
         assert r["v"] == (None if (want := plain(r["k"], r["t"])) is None else pytest.approx(want)), (r, want)
+
+
+def test_regridding_searches_an_axis_once_for_each_target(spark):
+    rows = [(1, [1.0, 2.0, 4.0], [0.0, 1.0], [[1.0, 2.0], [3.0, 4.0], [5.0, 8.0]]), (2, [3.0], [0.5], [[7.0]]), (3, [], [0.0], [])]
+    df = spark.createDataFrame(rows, "k int, h array<double>, b array<double>, v array<array<double>>")
+    long = to_long(axes.regrid(df, {"v": ("h", "b")}, {"h": [2.0, 3.0], "b": [0.5]}, "linear"), "v", ["i", "j"], "k")
+    plan = long._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_position") == 2 and plan.count("filter(") == 2
+    assert {tuple(r) for r in long.collect()} == {(1, 0, 0, 3.5), (1, 1, 0, 5.0), (2, 0, 0, None), (2, 1, 0, 7.0), (3, 0, 0, None), (3, 1, 0, None)}
+
+
+def test_long_rows_of_null_and_empty_arrays(spark):
+    df = spark.createDataFrame([(1, [[1.0, None], None, []]), (2, None), (3, [])], "k int, v array<array<double>>")
+    assert {tuple(r) for r in to_long(df, "v", ["i", "j"], "k").collect()} == {(1, 0, 0, 1.0), (1, 0, 1, None)}
