@@ -186,7 +186,7 @@ def _late_stream(spark: SparkSession, d: str) -> DataFrame:
     dealt = e.withColumn("file", week + F.when(F.col("event_id") % 13 == 0, 1).otherwise(0))
     low, high = dealt.agg(F.min("file"), F.max("file")).first()
     for k in range(low, high + 1):
-        dealt.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(at)
+        dealt.where(F.col("file") == k).drop("file").repartition(1).write.mode("append").parquet(at)
     end = e.agg(F.max("epoch").alias("epoch")).select(F.expr("-1L").alias("event_id"), F.expr("-1L").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"), "epoch")
     for days in (100, 101):
         end.withColumn("epoch", F.col("epoch") + F.expr(f"interval {days} days")).coalesce(1).write.mode("append").parquet(at)
@@ -207,11 +207,11 @@ def streamed_cyclic_orbits(spark, d):
 SELECT CAST(k AS INTEGER) AS chunk_id, user_id, event_id, prior FROM w WHERE ts >= a AND ts < a + INTERVAL 3 DAY""")
 def streamed_padded_chunks(spark, d):
     def prior(chunk):
-        return chunk.assign(prior=chunk["value"].shift()).loc[chunk["in_chunk"], ["event_id", "prior"]]
+        return chunk.assign(prior=chunk.groupby("user_id")["value"].shift()).loc[chunk["in_chunk"], ["user_id", "event_id", "prior"]]
 
     clicks = _late_stream(spark, d).where("event_type IN ('click', 'end')")
     bounds = chunks.Bounds.of("2024-01-02", "2024-01-26", "2D", "3D")
-    found = stream_chunks.per_chunk(clicks, bounds, prior, "event_id long, prior double", "user_id", pad="6 hours", ties=("event_id",), late="14 days")
+    found = stream_chunks.per_chunk(clicks, bounds, prior, "event_id long, prior double", "user_id", pad="6 hours", ties=("event_id",), late="14 days", together=True)
     return windows.run_once(found, "chunks", stateful=True)
 
 

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyframe.functions.arrays import to_long
-from skyframe.operators import align, axes
+from skyframe.operators import align, axes, chunks
+from skyframe.streaming import chunks as stream_chunks
+from skyframe.streaming import windows
 
 T0 = datetime(2024, 1, 1)
 
@@ -55,3 +57,28 @@ def test_regridding_searches_an_axis_once_for_each_target(spark):
 def test_long_rows_of_null_and_empty_arrays(spark):
     df = spark.createDataFrame([(1, [[1.0, None], None, []]), (2, None), (3, [])], "k int, v array<array<double>>")
     assert {tuple(r) for r in to_long(df, "v", ["i", "j"], "k").collect()} == {(1, 0, 0, 1.0), (1, 0, 1, None)}
+
+
+def test_chunks_of_a_stream_keep_one_state_for_many_keys(spark, tmp_path):
+    rows = [(f"k{k}", T0 + timedelta(hours=6 * i, minutes=k), float(100 * k + i)) for k in range(40) for i in range(12)]
+    end = [[("z", T0 + timedelta(days=60 + i), 0.0)] for i in range(2)]
+    for part in (rows[::2], rows[1::2], *end):
+        spark.createDataFrame(part, "sat string, epoch timestamp_ntz, v double").coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+    stream = spark.readStream.schema("sat string, epoch timestamp_ntz, v double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "s"))
+    bounds = chunks.Bounds.of("2024-01-01", "2024-01-02")
+
+    def one(chunk):
+        return chunk.assign(prior=chunk["v"].shift(), keys=1)[["v", "prior", "keys"]]
+
+    def many(chunk):
+        return chunk.assign(prior=chunk.groupby("sat")["v"].shift(), keys=chunk["sat"].nunique())[["sat", "v", "prior", "keys"]]
+
+    def run(function, together):
+        found = stream_chunks.per_chunk(stream, bounds, function, "v double, prior double, keys long", "sat", late="20 days", together=together, buckets=4)
+        return windows.run_once(found, f"t_{together}", stateful=True).collect()
+
+    want = {(f"k{k}", i // 4, 100.0 * k + i, 100.0 * k + i - 1 if i % 4 else None) for k in range(40) for i in range(8)}
+    single, shared = run(one, False), run(many, True)
+    for got in (single, shared):
+        assert len(got) == len(want) and {tuple(None if x != x else x for x in (r["sat"], r["chunk_id"], r["v"], r["prior"])) for r in got} == want
+    assert min(r["keys"] for r in shared) > 1
