@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import pickle
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from skyframe.operators.orbits import BREAK_SHARE, DEFAULT_PERIOD_S, GAP_SHARE, LARGE_STEP, NEAR_ROWS, ORBIT_SHARE
 from skyframe.session import known
+from skyframe.streaming import held
 from skyframe.streaming.windows import timed
 
 _DAY_US = 86_400_000_000
@@ -67,67 +68,101 @@ def advance(carry: dict, days: Sequence[Sequence[tuple]], span: float, period: f
 
 
 class _Orbits(StatefulProcessor):
-    """Rows wait in a list until their day is behind the watermark; the rest of what is carried is one small value."""
+    """Rows of a bucket of keys wait in a list until their day is behind the watermark; what is carried for its keys is one value.
 
-    def __init__(self, row: T.StructType, span: float, period: float, close_us: int | None):
-        self.row, self.span, self.period, self.close_us = row, span, period, close_us
+    One timer stands for the bucket, at the earliest time when any of its keys has something to give; what is due by then is done at once.
+    """
+
+    def __init__(self, keys: Sequence[str], row: T.StructType, span: float, period: float, close_us: int | None):
+        self.keys, self.names, self.span, self.period, self.close_us = list(keys), row.names, span, period, close_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.row)
-        self.carried = handle.getValueState("carried", "carry string")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.carried = handle.getValueState("carried", "carry binary, due long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        due = None
         for batch in rows:
-            kept = [tuple(None if pd.isna(x) else x for x in r) for r in batch[self.row.names].itertuples(index=False, name=None)]
-            self.waiting.appendList(kept)
-            at = {(r[0] // _DAY_US + 1) * _DAY_US for r in kept}
+            self.waiting.appendValue((held.packed(batch[[*self.keys, *self.names]]),))
+            # the earliest end of a day; a key's record that ends does so behind its last day
+            first = (int(batch["t"].min()) // _DAY_US + 1) * _DAY_US
             if self.close_us is not None:
-                at.add(max(r[0] for r in kept) + self.close_us)
-            for t in at:
-                self.handle.registerTimer(-(-t // 1000))
+                first = min(first, int(batch["t"].min()) + self.close_us)
+            due = first if due is None else min(due, first)
+        if due is not None:
+            carry, at = self.carried.get() if self.carried.exists() else (None, None)
+            if at is None or due < at:
+                self._expect(carry, at, due)
         yield from ()
 
+    def _expect(self, carry: bytes | None, at: int | None, due: int | None) -> None:
+        if at is not None and at != due:
+            self.handle.deleteTimer(-(-at // 1000))
+        if due is not None:
+            self.handle.registerTimer(-(-due // 1000))
+        self.carried.update((carry, due))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        carry = json.loads(self.carried.get()[0]) if self.carried.exists() else dict(_START)
-        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        whole = sorted((r for r in held if (r[0] // _DAY_US + 1) * _DAY_US <= mark), key=lambda r: (r[0], tuple((x is not None, x) for x in r[2:])))
-        days: dict[int, list[tuple]] = {}
-        for r in whole:
-            days.setdefault(r[0] // _DAY_US, []).append(r)
-        rest = [r for r in held if (r[0] // _DAY_US + 1) * _DAY_US > mark]
-        newest = max([r[0] for r in held] + [r[0][0] for r in carry["waits"]], default=None)
-        ended = self.close_us is not None and newest is not None and newest + self.close_us <= mark
-        if not whole and not (ended and carry["waits"]):
-            return
-        carry, out = advance(carry, list(days.values()), self.span, self.period, ended)
-        self.carried.update((json.dumps(carry),))
+        stored = self.carried.get()[0] if self.carried.exists() else None
+        carries = pickle.loads(bytes(stored)) if stored is not None else {}  # noqa: S301 - written by this class
+        values = [bytes(r[0]) for r in self.waiting.get()] if self.waiting.exists() else []
+        by_key: dict[tuple, list[tuple]] = {}
+        rest, newest = None, {}
+        if values:
+            found = held.unpacked(values)
+            width = len(self.keys)
+            last = found["t"].groupby([found[k] for k in self.keys]).max() if width else None
+            newest = {(k if isinstance(k, tuple) else (k,)): int(t) for k, t in last.items()} if width else {(): int(found["t"].max())}
+            done = (found["t"] // _DAY_US + 1) * _DAY_US <= mark
+            rest = found[~done]
+            whole = found[done].sort_values([*self.keys, "t"], kind="stable")
+            for r in zip(*[column.array.tolist() for _, column in whole.items()], strict=True):
+                by_key.setdefault(r[:width], []).append(tuple(None if x is None or x != x else x for x in r[width:]))
+        out, due = [], None if rest is None or not len(rest) else (int(rest["t"].min()) // _DAY_US + 1) * _DAY_US
+        for one in {**dict.fromkeys(carries), **dict.fromkeys(newest)}:
+            carry = carries.get(one, _START)
+            times = [r[0][0] for r in carry["waits"]]
+            latest = max([*times, newest[one]] if one in newest else times, default=None)
+            ended = self.close_us is not None and latest is not None and latest + self.close_us <= mark
+            rows = sorted(by_key.get(one, ()), key=lambda r: (r[0], tuple((x is not None, x) for x in r[2:])))
+            if rows or (ended and carry["waits"]):
+                days: dict[int, list[tuple]] = {}
+                for r in rows:
+                    days.setdefault(r[0] // _DAY_US, []).append(r)
+                carries[one], given = advance(carry, list(days.values()), self.span, self.period, ended)
+                out += [(*one, *r, o) for r, o in given]
+            # rows that wait for others are given out when the record ends
+            if self.close_us is not None and latest is not None and not ended and carries.get(one, _START)["waits"]:
+                due = latest + self.close_us if due is None else min(due, latest + self.close_us)
         self.waiting.clear()
-        if rest:
-            self.waiting.appendList(rest)
+        if rest is not None and len(rest):
+            self.waiting.appendValue((held.packed(rest),))
+        self._expect(pickle.dumps(carries), None, due)
         if out:
-            yield pd.DataFrame([(*key, *r, o) for r, o in out])
+            yield pd.DataFrame(out)
 
     def close(self) -> None:
         pass
 
 
 def cyclic_orbits(
-    stream: DataFrame, variable: str, span: float, *keys: str, time: str = "epoch", period: float = DEFAULT_PERIOD_S, ties: tuple[str, ...] = (), late: str = "1 hour", close_after: str | None = None
+    stream: DataFrame, variable: str, span: float, *keys: str, time: str = "epoch", period: float = DEFAULT_PERIOD_S, ties: tuple[str, ...] = (), late: str = "1 hour", close_after: str | None = None, buckets: int = held.BUCKETS
 ) -> DataFrame:
     """``keys``, time, ``variable``, ``ties`` and ``orbit`` of the rows of a stream, numbered as the batch form over the whole record numbers them.
 
     A row may come ``late``. It waits until its day is behind the watermark, as the typical step is that of a day, and until five rows behind
     it are whole. With ``close_after`` a record that has had no row for that long ends: the rows that wait are given out as its last ones, and what comes
     yet goes on from there. Rows without a time are dropped. Keys may not be null. The state store has to be RocksDB, as :func:`skyframe.streaming.windows.run_once`
-    sets it for ``stateful`` streams. State holds the rows of days that are not whole, and some ten rows of each key besides.
+    sets it for ``stateful`` streams. State holds the rows of days that are not whole, and some ten rows of each key besides;
+    keys are dealt into ``buckets`` by hash, and what waits of a bucket has to fit into a task.
     """
     kinds = {f.name: f.dataType for f in stream.schema}
     row = T.StructType([T.StructField("t", T.LongType()), T.StructField("v", T.DoubleType()), *[T.StructField(c, kinds[c]) for c in ties]])
     out = T.StructType([*[T.StructField(k, kinds[k]) for k in keys], *row.fields, T.StructField("orbit", T.LongType())])
     taken = timed(stream.where(F.col(time).isNotNull()), time, late)
-    taken = taken.select(*keys, time, F.unix_micros(time).alias("t"), known(F.col(variable).cast("double")).alias("v"), *ties)
+    taken = taken.select(held.bucket(keys, buckets).alias(held.BUCKET), *keys, time, F.unix_micros(time).alias("t"), known(F.col(variable).cast("double")).alias("v"), *ties)
     gap = None if close_after is None else int(pd.Timedelta(close_after).total_seconds() * 1e6)
-    found = taken.groupBy(*keys).transformWithStateInPandas(_Orbits(row, span, period, gap), out, "Append", "eventTime")
+    found = taken.groupBy(held.BUCKET).transformWithStateInPandas(_Orbits(keys, row, span, period, gap), out, "Append", "eventTime")
     return found.select(*keys, F.timestamp_micros("t").cast("timestamp_ntz").alias(time), F.col("v").alias(variable), *ties, "orbit")

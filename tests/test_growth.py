@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from skyframe.functions.arrays import to_long
 from skyframe.operators import align, axes, chunks
+from skyframe.operators import orbits as batch
 from skyframe.streaming import chunks as stream_chunks
-from skyframe.streaming import windows
+from skyframe.streaming import orbits, windows
+from tests.test_orbits import record, scan
 
 T0 = datetime(2024, 1, 1)
 
@@ -82,3 +84,18 @@ def test_chunks_of_a_stream_keep_one_state_for_many_keys(spark, tmp_path):
     for got in (single, shared):
         assert len(got) == len(want) and {tuple(None if x != x else x for x in (r["sat"], r["chunk_id"], r["v"], r["prior"])) for r in got} == want
     assert min(r["keys"] for r in shared) > 1
+
+
+def test_orbits_of_many_keys_share_one_state(spark, tmp_path):
+    rows = [(f"k{k}", t + timedelta(days=3 * k), v, i) for k in range(12) for i, (t, v) in enumerate(record(k, 60))]
+    rows.sort(key=lambda r: r[1])
+    last = max(r[1] for r in rows)
+    schema = "sat string, epoch timestamp_ntz, slt double, n long"
+    for part in (rows[:360], rows[360:], *[[("z", last + timedelta(days=200 + i), 0.0, 0)] for i in range(2)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "s"))
+    found = orbits.cyclic_orbits(stream, "slt", 24.0, "sat", ties=("n",), late="40 days", close_after="100 days", buckets=1)
+    got = {(r["sat"], r["n"]): r["orbit"] for r in windows.run_once(found, "t_orbits", stateful=True).where("sat <> 'z'").collect()}
+    assert len(got) == 12 * 60
+    for k in range(12):
+        assert [got[f"k{k}", i] for i in range(60)] == scan(record(k, 60), 24.0, batch.DEFAULT_PERIOD_S)
