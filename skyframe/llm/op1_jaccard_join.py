@@ -6,8 +6,9 @@ meet, a signature tree decides: its leaves hold bitmaps of whole sets, its nodes
 of sizes, and a dual traversal leaves out pairs of nodes whose largest possible overlap is too small. What is left is
 verified on whole sets. Links are looked for first between sets with the same first shingle, from each to a pivot of its
 group; then between all sets of a group that are not connected yet. Groups with very many such pairs are linked by their
-pivots once more, before all of what is left is looked at. So large groups of near copies cost about one verification
-for each member, and most of their other groups are never built.
+pivots once more. What is left of these meets with its whole sets, so that a group is searched where it lies and hands on
+no pairs but links that connect what was not connected: fewer than it has members. So large groups of near copies cost
+about one verification for each member, and most of their other groups are never built.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyframe.llm import _bitmap as bitmaps
@@ -30,8 +31,12 @@ HOT_SETS = 1_000
 #: Groups with more members are dealt out as pairs of blocks.
 BLOCK_SETS = 8_192
 LEAF, FAN = 16, 4
-#: A group with more pairs than this for each member is linked by its pivots before all its pairs are looked at.
+#: A group with more pairs than this for each member is linked by its pivots before its whole sets are compared.
 MANY_PAIRS = 16
+#: Shingles of a group whose whole sets lie in a task at a time, beside bitmaps of half their bytes.
+BLOCK_SHINGLES = 2_000_000
+#: A bitmap takes the place of so many shingles at least.
+LEAST_SHINGLES = 64
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -71,9 +76,9 @@ def _prefix(s: np.ndarray, hot: np.ndarray, num: int, den: int) -> np.ndarray:
     return s[:p]
 
 
-def _bitmap(s: np.ndarray) -> bytes:
-    """A power of two of bits, twice as many as shingles at least: shingle x sets bit x modulo their number."""
-    size = max(512, 1 << (2 * len(s) - 1).bit_length())
+def _bitmap(s: np.ndarray, wide: int = 2) -> bytes:
+    """A power of two of bits, ``wide`` times as many as shingles at least: shingle x sets bit x modulo their number."""
+    size = max(512, 1 << (wide * len(s) - 1).bit_length())
     bits = np.zeros(size, bool)
     bits[(s & np.uint64(size - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -223,15 +228,17 @@ def _links(source: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> Da
 
     verify(_first_groups(sets), "pivots")
     groups = stage(_meetings(_rooted(sets, links, "n", "prefix"), num, den), "groups")
-    for mode in ("few", "all"):
-        if groups.isEmpty():
-            break
-        known = _rooted(stage(_dealt(groups, sets), "dealt"), links, "gid", "n", "bits")
-        left = verify(known.withColumn("root", F.coalesce("root", "set_id")), mode)
-        done = groups
-        groups = stage(known.join(left, "gid", "left_semi").select("gid", "set_id"), "groups")
-        drop_stage(done)
-    return links
+    if groups.isEmpty():
+        return links
+    known = _rooted(stage(_dealt(groups, sets), "dealt"), links, "gid", "n", "bits")
+    left = verify(known.withColumn("root", F.coalesce("root", "set_id")), "few")
+    done = groups
+    groups = stage(known.join(left, "gid", "left_semi").select("gid", "set_id"), "groups")
+    drop_stage(done)
+    if groups.isEmpty():
+        return links
+    more = stage(_linking(source, sets, _rooted(groups.join(sets.select("set_id", "n"), "set_id"), links, "gid", "n"), n, num, den), "links")
+    return more if links is None else links.unionByName(more)
 
 
 def _first_groups(sets: DataFrame) -> DataFrame:
@@ -246,8 +253,13 @@ def _first_groups(sets: DataFrame) -> DataFrame:
 
 def _dealt(groups: DataFrame, sets: DataFrame) -> DataFrame:
     """Groups with their members' sizes and bitmaps; the large ones as all pairs of blocks of a bounded size."""
-    large = groups.groupBy("gid").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_SETS)
-    blocks = F.ceil(F.col("m") / (BLOCK_SETS // 2)).cast("int")
+    return _in_blocks(groups, F.count("*"), BLOCK_SETS).join(sets.select("set_id", "n", "bits"), "set_id").select("gid", "set_id", "n", "bits")
+
+
+def _in_blocks(groups: DataFrame, weight: Column, most: int) -> DataFrame:
+    """``(gid, set_id)``: groups of at most ``most`` by ``weight`` as they are, the others as all pairs of blocks of half of that."""
+    large = groups.groupBy("gid").agg(weight.alias("m")).where(F.col("m") > most)
+    blocks = F.ceil(F.col("m") / (most // 2)).cast("int")
     own = F.pmod(F.xxhash64("set_id"), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
     split = (
@@ -256,43 +268,47 @@ def _dealt(groups: DataFrame, sets: DataFrame) -> DataFrame:
         .select(F.xxhash64("gid", F.least("own", "other"), F.greatest("own", "other")).alias("gid"), "set_id")
         .distinct()
     )
-    small = groups.join(large, "gid", "left_anti").select("gid", "set_id")
-    return small.unionByName(split).join(sets.select("set_id", "n", "bits"), "set_id").select("gid", "set_id", "n", "bits")
+    return groups.join(large, "gid", "left_anti").select("gid", "set_id").unionByName(split)
 
 
-def _candidates(members: DataFrame, num: int, den: int, mode: str) -> DataFrame:
-    """Pairs ``(a, b)`` within groups that the signature tree cannot rule out and whose roots differ.
+def _linking(source: DataFrame, sets: DataFrame, members: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links ``(a, b)`` within groups ``(gid, set_id, n, root)``, compared by whole sets.
 
-    ``pivots``: of each group only the pairs with its middle, the member nearest to what most bitmaps hold, and with its
-    first member by an order of its own. ``few``: all pairs, but of a group with very many the pivots' ones and a row
-    ``(gid, null)``. ``all``: all pairs.
+    A group gives a link only where it connects two roots that its links before have not: one less than it has roots at most.
     """
-    dealt = members.repartition("gid").sortWithinPartitions("gid", "n", "set_id").select("gid", "set_id", "n", "bits", "root")
+    whole = _whole_sets(source, sets, members.select("set_id").distinct(), n)
+    blocks = _in_blocks(members.select("gid", "set_id", "n"), F.sum(F.greatest("n", F.lit(LEAST_SHINGLES))), BLOCK_SHINGLES)
+    known = members.select("set_id", "n", F.coalesce("root", "set_id").alias("root")).distinct().join(whole, "set_id")
+    dealt = blocks.join(known, "set_id").repartition("gid").sortWithinPartitions("gid", "n", "set_id").select("gid", "set_id", "n", "root", "names")
+
+    def linked(part: pa.Table) -> pa.RecordBatch | None:
+        ids, size, root = (part.column(c).to_numpy() for c in ("set_id", "n", "root"))
+        if (root == root[0]).all():
+            return None
+        names = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("names")]
+        label, a, b = root.copy(), [], []
+        for i, j in tree_pairs(size, [_bitmap(s, 16) for s in names], root, num, den):
+            open_ = label[i] != label[j]
+            for p, q in zip(i[open_].tolist(), j[open_].tolist(), strict=True):
+                if label[p] != label[q] and _alike(names[p], names[q], num, den):
+                    a.append(min(ids[p], ids[q]))
+                    b.append(max(ids[p], ids[q]))
+                    label[label == label[p]] = label[q]
+        return record_batch(a=np.array(a, np.int64), b=np.array(b, np.int64))
+
+    return _by_group(dealt, linked, "a long, b long").distinct()
+
+
+def _by_group(dealt: DataFrame, handle, schema: str) -> DataFrame:
+    """``handle`` of each group of two rows or more as a table; rows of a group follow each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gid, held = None, []
 
         def ended() -> pa.RecordBatch | None:
             nonlocal held
-            if not held:
-                return None
-            part, held = pa.Table.from_batches(held).combine_chunks(), []
-            if part.num_rows < 2:
-                return None
-            ids, size, root = (part.column(c).to_numpy() for c in ("set_id", "n", "root"))
-            bits = part.column("bits").to_pylist()
-            pairs, found, later = [], 0, mode == "pivots"
-            for p in () if later or (root == root[0]).all() else tree_pairs(size, bits, root, num, den):
-                pairs.append(p)
-                found += len(p[0])
-                if later := mode == "few" and found > MANY_PAIRS * part.num_rows:
-                    break
-            if later:
-                pairs = list(tree_pairs(size, bits, root, num, den, _pivots(ids, bits)))
-            left = [gid] if later and mode == "few" else []
-            i, j = (np.concatenate([np.zeros(0, np.int64), *[p[k] for p in pairs]]) for k in (0, 1))
-            a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-            return record_batch(a=np.concatenate([a, np.array(left, np.int64)]), b=pa.array([*b.tolist(), *[None] * len(left)], pa.int64()))
+            part, held = held, []
+            return handle(pa.Table.from_batches(part).combine_chunks()) if sum(b.num_rows for b in part) > 1 else None
 
         for batch in batches:
             gids = batch.column("gid").to_numpy()
@@ -306,7 +322,35 @@ def _candidates(members: DataFrame, num: int, den: int, mode: str) -> DataFrame:
             yield from _joined(out)
         yield from _joined([ended()])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, schema)
+
+
+def _candidates(members: DataFrame, num: int, den: int, mode: str) -> DataFrame:
+    """Pairs ``(a, b)`` within groups that the signature tree cannot rule out and whose roots differ.
+
+    ``pivots``: of each group only the pairs with its middle, the member nearest to what most bitmaps hold, and with its
+    first member by an order of its own. ``few``: all pairs, but of a group with very many the pivots' ones and a row
+    ``(gid, null)``.
+    """
+    dealt = members.repartition("gid").sortWithinPartitions("gid", "n", "set_id").select("gid", "set_id", "n", "bits", "root")
+
+    def met(part: pa.Table) -> pa.RecordBatch:
+        ids, size, root = (part.column(c).to_numpy() for c in ("set_id", "n", "root"))
+        bits = part.column("bits").to_pylist()
+        pairs, found, later = [], 0, mode == "pivots"
+        for p in () if later or (root == root[0]).all() else tree_pairs(size, bits, root, num, den):
+            pairs.append(p)
+            found += len(p[0])
+            if later := found > MANY_PAIRS * part.num_rows:
+                break
+        if later:
+            pairs = list(tree_pairs(size, bits, root, num, den, _pivots(ids, bits)))
+        left = [part.column("gid")[0].as_py()] if later and mode == "few" else []
+        i, j = (np.concatenate([np.zeros(0, np.int64), *[p[k] for p in pairs]]) for k in (0, 1))
+        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        return record_batch(a=np.concatenate([a, np.array(left, np.int64)]), b=pa.array([*b.tolist(), *[None] * len(left)], pa.int64()))
+
+    return _by_group(dealt, met, "a long, b long").distinct()
 
 
 def _pivots(ids: np.ndarray, bits: list[bytes]) -> np.ndarray:
@@ -435,8 +479,30 @@ def _children(nodes: np.ndarray, step: int, n: int, stays: bool) -> np.ndarray:
 
 
 def _verified(source: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame | None:
-    """The pairs that reach the threshold by their whole sets, which are taken anew from the text of one document each."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    """The pairs that reach the threshold by their whole sets."""
+    whole = _whole_sets(source, sets, pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), n)
+    if whole is None:
+        return None
+    left = whole.select(F.col("set_id").alias("a"), F.col("names").alias("x"))
+    right = whole.select(F.col("set_id").alias("b"), F.col("names").alias("y"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num, den) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    links = stage(pairs.join(left, "a").join(right, "b").mapInArrow(check, "a long, b long"), "links")
+    drop_stage(whole)
+    return None if links.isEmpty() else links
+
+
+def _alike(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+    return den * both >= num * (len(x) + len(y) - both)
+
+
+def _whole_sets(source: DataFrame, sets: DataFrame, ids: DataFrame, n: int) -> DataFrame | None:
+    """``(set_id, names)`` of all ``ids`` and some others, taken anew from the text of one document each; None without any."""
     keys = stage(sets.select("set_id", F.xxhash64("key").alias("key")).join(ids, "set_id", "left_semi").select("key").distinct(), "asked")
     if keys.isEmpty():
         return None
@@ -451,22 +517,7 @@ def _verified(source: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, num:
                 yield record_batch(set_id=np.array([_set_id(s) for s in found], np.int64), names=pa.array([s.tobytes() for s in found], pa.binary()))
 
     texts = source.select(F.xxhash64("key").alias("key"), "text")
-    whole = stage(texts.mapInArrow(wanted, "set_id long, names binary").groupBy("set_id").agg(F.first("names").alias("names")), "names")
-    left = whole.select(F.col("set_id").alias("a"), F.col("names").alias("x"))
-    right = whole.select(F.col("set_id").alias("b"), F.col("names").alias("y"))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-                keep.append(den * both >= num * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    links = stage(pairs.join(left, "a").join(right, "b").mapInArrow(check, "a long, b long"), "links")
-    drop_stage(whole)
-    return None if links.isEmpty() else links
+    return stage(texts.mapInArrow(wanted, "set_id long, names binary").groupBy("set_id").agg(F.first("names").alias("names")), "names")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

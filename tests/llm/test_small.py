@@ -425,3 +425,43 @@ def test_jaccard_groups_with_many_pairs(spark, monkeypatch):
     rows = [(i, " ".join([*base[: 80 - i % 3], "end%d" % i])) for i in range(40)] + [(90, prose(80, 2))]
     got = {r["doc_id"]: r["component_id"] for r in op1.jaccard_join(docs(spark, rows), n=3, threshold=(9, 10)).collect()}
     assert got == {i: 90 if i == 90 else 0 for i, _ in rows}
+
+
+def test_jaccard_groups_hand_on_fewer_rows_than_pairs(spark, monkeypatch):
+    """Near copies that bitmaps cannot tell from links, and of which few are: their pairs stay in the groups."""
+    made, write = [], op1.stage
+
+    def counted(df, name, **options):
+        out = write(df, name, **options)
+        if name in ("pairs", "links"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(op1, "stage", counted)
+    base, m = prose(480, 1).split(), 150
+    rows = []
+    for i in range(m):
+        w = list(base)
+        w[32 * (i % 15) : 32 * (i % 15) + 30 : 3] = ["edit%d" % i] * 10
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(t.split()[k : k + 3]) for k in range(478)} for _, t in rows]
+    root, near = list(range(m)), 0
+    for a in range(m):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            near += 10 * both >= 7 * (len(sets[a]) + len(sets[b]) - both)
+            if 10 * both >= 8 * (len(sets[a]) + len(sets[b]) - both) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    got = {r["doc_id"]: r["component_id"] for r in op1.jaccard_join(docs(spark, rows), n=3, threshold=(8, 10)).collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) > 10 and near > 40 * m
+    assert max(made) < 20 * m
+
+
+def test_jaccard_whole_sets_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(op1, "MANY_PAIRS", 0)
+    monkeypatch.setattr(op1, "BLOCK_SHINGLES", 1_000)
+    base = prose(80, 1).split()
+    rows = [(i, " ".join([*base[i : i + 60]])) for i in range(20)] + [(90, prose(60, 2)), (91, "")]
+    got = {r["doc_id"]: r["component_id"] for r in op1.jaccard_join(docs(spark, rows), n=3, threshold=(9, 10)).collect()}
+    assert got == {i: i if i >= 90 else 0 for i, _ in rows}
