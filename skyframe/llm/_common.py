@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -82,7 +83,21 @@ def drop_stage(*staged: DataFrame) -> None:
     for df in staged:
         _delete(df.sparkSession, df._skyframe_path)
     if staged:
-        staged[0].sparkSession.sparkContext._jvm.System.gc()
+        forget_shuffles(staged[0].sparkSession)
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of jobs that have ended go when the driver collects its garbage, which it may not do for long."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """:func:`stage`, and the shuffle files of the job that wrote it go before the next job writes its own."""
+    out = stage(df, name)
+    for _ in range(2):  # listeners hold a job for a moment after its end
+        forget_shuffles(df.sparkSession)
+        time.sleep(0.3)
+    return out
 
 
 @contextmanager

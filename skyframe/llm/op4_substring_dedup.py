@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skyframe.llm import _bitmap
-from skyframe.llm._common import drop_stage, grams, lists, mix, record_batch, small_batches, stage, table, text_chunks, whole_number_key, words
+from skyframe.llm._common import drop_stage, grams, lists, mix, record_batch, settled, small_batches, stage, table, text_chunks, whole_number_key, words
 
 K, WINDOW = 6, 10
 #: Words in both documents together that one gap in a chain may have.
@@ -144,8 +144,8 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     first = seeds.groupBy("seed").agg(F.min(F.struct("doc", "tag", "pos")).alias("f"))
     other = (F.col("doc") != F.col("f.doc")) | (F.col("tag") != F.col("f.tag"))
     owner = [F.col("f.doc").alias("source"), F.col("f.tag").alias("source_tag")]
-    matches = stage(seeds.join(first, "seed").where(other).select("doc", "tag", *owner, "pos", F.col("f.pos").alias("source_pos")), "matches")
-    chains = stage(_chains(matches, min_words), "chains")
+    matches = settled(seeds.join(first, "seed").where(other).select("doc", "tag", *owner, "pos", F.col("f.pos").alias("source_pos")), "matches")
+    chains = settled(_chains(matches, min_words), "chains")
     found = _aligned(source, chains.where("main"), similarity, min_words)
 
     spans = found.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
@@ -160,7 +160,7 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
         pair, i, j = _pairs(row[on], seed[on], pos[on], near, far)
         return pair, on[i], on[j]
 
-    asking = stage(_marked(marks, asked), "asking")
+    asking = settled(_marked(marks, asked), "asking")
     wanted = _bitmap.build(asking.select("pair").distinct(), F.col("pair"))
 
     def offered(doc, tag, row, seed, pos):
@@ -169,7 +169,7 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     first = _marked(marks, offered).groupBy("pair").agg(F.min(F.struct("doc", "tag", "a", "b")).alias("f"))
     both = asking.join(first, "pair").where(other)
     ends = F.explode(F.array(*[F.struct(F.col(c).alias("pos"), F.col(f"f.{c}").alias("source_pos")) for c in "ab"])).alias("x")
-    more = stage(_chains(both.select("doc", "tag", *owner, ends).select("doc", "tag", "source", "source_tag", "x.pos", "x.source_pos").distinct(), min_words), "chains")
+    more = settled(_chains(both.select("doc", "tag", *owner, ends).select("doc", "tag", "source", "source_tag", "x.pos", "x.source_pos").distinct(), min_words), "chains")
     # what lay within a longer chain, if that has come to nothing
     within = F.exists("spans", lambda s: (s["start"] <= F.col("start")) & (s["end"] >= F.col("end")))
     shorter = chains.where("not main").join(spans, ["doc", "tag"], "left").where(~F.coalesce(within, F.lit(False))).drop("spans")
@@ -342,7 +342,7 @@ def _aligned(source: DataFrame, passages: DataFrame, similarity: float, min_word
         n = np.bincount(row, minlength=len(doc))
         return record_batch(doc=doc, tag=tag, names=lists((name >> np.uint64(32)).astype(np.uint32).view(np.int32), np.cumsum(n)))
 
-    named = stage(_over(source, texts, "doc long, tag int, names array<int>", asked).groupBy("doc", "tag").agg(F.first("names").alias("names")), "names")
+    named = settled(_over(source, texts, "doc long, tag int, names array<int>", asked).groupBy("doc", "tag").agg(F.first("names").alias("names")), "names")
     right = named.select(F.col("doc").alias("source"), F.col("tag").alias("source_tag"), F.col("names").alias("theirs"))
 
     def looked_at(asked: DataFrame, margin: int) -> DataFrame:
@@ -372,7 +372,7 @@ def _aligned(source: DataFrame, passages: DataFrame, similarity: float, min_word
                         out.append((*(c[k][i] for k in keys), p0 + a, p1 + a, s0 + b, s1 + b, n, like, more))
                 yield _batch(out, _ALIGNED)
 
-        return stage(both.mapInArrow(aligned, _ALIGNED), "aligned")
+        return settled(both.mapInArrow(aligned, _ALIGNED), "aligned")
 
     rounds = [looked_at(passages, MARGINS[0])]
     for margin in MARGINS[1:]:

@@ -1,5 +1,7 @@
 """Small cases of every operator: nulls, empty tables and texts, repeated rows, ties, clashing names, long texts."""
 
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -7,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skyframe.llm import _common
 from skyframe.llm import op1_jaccard_join as op1
 from skyframe.llm import op2_license_scan as op2
 from skyframe.llm import op3_decontamination as op3
@@ -465,3 +468,32 @@ def test_jaccard_whole_sets_in_blocks(spark, monkeypatch):
     rows = [(i, " ".join([*base[i : i + 60]])) for i in range(20)] + [(90, prose(60, 2)), (91, "")]
     got = {r["doc_id"]: r["component_id"] for r in op1.jaccard_join(docs(spark, rows), n=3, threshold=(9, 10)).collect()}
     assert got == {i: i if i >= 90 else 0 for i, _ in rows}
+
+
+def test_substring_dedup_forgets_shuffles_before_the_next(spark, monkeypatch):
+    """Shuffle files of the join of seeds are gone when passages are aligned, and do not add to the disk taken then."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: set(re.findall(r"shuffle_(\d+)_", str(disk.getAllFiles().toString())))
+    made, left, write, chains = set(), [], _common.stage, op4._chains
+
+    def written(df, name, **options):
+        before = shuffles()
+        out = write(df, name, **options)
+        if name == "matches":
+            made.update(shuffles() - before)
+        return out
+
+    def counted(matches, min_words):
+        end = time.time() + 3
+        while made & shuffles() and time.time() < end:
+            time.sleep(0.1)
+        left.append(made & shuffles())
+        return chains(matches, min_words)
+
+    p = prose(70, 9)
+    rows = docs(spark, [(i, f"{prose(20, i)} {p} {prose(20, 50 + i)}") for i in range(1, 5)])
+    monkeypatch.setattr(_common, "stage", written)
+    monkeypatch.setattr(op4, "stage", written)
+    monkeypatch.setattr(op4, "_chains", counted)
+    assert op4.repeated_passages(rows).count() == 3
+    assert made and not left[0]
